@@ -84,11 +84,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             i = j
 
 
-def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of all texts, and for each text the number of its first word
-    (len + 1 values)."""
+def word_bounds(raw: np.ndarray, at: np.ndarray, parts: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of what stands between the bytes that
+    parts marks) of all texts, and for each text the number of its first word (len + 1 values)."""
     inside = np.zeros(len(raw) + 2, bool)
-    inside[1:-1] = ~_SPACE[raw]
+    inside[1:-1] = ~parts[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -96,9 +96,9 @@ def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, parts: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, with A-Z lower-cased if so asked, and for each text the number of its first word."""
-    start, end, first = word_bounds(raw, at)
+    start, end, first = word_bounds(raw, at, parts)
     return spans_hash(prefix(_LOWER[raw] if lower else raw), start, end), first
 
 
