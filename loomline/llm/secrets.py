@@ -108,12 +108,12 @@ def _scan(batches):
                 if tested := battery(m[0]):
                     own.append({"start": m.start(), "end": m.end(), "stratum": f"{tested[0]}:{length_class(m.end() - m.start())}", "bin": min(int(tested[1] * BINS), BINS - 1)})
             more.append(own)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, _BASE), pa.array(more, _MORE)], [*batch.schema.names, "base", "more"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, _BASE), pa.array(more, _MORE)], [*batch.schema.names, "__base", "__more"])
 
 
 _BASE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 _MORE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("bin", pa.int32())]))
-_SCHEMA = ", base array<struct<start:int,kind:int,end:int>>, more array<struct<start:int,end:int,stratum:string,bin:int>>"
+_SCHEMA = ", __base array<struct<start:int,kind:int,end:int>>, __more array<struct<start:int,end:int,stratum:string,bin:int>>"
 
 
 def cuts(counted: list[tuple[str, int, int]], rate: float = RATE) -> dict[str, int]:
@@ -134,29 +134,29 @@ def cuts(counted: list[tuple[str, int, int]], rate: float = RATE) -> dict[str, i
     return out
 
 
-def find_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs(doc_id, column, ...) -> docs' columns, with text replaced by the whole text, and spans: an array of
-    (start, kind, end) in code points, end exclusive, kinds numbered as KINDS and then 3 for the battery's, by start.
+def find_secrets(docs: DataFrame, column: str = "text", spans: str = "spans") -> DataFrame:
+    """docs(doc_id, column, ...) -> docs' columns, text being that of column, and spans: an array of (start, kind, end)
+    in code points, end exclusive, kinds numbered as KINDS and then 3 for the battery's, by start.
 
-    Spans of the battery never overlap base ones. Null text: empty, with no spans. Each row gives a row. The scanned
-    rows are written once to the shared folder without texts' copies where only doc_id is asked for.
+    Spans of the battery never overlap base ones. Null text: empty, with no spans. Each row gives a row. A column of
+    docs that is named like spans is replaced.
     """
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("text", "base", "more", "spans") and c != column]
+    kept = [c for c in docs.columns if c not in ("text", column, spans)]
     rows = docs.select(*kept, F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
     scanned = rows.mapInArrow(_scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + _SCHEMA)
-    return _decided(scanned)
+    return _decided(scanned, spans)
 
 
-def _decided(scanned: DataFrame) -> DataFrame:
+def _decided(scanned: DataFrame, spans: str = "spans") -> DataFrame:
     """The corpus-wide cut of each stratum applied. Strata are bounded: encodings times classes of length."""
     scanned = durable(scanned, "scanned")
-    counted = scanned.select(F.explode("more").alias("m")).groupBy("m.stratum", "m.bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = scanned.select(F.explode("__more").alias("m")).groupBy("m.stratum", "m.bin").agg(F.count(F.lit(1)).alias("n")).collect()
     at = cuts([tuple(r) for r in counted])
     least = F.create_map(*[F.lit(x) for kv in at.items() for x in kv]) if at else F.create_map().cast("map<string,int>")
-    added = F.transform(F.filter("more", lambda m: m["bin"] >= F.coalesce(F.try_element_at(least, m["stratum"]), F.lit(BINS))),
+    added = F.transform(F.filter("__more", lambda m: m["bin"] >= F.coalesce(F.try_element_at(least, m["stratum"]), F.lit(BINS))),
                         lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end")))
-    return scanned.withColumn("spans", F.array_sort(F.concat("base", added))).drop("base", "more")
+    return scanned.withColumn(spans, F.array_sort(F.concat("__base", added))).drop("__base", "__more")
 
 
 def _joined(spans, kinds=(*KINDS, "random")):
@@ -177,18 +177,18 @@ def span_report(docs: DataFrame, column: str = "text") -> DataFrame:
 def _mask(batches):
     for batch, _, _ in tx.blocks(batches, "text"):
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             done, parts = 0, []
             for s in spans or []:
                 if s["start"] >= done:
                     parts += [text[done : s["start"]], MARK]
                 done = max(done, s["end"])
             out.append("".join([*parts, text[done:]]) if parts else text)
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, batch.schema.field("text").type)).drop_columns(["spans"])
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, batch.schema.field("text").type)).drop_columns(["__spans"])
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """docs with each run of overlapping spans in text replaced by MARK; other columns stay as they are."""
-    found = find_secrets(docs)
-    kept = [f for f in found.schema if f.name != "spans"]
+    found = find_secrets(docs, spans="__spans")
+    kept = [f for f in found.schema if f.name != "__spans"]
     return found.mapInArrow(_mask, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)).select(*docs.columns)
