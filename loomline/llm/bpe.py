@@ -11,10 +11,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain, islice
-from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +23,10 @@ from loomline.llm import text as tx
 from loomline.session import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces that a worker keeps; pieces of one text that are handled at once.
-KEPT, AT_ONCE = 250_000, 100_000
+#: Bytes of text whose new pieces are replayed together.
+BLOCK = 12 << 20
+#: Pieces that a worker keeps; pieces of one very long text that are handled at once.
+KEPT, AT_ONCE = 500_000, 1_000_000
 
 
 class Codec:
@@ -40,95 +42,112 @@ class Codec:
             self.tokens[rank] = token
         self.decimals = [str(i) for i in range(len(self.tokens))]
         self.pieces = regex.compile(pattern)
-        self.pairs: dict[int, int] = {}
+        self.singles = np.array([self.ranks[bytes([i])] for i in range(256)])
+        merges = {self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+        self.keys = np.array(sorted(merges), np.int64)
+        self.merged = np.array([merges[k] for k in self.keys.tolist()], np.int64)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def pair_rank(self, a: int, b: int) -> int:
-        """The rank of two tokens' merge, or -1."""
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of neighbouring tokens' merges, or -1."""
         key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return rank
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
 
     def one(self, piece: bytes) -> list[int]:
         """Merges of a single piece, the lowest and leftmost first; for pieces whose merges fall out of rank order."""
         ids = [self.ranks[piece[i : i + 1]] for i in range(len(piece))]
         while True:
-            found = [(r, i) for i in range(len(ids) - 1) if (r := self.pair_rank(ids[i], ids[i + 1])) >= 0]
+            found = [(r, i) for i in range(len(ids) - 1) if (r := self.ranks.get(self.tokens[ids[i]] + self.tokens[ids[i + 1]], -1)) >= 0]
             if not found:
                 return ids
             r, i = min(found)
             ids[i : i + 2] = [r]
 
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        ranks, pair_rank = self.ranks, self.pair_rank
         out: list = [None] * len(pieces)
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[int] = []
-        owner: list[int] = []
+        todo = []
         for k, piece in enumerate(pieces):
-            if piece in ranks:
-                out[k] = (ranks[piece],)
+            if piece in self.ranks:
+                out[k] = (self.ranks[piece],)
+            else:
+                todo.append(k)
+        if not todo:
+            return out
+        raw = np.frombuffer(b"".join([pieces[k] for k in todo]), np.uint8)
+        ends = np.cumsum([len(pieces[k]) for k in todo])
+        starts = np.concatenate([[0], ends[:-1]])
+        symbol = self.singles[raw]
+        after = np.arange(1, len(raw) + 1)
+        after[ends - 1] = -1
+        before = np.arange(-1, len(raw) - 1)
+        before[starts] = -1
+        standing = np.full(len(raw), -1, np.int64)
+        inner = np.flatnonzero(after >= 0)
+        standing[inner] = self.pair_ranks(symbol[inner], symbol[inner + 1])
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(where: np.ndarray, ranks: np.ndarray) -> None:
+            """Into the index, which leads from ranks to arrays of positions."""
+            held = np.flatnonzero(ranks >= 0)
+            held = held[np.argsort(ranks[held], kind="stable")]
+            if not len(held):
+                return
+            where, ranks = where[held], ranks[held]
+            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for r, i, j in zip(ranks[np.append(0, cut)].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(ranks)], strict=True):
+                if r in index:
+                    index[r].append(where[i:j])
+                else:
+                    index[r] = [where[i:j]]
+                    heappush(heap, r)
+
+        enter(np.arange(len(raw)), standing)
+        live = np.ones(len(raw), bool)
+        odd: list[int] = []
+        while heap:
+            r = heappop(heap)
+            found = index.pop(r)
+            p = found[0] if len(found) == 1 else np.concatenate(found)
+            p = p[standing[p] == r]
+            if not len(p):
                 continue
-            at, n = len(symbol), len(piece)
-            heads.append(at)
-            owner.append(k)
-            symbol.extend([ranks[piece[i : i + 1]] for i in range(n)])
-            before.append(-1)
-            before.extend(range(at, at + n - 1))
-            after.extend(range(at + 1, at + n))
-            after.append(-1)
-        standing = [pair_rank(symbol[p], symbol[q]) if q >= 0 else -1 for p, q in enumerate(after)]
-        index: dict[int, list[int]] = {}
-        for p, r in enumerate(standing):
-            if r >= 0:
-                index.setdefault(r, []).append(p)
-        todo = list(index)
-        heapify(todo)
-        odd = set()
-        while todo:
-            r = heappop(todo)
-            where = index.pop(r)
-            where.sort()
-            for p in where:
-                if standing[p] != r:
-                    continue
+            if len(found) > 1:
+                p.sort()
+                p = p[np.append(True, p[1:] != p[:-1])]
+            q = after[p]
+            if (symbol[p] == symbol[q]).any() and len(np.intersect1d(p, q, assume_unique=True)):
+                taken, keep = set(), []
+                for x, y in zip(p.tolist(), q.tolist(), strict=True):  # like x x x: the leftmost first
+                    if x not in taken:
+                        keep.append(x)
+                        taken.add(y)
+                p = np.array(keep)
                 q = after[p]
-                n = after[q]
-                symbol[p], standing[q], after[p] = r, -1, n
-                standing[p] = -1
-                if n >= 0:
-                    before[n] = p
-                    k = standing[p] = pair_rank(r, symbol[n])
-                    if k >= 0:
-                        if k in index:
-                            index[k].append(p)
-                        else:
-                            index[k] = [p]
-                            heappush(todo, k)
-                        if k < r:
-                            odd.add(p)
-                o = before[p]
-                if o >= 0:
-                    k = standing[o] = pair_rank(symbol[o], r)
-                    if k >= 0:
-                        if k in index:
-                            index[k].append(o)
-                        else:
-                            index[k] = [o]
-                            heappush(todo, k)
-                        if k < r:
-                            odd.add(p)
-        for at, k in zip(heads, owner, strict=True):
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out[k] = tuple(ids)
-        for k in {owner[bisect_right(heads, p) - 1] for p in odd}:
+            n = after[q]
+            symbol[p] = r
+            standing[q] = -1
+            standing[p] = -1
+            live[q] = False
+            after[p] = n
+            some = n >= 0
+            before[n[some]] = p[some]
+            o = before[p]
+            left = np.concatenate([p[some], o[o >= 0]])
+            right = np.concatenate([n[some], p[o >= 0]])
+            ranks = self.pair_ranks(symbol[left], symbol[right])
+            standing[left] = ranks
+            if ((ranks >= 0) & (ranks < r)).any():
+                odd += left[(ranks >= 0) & (ranks < r)].tolist()
+            enter(left, ranks)
+        ids = symbol[live].tolist()
+        counts = np.add.reduceat(live.astype(np.int64), starts).tolist()
+        at = 0
+        for k, n in zip(todo, counts, strict=True):
+            out[k] = tuple(ids[at : at + n])
+            at += n
+        for k in {todo[int(np.searchsorted(ends, x, "right"))] for x in odd}:
             out[k] = tuple(self.one(pieces[k]))
         return out
 
@@ -170,9 +189,9 @@ def codec(vocabulary: str) -> Codec:
 def _encoded(batches, vocabulary: str):
     """(batch, ids of each text) of blocks of texts; a block's pieces are learned together."""
     c = codec(vocabulary)
-    for batch, _, _ in tx.blocks(batches, "text", 2 << 20):
+    for batch, _, _ in tx.blocks(batches, "text", BLOCK):
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        if max(map(len, texts)) > AT_ONCE:
+        if len(texts) == 1 and len(texts[0]) > BLOCK:
             yield batch, [c.encode(t) for t in texts]
             continue
         cut = [c.pieces.findall(t) for t in texts]
