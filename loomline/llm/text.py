@@ -32,6 +32,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[raw]
+
+
 class Powers:
     """Powers of BASE and of its inverse mod 2**64, grown as longer blocks ask for them."""
 

@@ -1,4 +1,4 @@
-"""Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
+"""Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams, of words and of their stems.
 
 A bounded, documented sample of labelled rows is fitted in one task; L1 leaves few weights, which go to all executors
 with the scoring function. Scoring is one pass without a shuffle.
@@ -15,9 +15,12 @@ from loomline.llm import text as tx
 from loomline.session import durable, ship
 
 BITS = 20
-#: Labelled rows of each class that are fitted at most: the bound of the sample.
-PER_CLASS = 3000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.1, 1.0, 2.0, 1.0
+#: Bytes of a word's beginning that count as a word of their own, so that its endings share what is learned.
+STEMS = (4, 5, 6, 7)
+#: Labelled rows that are fitted at most, of label 0 and of label 1: the bound of the sample.
+PER_CLASS = (9000, 1500)
+#: A feature without meaning gathers gradients like a random walk, so L1 is this times the root of the rows fitted.
+EPOCHS, ALPHA, BETA, L1_ROOT, L2 = 3, 0.3, 1.0, 0.7, 1.0
 THRESHOLD = 0.3
 #: ASCII characters other than letters and digits part words.
 _PARTS = np.array([not chr(i).isalnum() if i < 128 else False for i in range(256)])
@@ -25,9 +28,15 @@ _PARTS = np.array([not chr(i).isalnum() if i < 128 else False for i in range(256
 
 def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all texts, not yet distinct, and the number of the text that each belongs to."""
-    words, first = tx.word_hashes(raw, at, parts=_PARTS)
+    start, end, first = tx.word_bounds(raw, at, _PARTS)
+    c = tx.prefix(tx.lowered(raw))
+    words = tx.spans_hash(c, start, end)
     text = np.repeat(np.arange(len(at) - 1), np.diff(first))
     found, owner = [words], [text]
+    for k in STEMS:
+        long = end - start > k
+        found.append(tx.spans_hash(c, start[long], start[long] + k) ^ tx.PLACES[4])
+        owner.append(text[long])
     for gap in (1, 2):
         together = text[gap:] == text[:-gap] if len(words) > gap else np.zeros(0, bool)
         found.append(tx.mix(words[: len(together)] * tx.PLACES[2 * gap - 2] + words[gap:] * tx.PLACES[2 * gap - 1])[together])
@@ -35,24 +44,25 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) & np.uint64((1 << BITS) - 1)).astype(np.int64), np.concatenate(owner)
 
 
-def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def fit(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
     """(distinct feature numbers, label) in the order of learning -> weights and bias, for the classes as sampled."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = bias_n = 0.0
+    l1 = L1_ROOT * len(rows) ** 0.5
     for _ in range(EPOCHS):
         for x, y in rows:
-            w = _weights(z[x], n[x])
+            w = _weights(z[x], n[x], l1)
             g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - y
             s = (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / ALPHA
             z[x] += g - s * w
             n[x] += g * g
             bias_n += g * g
-            bias -= g * ALPHA / (BETA + np.sqrt(bias_n))
-    return _weights(z, n), float(bias)
+            bias -= g * 0.1 / (BETA + np.sqrt(bias_n))
+    return _weights(z, n, l1), float(bias)
 
 
 def _fit_task(batches):
@@ -61,7 +71,7 @@ def _fit_task(batches):
         f, owner = features(raw, at)
         both = np.unique(owner << BITS | f)
         cut = np.searchsorted(both >> BITS, np.arange(len(batch) + 1))
-        rows += [((both[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)), (order, int(y))) for i, (y, order) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("learned").to_pylist(), strict=True))]
+        rows += [((both[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)).astype(np.int32), (order, int(y))) for i, (y, order) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("learned").to_pylist(), strict=True))]
     rows.sort(key=lambda r: r[1])
     w, bias = fit([(x, y) for x, (_, y) in rows])
     at = np.flatnonzero(w)
@@ -78,14 +88,14 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "text") -> list[tupl
     shares = {int(r["toxic"]): r["count"] for r in marked.groupBy("toxic").count().collect()}
     sample = None
     for y in (0, 1):
-        part = marked.filter(F.col("toxic") == y).orderBy("learned", "doc_id").limit(PER_CLASS)
+        part = marked.filter(F.col("toxic") == y).orderBy("learned", "doc_id").limit(PER_CLASS[y])
         sample = part if sample is None else sample.unionByName(part)
     sample = durable(sample, "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id")  # 2 * PER_CLASS rows at most
+    rows = texts.join(F.broadcast(sample), "doc_id")  # sum(PER_CLASS) rows at most
     fitted = rows.select("text", "toxic", "learned").repartition(1).mapInArrow(_fit_task, "feature long, weight double").collect()
     weights = {r.feature: r.weight for r in fitted}
-    used = {y: min(n, PER_CLASS) for y, n in shares.items()}
+    used = {y: min(n, PER_CLASS[y]) for y, n in shares.items() if y in (0, 1)}
     if used.get(0) and used.get(1):
         weights[-1] = weights.get(-1, 0.0) + float(np.log(shares[1] / used[1]) - np.log(shares[0] / used[0]))
     return sorted(weights.items())
