@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import bpe, chat, decontaminate, minhash, quality, repeats, secrets, shards, toxicity
+from loomline.llm import bpe, chat, decontaminate, minhash, private, quality, repeats, secrets, shards, toxicity
 from loomline.session import table
 
 
@@ -38,6 +38,10 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(table(spark, sf_dir, "documents"))
+
+
 def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_duplicates, op2_byte_bpe, op3_chat_windows, op4_histogram_sort_shards, op5_randomness_secrets, op6_host_quality, op7_suffix_repeats, op9_ftrl_toxicity, op10_qgram_decontamination,
+        op1_minhash_near_duplicates, op2_byte_bpe, op3_chat_windows, op4_histogram_sort_shards, op5_randomness_secrets, op6_host_quality, op7_suffix_repeats, op8_feistel_pseudonyms, op9_ftrl_toxicity, op10_qgram_decontamination,
     )
 }
 ORACLES: dict[str, str] = {}
