@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import durable
+from loomline.session import discard, durable
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -44,8 +44,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        work = durable(_small_star(_large_star(work).distinct()).distinct(), "stars")
+        old, work = work, durable(_small_star(_large_star(work).distinct()).distinct(), "stars")
         after = _mark(work)
+        discard(old)
         if after == before:
             break
         before = after
