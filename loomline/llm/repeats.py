@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import text as tx
-from loomline.session import durable, ship
+from loomline.session import discard, durable, release, ship
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Bytes of text that are scanned together; longer texts are scanned in overlapping pieces.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 BATCHES = 2
+#: Marked runs of an anchor that are compared together; those of an anchor with more are compared string by string.
+FEW = 2048
 _AT = np.uint64((1 << 24) - 1)
-_NEW, _REPEAT, _MARKED = 0, 1, 2
+_NEW, _REPEAT, _MARKED, _OLD = 0, 1, 2, 3
 
 
 def _minima(key: np.ndarray, width: int) -> np.ndarray:
@@ -104,13 +106,32 @@ def _joined(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return ids[at], first[at], last[np.append(at[1:], len(ids)) - 1]
 
 
-_ENTRY = "anchor long, run long, id long, first int, last int, state int"
+#: An entry as it is exchanged: place holds first, last and state in one number that orders as first does.
+_ENTRY = "anchor long, run long, id long, place long"
 
 
 def _entry_batch(anchor, run, ids, first, last, state) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(state.astype(np.int32))],
-        ["anchor", "run", "id", "first", "last", "state"])
+    place = first.astype(np.int64) << 32 | (last - first).astype(np.int64) << 2 | state.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array(place)], ["anchor", "run", "id", "place"])
+
+
+def _entry_arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    x = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("anchor", "run", "id", "place")}
+    place = x.pop("place")
+    first = place >> 32
+    return x | {"first": first, "last": first + ((place & 0xFFFFFFFF) >> 2), "state": place & 3}
+
+
+def _first(place="place"):
+    return F.shiftright(place, 32).cast("int")
+
+
+def _last(place="place"):
+    return (F.shiftright(place, 32) + F.shiftright(F.col(place).bitwiseAND(0xFFFFFFFF), 2)).cast("int")
+
+
+def _in_state(state: int):
+    return F.col("place").bitwiseAND(3) == state
 
 
 def _entries(length: int, gram: int):
@@ -131,7 +152,7 @@ def _entries(length: int, gram: int):
 
 def _merge_scan(batches):
     """Entries in order of (anchor, run, id, first), old and new; states as found. `state` comes in as _NEW, as _REPEAT
-    for repeats that are already known, or as -1 for entries of a level that doesn't merge. One entry is held back: the
+    for repeats that are already known, or as _OLD for entries of a level that doesn't merge. One entry is held back: the
     last first one, until the next shows whether its anchor is shared."""
     names = ("anchor", "run", "id", "first", "last", "state")
     held = None
@@ -139,7 +160,7 @@ def _merge_scan(batches):
     for batch in batches:
         if not len(batch):
             continue
-        x = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names}
+        x = _entry_arrays(batch)
         if held is not None:
             x = {n: np.concatenate([held[n], x[n]]) for n in names}
         n = len(x["anchor"])
@@ -164,12 +185,12 @@ def _merge_scan(batches):
             shared = bool(near[-1])
         else:
             held = None
-        old = x["state"] == -1
+        old = x["state"] == _OLD
         out &= ~(old & (state != _MARKED))
         yield _states(x, state, old, out)
     if held is not None:
         state = np.array([_MARKED if shared else _NEW])
-        old = held["state"] == -1
+        old = held["state"] == _OLD
         yield _states(held, state, old, ~(old & (state != _MARKED)))
 
 
@@ -178,6 +199,10 @@ def _states(x, state, old, out) -> pa.RecordBatch:
     return batch.append_column("stays", pa.array(old[out]))
 
 
+def _as(level: DataFrame, state: int) -> DataFrame:
+    return level.withColumn("place", F.col("place") - F.col("place").bitwiseAND(3) + state)
+
+
 class Index:
     """The family of levels. add() takes a batch of documents whose ids are above all earlier ones."""
 
@@ -186,9 +211,11 @@ class Index:
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, entries), the largest first
         self.repeats: list[DataFrame] = []
         self.marked: list[DataFrame] = []
+        self.tables: list[DataFrame] = []  # all that was written
 
     def add(self, docs: DataFrame, keep: bool = True) -> None:
         """docs(id, text). Without keep the batch is scanned but no level is written: it is the last."""
+        release(docs.sparkSession)
         size, merging = 1, []
         while keep and len(merging) < len(self.levels) and self.levels[-1 - len(merging)][0] == size:
             merging.append(self.levels[-1 - len(merging)][1])
@@ -196,16 +223,17 @@ class Index:
         staying = [level for _, level in self.levels[: len(self.levels) - len(merging)]]
         rows = docs.select("id", "text").mapInArrow(_entries(self.length, self.gram), _ENTRY)
         for level in merging:
-            rows = rows.unionByName(level.withColumn("state", F.lit(_NEW)))
+            rows = rows.unionByName(_as(level, _NEW))
         for level in staying:
-            rows = rows.unionByName(level.withColumn("state", F.lit(-1)))
-        order = rows.repartition("anchor").sortWithinPartitions("anchor", "run", "id", "first")
+            rows = rows.unionByName(_as(level, _OLD))
+        order = rows.repartition("anchor").sortWithinPartitions("anchor", "run", "id", "place")
         found = order.mapInArrow(_merge_scan, _ENTRY + ", stays boolean")
-        found = durable(found if keep else found.filter(F.col("state") != _NEW), "level")
-        self.repeats.append(found.filter(F.col("state") == _REPEAT).select("id", "first", "last"))
-        self.marked.append(found.filter(F.col("state") == _MARKED).select("id", "first", "last", "anchor"))
+        found = durable(found if keep else found.filter(~_in_state(_NEW)), "level")
+        self.tables.append(found)
+        self.repeats.append(found.filter(_in_state(_REPEAT)).select("id", _first().alias("first"), _last().alias("last")))
+        self.marked.append(found.filter(_in_state(_MARKED)).select("id", _first().alias("first"), _last().alias("last"), "anchor"))
         if keep:
-            level = found.filter(f"state <> {_REPEAT} and not stays").select("anchor", "run", "id", "first", "last")
+            level = found.filter(~_in_state(_REPEAT) & ~F.col("stays")).select("anchor", "run", "id", "place")
             self.levels = [*self.levels[: len(self.levels) - len(merging)], (size, level)]
 
 
@@ -224,55 +252,113 @@ def _unzipped(row) -> np.ndarray:
     return np.frombuffer(pa.decompress(row["zipped"], row["n_bytes"], "zstd", asbytes=True), np.uint8) if row["n_bytes"] else np.zeros(0, np.uint8)
 
 
+def _first_strings(ids, start, hashed, anchor) -> tuple[np.ndarray, ...]:
+    """Of strings, those that are the first of equal ones, and the others' places as joined ranges."""
+    held = _firsts((hashed, anchor), ids, start)
+    order = np.lexsort((start[~held], ids[~held]))
+    return held, _joined(ids[~held][order], start[~held][order], start[~held][order])
+
+
+_STRING = "deal long, " + _ENTRY + ", content binary"
+
+
+def _string_batch(entry: pa.RecordBatch, deal: np.ndarray, content) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), *entry.columns, pa.array(content, pa.binary())], ["deal", *entry.schema.names, "content"])
+
+
 def _strings(length: int):
-    """Every string of the marked runs: (string, anchor, id, first, known); of equal ones in a batch only the first,
-    and the others' places as known repeats."""
+    """Marked runs as they are compared: those of an anchor with few runs as their content, dealt by anchor; those of
+    others string by string, dealt by the string's hash. Of equal strings in a batch only the first goes on."""
 
     def block(parts):
         ids, start, hashed, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
-        held = _firsts((hashed, anchor), ids, start)
-        again = _joined(ids[~held], start[~held], start[~held])
+        held, again = _first_strings(ids, start, hashed, anchor)
         spread = tx.mix(again[0].astype(np.uint64) * tx.PLACES[3] + again[1].astype(np.uint64))
         cat = np.concatenate
-        return _entry_batch(cat([anchor[held], spread]), cat([hashed[held], spread]), cat([ids[held], again[0]]), cat([start[held], again[1]]), cat([start[held], again[2]]), np.repeat([_NEW, _REPEAT], [held.sum(), len(spread)]))
+        entry = _entry_batch(cat([anchor[held], spread]), cat([hashed[held], spread]), cat([ids[held], again[0]]), cat([start[held], again[1]]), cat([start[held], again[2]]), np.repeat([_NEW, _REPEAT], [held.sum(), len(spread)]))
+        return _string_batch(entry, cat([hashed[held], spread]), [None] * entry.num_rows)
 
     def run_task(batches):
         parts, size = [], 0
         for batch in batches:
+            few: list[tuple] = []
             for row in batch.to_pylist():
                 raw = _unzipped(row)
-                c = tx.prefix(raw)
-                first = np.array([r["first"] for r in row["marks"]], np.int64)
-                n = np.array([r["last"] for r in row["marks"]], np.int64) - first + 1
-                order = np.argsort(first, kind="stable")
-                first, n = first[order], n[order]
-                anchor = np.array([r["anchor"] for r in row["marks"]], np.int64).view(np.uint64)[order]
-                start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                parts.append((np.full(len(start), row["id"], np.int64), start, tx.spans_hash(c, start, start + length), np.repeat(anchor, n)))
-                size += len(start)
+                marks = sorted((r["first"], r["last"], r["anchor"]) for r in row["marks"] if r["few"])
+                few += [(a, row["id"], f, z, raw[f : z + length].tobytes()) for f, z, a in marks]
+                many = sorted((r["first"], r["last"], r["anchor"]) for r in row["marks"] if not r["few"])
+                if many:
+                    first, last, anchor = (np.array(x, np.int64) for x in zip(*many, strict=True))
+                    n = last - first + 1
+                    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                    parts.append((np.full(len(start), row["id"], np.int64), start, tx.spans_hash(tx.prefix(raw), start, start + length), np.repeat(anchor.view(np.uint64), n)))
+                    size += len(start)
                 if size >= 1 << 19:
                     yield block(parts)
                     parts, size = [], 0
+            if few:
+                anchor, ids, first, last = (np.array(x, np.int64) for x in list(zip(*few, strict=True))[:4])
+                anchor = anchor.view(np.uint64)
+                yield _string_batch(_entry_batch(anchor, np.zeros(len(few), np.uint64), ids, first, last, np.full(len(few), _MARKED)), anchor, [x[4] for x in few])
         if parts:
             yield block(parts)
 
     return run_task
 
 
-def _repeated_strings(batches):
-    """Of strings in order of (run, anchor, id, first), the places of all but the first of equal ones, and of known repeats."""
-    last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        x = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        known = x[5] == _REPEAT
-        again = np.zeros(len(known), bool)
-        again[1:] = (x[0][1:] == x[0][:-1]) & (x[1][1:] == x[1][:-1]) & ~known[1:] & ~known[:-1]
-        again[0] = last is not None and not known[0] and last == (x[0][0], x[1][0])
-        last = None if known[-1] else (x[0][-1], x[1][-1])
-        out = again | known
-        yield pa.RecordBatch.from_arrays([pa.array(x[2][out]), pa.array(x[3][out]), pa.array(x[4][out])], ["id", "first", "last"])
+def _repeated_strings(length: int):
+    """Rows of _strings() in order of (deal, anchor, run, id, place) -> places of all but the first of equal strings, and
+    of known repeats. Runs of an anchor, FEW at most, are compared together; of single strings one is held at a time."""
+
+    def together(parts):
+        anchor, ids, first, last = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        raw, at = tx.bytes_of(pa.concat_arrays([p[4] for p in parts]))
+        n = last - first + 1
+        within = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        begin = np.repeat(at[:-1], n) + within
+        hashed = tx.spans_hash(tx.prefix(raw), begin, begin + length)
+        return _first_strings(np.repeat(ids, n), np.repeat(first, n) + within, hashed, np.repeat(anchor, n))[1]
+
+    def ranges(ids, first, last):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["id", "first", "last"])
+
+    def run_task(batches):
+        before, parts, size = None, [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            e = _entry_arrays(batch)
+            known = e["state"] == _REPEAT
+            alone = e["state"] != _MARKED
+            again = np.zeros(len(known), bool)
+            again[1:] = (e["anchor"][1:] == e["anchor"][:-1]) & (e["run"][1:] == e["run"][:-1]) & ~known[1:] & ~known[:-1] & alone[1:] & alone[:-1]
+            again[0] = before is not None and alone[0] and not known[0] and before == (e["anchor"][0], e["run"][0])
+            before = (e["anchor"][-1], e["run"][-1]) if alone[-1] and not known[-1] else None
+            out = again | known
+            if out.any():
+                yield ranges(e["id"][out], e["first"][out], e["last"][out])
+            some = np.flatnonzero(~alone)
+            if len(some):
+                content = batch.column(batch.schema.get_field_index("content")).take(pa.array(some))
+                anchor = e["anchor"][some]
+                # Anchors that end in this batch are whole; the last one may go on.
+                edge = int(np.searchsorted(np.cumsum(np.append(False, anchor[1:] != anchor[:-1])), np.count_nonzero(anchor[1:] != anchor[:-1]), "left"))
+                new = [anchor, e["id"][some], e["first"][some], e["last"][some], content]
+                if parts and parts[-1][0][-1] == anchor[0] and edge == 0:
+                    parts.append(new)
+                else:
+                    parts.append([x[:edge] for x in new])
+                    rest = [x[edge:] for x in new]
+                    size += edge
+                    if size >= 4096:
+                        yield ranges(*together([p for p in parts if len(p[0])]))
+                        parts, size = [], 0
+                    parts.append(rest)
+        parts = [p for p in parts if len(p[0])]
+        if parts:
+            yield ranges(*together(parts))
+
+    return run_task
 
 
 def _cut(length: int, whole: bool):
@@ -315,7 +401,7 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
 
     Every byte goes that is covered by a string of `length` bytes which also starts earlier, in a smaller doc_id or
     earlier in the same document. Strings are judged on the texts as they came and never cross documents. Null text:
-    empty. Equal rows (doc_id and text) are one document and give equal rows; different texts of one doc_id are
+    empty; a text has less than a GiB. Equal rows (doc_id and text) are one document and give equal rows; different texts of one doc_id are
     documents in the order of a hash of the text; null doc_ids come first. Other columns are not read.
     """
     ship(docs.sparkSession)
@@ -328,10 +414,15 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
         part = texts if low is None else texts.filter(F.col("id") > low)
         index.add(part if high is None else part.filter(F.col("id") <= high), keep=k < len(cuts) - 2)
     ranges = _union(index.repeats)
-    marks = _union(index.marked).distinct().groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor")).alias("marks"))
-    strings = _zip(texts).join(marks, "id").mapInArrow(_strings(length), _ENTRY)
-    partly = strings.repartition("run").sortWithinPartitions("run", "anchor", "id", "first").mapInArrow(_repeated_strings, "id long, first int, last int")
-    ranges = ranges.unionByName(durable(partly, "partly")).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    marked = _union(index.marked).distinct()
+    sizes = marked.groupBy("anchor").agg((F.count(F.lit(1)) <= FEW).alias("few"))
+    marks = marked.join(sizes, "anchor").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "few")).alias("marks"))
+    strings = _zip(texts).join(marks, "id").mapInArrow(_strings(length), _STRING)
+    partly = strings.repartition("deal").sortWithinPartitions("deal", "anchor", "run", "id", "place").mapInArrow(_repeated_strings(length), "id long, first int, last int")
+    partly = durable(partly, "partly")
+    release(docs.sparkSession)
+    ranges = durable(ranges.unionByName(partly).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    discard(partly, *index.tables)
     done = _zip(texts).join(ranges, "id", "left").mapInArrow(_cut(length, whole), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not alone:
         done = rows.select("doc_id", "id").join(durable(done, "cut"), "id")

@@ -5,6 +5,7 @@ All work is on flat numpy arrays of a block of texts, so a Python call is paid p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+def trim() -> None:
+    """Give a task's freed memory back; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with whole texts of about limit bytes (one text at least), with bytes_of(column)."""
     for batch in batches:
@@ -87,6 +97,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + limit, "right")) - 1)
             yield batch.slice(i, j - i), raw[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+        del batch, raw, at
+    trim()
 
 
 def word_bounds(raw: np.ndarray, at: np.ndarray, parts: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -61,6 +61,8 @@ def test_equals_brute_force(spark, batches):
 def test_short_strings_and_small_blocks(spark, monkeypatch):
     docs = corpus(9)
     assert result(repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=20, gram=6)) == brute(docs, 20)
+    monkeypatch.setattr(repeats, "FEW", 2)
+    assert result(repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs, 100)
     monkeypatch.setattr(repeats, "BLOCK", 150)
     ids, offset, raw, at = next(iter(repeats._pieces(iter([__import__("pyarrow").RecordBatch.from_pydict({"id": [7], "text": ["x" * 1000]})]), 100)))
     assert len(raw) == 249 and ids.tolist() == [7]
