@@ -126,4 +126,4 @@ def judge(docs: DataFrame, host: str = "source", column: str = "text") -> DataFr
     rates = host_rates(judged.filter("host is not null")).select("host", F.col("rate").alias("host_rate"))
     out = judged.join(rates, "host", "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= HOST_RATE)
-    return out.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), "host", "host_rate")
+    return out.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), "host", F.round("host_rate", 9).alias("host_rate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import bpe, chat, decontaminate, minhash, private, quality, repeats, secrets, shards, toxicity
+from loomline.llm.oracles import ORACLES  # noqa: F401
 from loomline.session import table
 
 
@@ -56,4 +57,3 @@ QUERIES = {
         op1_minhash_near_duplicates, op2_byte_bpe, op3_chat_windows, op4_histogram_sort_shards, op5_randomness_secrets, op6_host_quality, op7_suffix_repeats, op8_feistel_pseudonyms, op9_ftrl_toxicity, op10_qgram_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
