@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import text as tx
 from loomline.operators.components import components
-from loomline.session import durable, ship
+from loomline.session import discard, durable, ship
 
 BANDS, ROWS = 32, 4
 #: Texts of a block in which strays are compared, and the salts over which a pivot's members are dealt.
@@ -220,8 +220,10 @@ def near_duplicates(docs: DataFrame, column: str = "text", bands: int = BANDS, r
     groups = durable(components(links), "groups")
     rest = durable(_strays(live, groups), "strays")
     if rest.head(1):
-        links = links.unionByName(durable(_confirmed_blocks(_block_rows(rest), texts, size, threshold), "links"))
-        groups = durable(components(links), "groups")
+        more = durable(_confirmed_blocks(_block_rows(rest), texts, size, threshold), "links")
+        old, groups = groups, durable(components(links.unionByName(more)), "groups")
+        discard(more, old)
+    discard(live, texts, links, rest)
 
     named = classes.join(groups, classes.rep == groups.id, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = held.drop("bands").join(named, ["s1", "s2", "n_shingles"], "left")
