@@ -56,3 +56,17 @@ def is_active(status: Column) -> Column:
 
 def status_text(status: Column, message: Column) -> Column:
     return F.when(status == "Failed", F.concat(F.lit("failed: "), F.coalesce(message, F.lit("")))).otherwise(F.lower(status))
+
+#: Kinds of messages that members exchange.
+MESSAGES = ("Join", "Leave", "Heartbeat", "Gossip", "Submit", "Status", "Cancel", "Result", "Error", "Negotiate", "Accept", "Reject")
+ENVELOPE = "kind string, version string, sender string, payload string"
+
+
+def envelope(kind: Column, version: Column, sender: Column, payload: Column) -> Column:
+    """A message as JSON text; the payload is JSON text of its own within it."""
+    return F.to_json(F.struct(kind.alias("kind"), version.alias("version"), sender.alias("sender"), payload.alias("payload")))
+
+
+def opened(message: Column) -> Column:
+    """The struct of an envelope; null fields of text that is none."""
+    return F.from_json(message, ENVELOPE)

@@ -75,3 +75,15 @@ def combine(*inputs: DataFrame) -> DataFrame:
     for x in inputs[1:]:
         out = out.unionByName(x)
     return out
+
+
+def replay_states(known: DataFrame, events: DataFrame, key: str, state: str, order: list[str], default: str = "Ready") -> DataFrame:
+    """The last state of each known node; events of unknown nodes change nothing, nodes without events keep the default."""
+    last = last_event(events, key, state, order)
+    return known.select(key).distinct().join(last, key, "left").select(key, F.coalesce(state, F.lit(default)).alias(state))
+
+
+def registry(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Keyed upserts: the last row written of each key."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s")).select(key, "s.*")

@@ -119,3 +119,20 @@ def longest_streak(rows: DataFrame, keys: list[str], order: list[str], failed: C
 def stage_total(times: Column) -> Column:
     """The sum of a map's values."""
     return F.aggregate(F.map_values(times), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Cumulative buckets: (keys, le, n) with the rows at or below each bound, and all under infinity."""
+    at = F.explode(F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf"))))
+    held = rows.select(*keys, F.col(value), at.alias("le"))
+    return held.groupBy(*keys, "le").agg(F.sum((F.col(value) <= F.col("le")).cast("long")).alias("n"))
+
+
+def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """The quantile by linear interpolation within its bucket, from 0 in the lowest; the highest finite bound beyond."""
+    w = Window.partitionBy(*keys).orderBy("le")
+    held = buckets.select(*keys, "le", "n", F.coalesce(F.lag("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.lag("le").over(w), F.lit(0.0)).alias("low"), F.max("n").over(Window.partitionBy(*keys)).alias("total"))
+    rank = F.lit(q) * F.col("total")
+    hit = held.filter((F.col("n") >= rank) & (F.col("below") < rank))
+    inner = F.col("low") + (F.col("le") - F.col("low")) * (rank - F.col("below")) / (F.col("n") - F.col("below"))
+    return hit.select(*keys, F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inner).alias("quantile"))

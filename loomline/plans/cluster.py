@@ -91,6 +91,24 @@ def aggregation_union(spark, sf_dir):
     return c.combine(*parts).groupBy("nationkey").agg(F.round(F.sum("acctbal"), 4).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+def node_states(spark, sf_dir):
+    """Customers as nodes; errors fail them, signups bring them back."""
+    kind = F.when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "signup", "Ready").when(F.col("event_type") == "purchase", "Executing")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), kind.alias("state"), "ts", "event_id").filter("state is not null and id % 2 = 0")
+    return c.replay_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), events, "id", "state", ["ts", "event_id"])
+
+
+def tenant_quotas(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant"), "o_orderdate", "o_orderkey", (F.col("o_orderkey") % 7 + 1).alias("max_concurrent"))
+    return c.registry(rows, "tenant", ["o_orderdate", "o_orderkey"]).select("tenant", "max_concurrent")
+
+
+def envelope_roundtrip(spark, sf_dir):
+    message = p.envelope(F.col("event_type"), F.lit("1.0.0"), F.col("user_id").cast("string"), F.col("props"))
+    rows = table(spark, sf_dir, "events").select("event_id", p.opened(message).alias("m"))
+    return rows.select("event_id", "m.kind", "m.version", "m.sender", F.get_json_object("m.payload", "$.k").alias("k"))
+
+
 _VERSIONS = ((1, 0, 0), (1, 1, 0), (1, 1, 5), (2, 0, 0), (0, 9, 9))
 
 
@@ -120,7 +138,7 @@ _R = "routes AS (SELECT 'nation-' || n_nationkey AS target, CASE WHEN n_regionke
 _V = "(VALUES " + ", ".join(map(str, _VERSIONS)) + ")"
 QUERIES = {f.__name__: f for f in (
     gossip_merge, alive_members, convergence, membership_last, heartbeat_incarnation, route_next_hop, routes_after_update, allocate_nodes, ready_nodes, quota_admission, unknown_tenants,
-    idempotent_submit, rate_limit, aggregation_union, version_matrix, deprecation_state, graph_status)}
+    idempotent_submit, rate_limit, aggregation_union, version_matrix, deprecation_state, graph_status, node_states, tenant_quotas, envelope_roundtrip)}
 ORACLES = {
     "gossip_merge": f"WITH {_G} SELECT id, x.h AS heartbeat, x.s AS seq, x.st AS status FROM g",
     "alive_members": f"WITH {_G} SELECT id FROM g WHERE x.st = 'Connected' AND id <> 1",
@@ -138,5 +156,8 @@ ORACLES = {
     "aggregation_union": "SELECT nationkey, round(sum(acctbal), 4) AS total, count(*) AS n FROM (SELECT c_nationkey AS nationkey, c_acctbal AS acctbal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1",
     "version_matrix": f"SELECT a.x || '.' || a.y || '.' || a.z AS a, b.x || '.' || b.y || '.' || b.z AS b, a.x = b.x AS compatible, (a.x, a.y, a.z) > (b.x, b.y, b.z) AS newer, a.x IN (1, 2) AS supported, '1.0.0, 2.0.0' AS supported_text FROM {_V} a(x, y, z), {_V} b(x, y, z)",
     "deprecation_state": "SELECT o_orderkey, TIMESTAMP '1997-06-01' >= o_orderdate AS deprecated, TIMESTAMP '1997-06-01' >= o_orderdate + to_days((o_orderkey % 900)::INT) AS removed, TIMESTAMP '1997-06-01' < o_orderdate + to_hours((o_orderkey % 900)::INT) AS key_valid FROM orders",
+    "node_states": "WITH l AS (SELECT user_id AS id, arg_max(CASE event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Ready' ELSE 'Executing' END, (ts, event_id)) AS state FROM events WHERE event_type IN ('error', 'signup', 'purchase') AND user_id % 2 = 0 GROUP BY 1) SELECT c_custkey AS id, coalesce(state, 'Ready') AS state FROM customer LEFT JOIN l ON c_custkey = id",
+    "tenant_quotas": "SELECT o_custkey AS tenant, arg_max(o_orderkey % 7 + 1, (o_orderdate, o_orderkey)) AS max_concurrent FROM orders GROUP BY 1",
+    "envelope_roundtrip": "SELECT event_id, event_type AS kind, '1.0.0' AS version, user_id::VARCHAR AS sender, json_extract_string(props, '$.k') AS k FROM events",
     "graph_status": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'failed: ' || o_orderpriority WHEN 'O' THEN 'running' ELSE 'completed' END AS status, o_orderstatus <> 'O' AS terminal, o_orderstatus = 'O' AS active FROM orders",
 }

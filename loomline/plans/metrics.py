@@ -106,6 +106,19 @@ def failure_streaks(spark, sf_dir):
     return out.withColumn("rollback", F.col("longest") > 3)
 
 
+_BOUNDS = [10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 250.0]
+
+
+def histogram_buckets(spark, sf_dir):
+    return m.histogram(table(spark, sf_dir, "events"), ["event_type"], "value", _BOUNDS[:-1])
+
+
+def histogram_quantile_1d(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("window_start", F.window(F.col("ts").cast("timestamp"), "1 day")["start"].cast("timestamp_ntz"))
+    out = m.histogram_quantile(m.histogram(rows, ["window_start"], "value", _BOUNDS), ["window_start"], 0.95)
+    return out.withColumn("quantile", F.round("quantile", 6))
+
+
 def stage_time_total(spark, sf_dir):
     times = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("ms"))
     maps = times.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "ms"))).alias("stage_times_ms"))
@@ -127,7 +140,7 @@ def _alerts(bucket: str, availability: float, p95: float, errors: float) -> str:
 
 QUERIES = {f.__name__: f for f in (
     counter_final, counter_running, gauge_last, prometheus_lines, sli_by_user, slo_met, sli_of_nothing, p95_last1000, error_budget, bench_stats, percpu_by_cpu, percpu_snapshot,
-    percpu_since_reset, alert_windows, alert_windows_5m, rate_1m, failure_streaks, stage_time_total)}
+    percpu_since_reset, alert_windows, alert_windows_5m, rate_1m, failure_streaks, histogram_buckets, histogram_quantile_1d, stage_time_total)}
 ORACLES = {
     "counter_final": f"SELECT {_KEY} AS key, count(*) AS total FROM events GROUP BY 1",
     "counter_running": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS running FROM events",
@@ -147,5 +160,7 @@ ORACLES = {
     "alert_windows_5m": _alerts("time_bucket(INTERVAL '5 minutes', ts)", 0.99, 1000.0, 0.05),
     "rate_1m": "SELECT event_type, date_trunc('minute', ts) AS window_start, round(count(*) / 60.0::DOUBLE, 9) AS rate FROM events GROUP BY 1, 2",
     "failure_streaks": "WITH i AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), s AS (SELECT user_id, g, count(*) FILTER (WHERE f) AS n FROM i GROUP BY 1, 2) SELECT user_id, max(n) AS longest, max(n) > 3 AS rollback FROM s GROUP BY 1",
+    "histogram_buckets": "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (25.0), (50.0), (75.0), (100.0), (150.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2",
+    "histogram_quantile_1d": "WITH b AS (SELECT date_trunc('day', ts) AS window_start, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (25.0), (50.0), (75.0), (100.0), (150.0), (250.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2), c AS (SELECT *, coalesce(lag(n) OVER w, 0) AS m, coalesce(lag(le) OVER w, 0) AS low, 0.95::DOUBLE * max(n) OVER (PARTITION BY window_start) AS r FROM b WINDOW w AS (PARTITION BY window_start ORDER BY le)) SELECT window_start, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (r - m) / (n - m) END, 6) AS quantile FROM c WHERE n >= r AND m < r",
     "stage_time_total": "SELECT user_id, count(*) AS total_ms FROM events GROUP BY 1",
 }

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.operators.control import Pid
 from loomline.session import ship
+from loomline.sources.tables import scratch
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
@@ -85,3 +86,27 @@ def merge_into(members: str, key: str, heartbeat: str):
         spark.table(f"{members}_next").write.mode("overwrite").saveAsTable(members)
 
     return run
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, ts: str = "ts") -> DataFrame:
+    """A table of a folder as a stream of files."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
+def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Everything that is there now through the stream: in append mode all batches' rows, else the last batch's.
+    A batch that is run again overwrites its own folder."""
+    path = scratch(stream.sparkSession, name)
+    seen: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        seen.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = sorted(set(seen)) if mode == "append" else sorted(set(seen))[-1:]
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/batch-{n}" for n in batches]) if batches else spark.createDataFrame([], stream.schema)
