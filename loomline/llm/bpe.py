@@ -2,7 +2,7 @@
 
 The distinct pieces of a block of texts are laid out once, and an inverted index leads from each mergeable pair to the
 positions where it stands. Every merge that occurs is then applied in rank order at all its positions, and only the
-neighbours of a merged pair are looked up again. Pieces that a worker has replayed are kept, within a bound, so that
+neighbours of a merged pair are looked up again. Pieces that a task has replayed are kept, within a bound, so that
 frequent ones are replayed once. A text never leaves its task: nothing is shuffled.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain, islice
@@ -24,9 +25,9 @@ from loomline.session import ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose new pieces are replayed together.
-BLOCK = 12 << 20
-#: Pieces that a worker keeps; pieces of one very long text that are handled at once.
-KEPT, AT_ONCE = 500_000, 1_000_000
+BLOCK = 8 << 20
+#: Pieces that a task keeps; pieces of one very long text that are handled at once.
+KEPT, AT_ONCE = 200_000, 1_000_000
 
 
 class Codec:
@@ -181,9 +182,10 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def codec(vocabulary: str) -> Codec:
+    """vocabulary: a file of ranks that each executor can open, or the name of an installed public one."""
     import public_tokenizers
 
-    return Codec(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
+    return Codec(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
 
 
 def _encoded(batches, vocabulary: str):
@@ -197,6 +199,9 @@ def _encoded(batches, vocabulary: str):
         cut = [c.pieces.findall(t) for t in texts]
         c.learn(cut)
         yield batch, (list(chain.from_iterable(map(c.known.__getitem__, x))) for x in cut)
+        del cut, texts, batch
+    c.known.clear()
+    tx.trim()
 
 
 def _digests(vocabulary: str):

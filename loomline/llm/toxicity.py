@@ -18,7 +18,7 @@ BITS = 20
 #: Bytes of a word's beginning that count as a word of their own, so that its endings share what is learned.
 STEMS = (4, 5, 6, 7)
 #: Labelled rows that are fitted at most, of label 0 and of label 1: the bound of the sample.
-PER_CLASS = (9000, 1500)
+PER_CLASS = (6000, 1500)
 #: A feature without meaning gathers gradients like a random walk, so L1 is this times the root of the rows fitted.
 EPOCHS, ALPHA, BETA, L1_ROOT, L2 = 3, 0.3, 1.0, 0.7, 1.0
 THRESHOLD = 0.3
@@ -74,6 +74,8 @@ def _fit_task(batches):
         rows += [((both[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)).astype(np.int32), (order, int(y))) for i, (y, order) in enumerate(zip(batch.column("toxic").to_pylist(), batch.column("learned").to_pylist(), strict=True))]
     rows.sort(key=lambda r: r[1])
     w, bias = fit([(x, y) for x, (_, y) in rows])
+    del rows
+    tx.trim()
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w[at].tolist()], pa.float64())], ["feature", "weight"])
 
@@ -101,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "text") -> list[tupl
     return sorted(weights.items())
 
 
-def _score_task(weights: list[tuple[int, float]]):
+def _score_task(weights: list[tuple[int, float]], column: str):
     at = np.array([k for k, _ in weights if k >= 0], np.int64)
     values = np.array([v for k, v in weights if k >= 0])
     bias = dict(weights).get(-1, 0.0)
@@ -110,28 +112,35 @@ def _score_task(weights: list[tuple[int, float]]):
         table = np.zeros(1 << BITS)
         table[at] = values
         heavy = table != 0
-        for batch, raw, ends in tx.blocks(batches, "text"):
+        for batch, raw, ends in tx.blocks(batches, column):
             f, owner = features(raw, ends)
             some = heavy[f]
             both = np.unique(owner[some] << BITS | f[some])
             total = bias + np.bincount(both >> BITS, table[both & ((1 << BITS) - 1)], len(batch))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*batch.schema.names, "__score"])
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, column: str = "text", whole: bool = False) -> DataFrame:
-    """docs(doc_id, column, ...) -> doc_id, held_out, score, predicted; with whole, docs' own columns come first.
+def _scored(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """docs with __score, and column as a string."""
+    rows = docs.withColumn(column, F.col(column).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __score double"
+    return rows.mapInArrow(_score_task(learn(docs, labels, column), column), schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
+    """docs(doc_id, column, ...) -> doc_id, held_out, score, predicted.
 
     The score is a probability from the text alone. Null text: as an empty one, which gets the bias' score. held_out
     says that crc32 of doc_id as text mod 4 is 2 (null doc_id: false). Each row gives a row. Without labels of both
-    classes all scores are the bias' alone. Columns named like the new ones are replaced.
+    classes all scores are the bias' alone. Other columns are not read.
     """
-    weights = learn(docs, labels, column)
-    kept = [c for c in docs.columns if c not in ("text", "held_out", "score", "predicted")] if whole else ["doc_id"]
-    rows = docs.select(*kept, F.col(column).cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", score double"
-    out = rows.mapInArrow(_score_task(weights), schema)
-    out = out.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
-    out = out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-    return out.select(*(kept if whole else [F.col("doc_id").cast("long").alias("doc_id")]), *(["text"] if whole else []), "held_out", "score", "predicted")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return _scored(slim, labels, "text").select("doc_id", held_out.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows that are predicted toxic."""
+    return _scored(docs, labels, column).filter(F.col("__score") < THRESHOLD).drop("__score")

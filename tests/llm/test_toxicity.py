@@ -45,5 +45,6 @@ def test_edges(spark, docs, empty):
     assert rows[0].score == rows[1].score == rows[2].score and rows[None].held_out is False
     assert toxicity.score(empty, labels).count() == 0
     assert toxicity.score(docs, labels.filter("false")).count() == docs.count()
-    whole = toxicity.score(docs, labels, whole=True)
-    assert {"doc_id", "text", "lang", "spans", "score"} <= set(whole.columns) and whole.count() == docs.count()
+    kept = toxicity.clean(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == out.filter("predicted = 0").count()
+    assert {r.doc_id: r.score for r in kept.collect() if r.doc_id} == {r.doc_id: r.score for r in docs.collect() if r.doc_id and rows[r.doc_id].predicted == 0}
