@@ -158,11 +158,12 @@ def _find(items: list[tuple[int, str]]):
                     spans = {(index.ids[i], s) for i, d in index.bands(x) if (s := index.verified(x, i, d))}
                     own = [{"item_id": i, "start": s[0], "end": s[1], "edits": s[2]} for i, s in sorted(spans)]
                 out.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _HITS)], [*batch.schema.names, "hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _HITS)], [*batch.schema.names, "__hits"])
 
     return run
 
 
+_HIT_TYPE = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
@@ -179,33 +180,30 @@ def _passes(benchmark: DataFrame):
         yield own
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) -> the columns of keep (doc_id alone by default) and hits: an array of (item_id, start,
-    end, edits) in code points of the whole text, end exclusive.
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> docs' columns and __hits: an array of (item_id, start, end, edits) in code points of the
+    whole text, end exclusive.
 
     An item counts where all of it stands in the text with at most budget(its length) edits, case of A-Z and kind of
     ASCII white space aside. Items under Q characters or null are not searched. Null text: no hits; each row gives a
     row. An empty benchmark gives no hits.
     """
     ship(docs.sparkSession)
-    kept = keep or ["doc_id"]
-    named = [c for c in kept if c != "text"]
-    out = docs.select(*named, F.col("text").cast("string").alias("text")).withColumn("hits", F.array().cast("array<struct<item_id:bigint,start:int,end:int,edits:int>>"))
+    out = docs.withColumns({"text": F.col("text").cast("string"), "__hits": F.array().cast(_HIT_TYPE)})
     for items in _passes(benchmark):
-        rows = out.withColumnRenamed("hits", "earlier")
+        rows = out.withColumnRenamed("__hits", "__earlier")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        out = rows.mapInArrow(_find(items), schema + ", hits array<struct<item_id:bigint,start:int,end:int,edits:int>>")
-        out = out.withColumn("hits", F.concat("earlier", "hits")).drop("earlier")
-    return out.select(*kept, "hits")
+        out = rows.mapInArrow(_find(items), f"{schema}, __hits {_HIT_TYPE}").withColumn("__hits", F.concat("__earlier", "__hits")).drop("__earlier")
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark item."""
-    return find_leaks(docs, benchmark, docs.columns).filter(F.size("hits") == 0).select(*docs.columns)
+    return find_leaks(docs, benchmark).filter(F.size("__hits") == 0).drop("__hits")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: doc_id, contaminated, n_hits, item_ids (distinct, ascending) and hits."""
-    found = find_leaks(docs, benchmark)
+    found = find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).withColumnRenamed("__hits", "hits")
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_hits"), ids.alias("item_ids"), "hits")
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_hits"), ids.alias("item_ids"), "hits")
