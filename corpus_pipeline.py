@@ -13,7 +13,7 @@ from loomline.session import durable, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels"), whole=True).filter("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
