@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from loomline.session import durable, ship
 
-#: Probes of each splitter in a round, and how far from its target, as a share of a shard, a splitter may be.
-PROBES, TOLERANCE = 32, 0.002
+#: Probes of each splitter in a round, and how far from its target, as a share of a shard, a splitter may be; and how
+#: far it may be for not to cut a group of equal texts.
+PROBES, TOLERANCE, GROUP_TOLERANCE = 32, 0.002, 0.01
 #: Rows of a shard are numbered in so many groups at once.
 SLOT_GROUPS = 64
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -88,6 +89,10 @@ def splitters(sizes: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
         if abs(upto - target) <= near or upto == under:
             out.append((key, _HIGH))
             continue
+        best = min((upto, key), (under, key - 1), key=lambda x: abs(x[0] - target))
+        if abs(best[0] - target) <= total / shards * GROUP_TOLERANCE:
+            out.append((best[1], _HIGH))
+            continue
         doc, n, less = _refine(sizes, "doc_id", [target - under], near, ("key", key))[0]
         out.append((key, doc) if abs(n - (target - under)) <= abs(less - (target - under)) else (key, doc - 1))
     return out or [(_HIGH, _HIGH)] * (shards - 1)
@@ -97,7 +102,7 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, colum
     """docs(doc_id, column, ...) -> docs' columns with size, text_crc32, law, shard, slot and grown_shard.
 
     Law `bytes`: shards' sizes (UTF-8 bytes of the text plus 1; null: 1) are within tolerance of equal, as far as
-    single rows allow. Equal texts share a shard unless a splitter falls among them. Rows that are equal in doc_id and
+    single rows allow. Equal texts share a shard unless that would take a splitter more than GROUP_TOLERANCE off. Rows that are equal in doc_id and
     text can't be parted. A null doc_id counts as the lowest. slot numbers a shard's rows without gaps from 0. Columns
     named like the new ones are replaced. An empty table gives no rows.
     """
