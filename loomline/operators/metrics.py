@@ -22,9 +22,16 @@ def counter_totals(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("total"))
 
 
-def counter_log(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Every increment with its key's running total."""
-    return rows.withColumn("running", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+def counter_log(rows: DataFrame, key: str, order: list[str], part: Column | None = None) -> DataFrame:
+    """Every increment with its key's running total. part: something that never falls in that order, like the hour; rows
+    are then numbered within parts and parts' totals are added up, so that a key with very many rows is spread."""
+    if part is None:
+        return rows.withColumn("running", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    held = rows.withColumn("_part", part)
+    sums = held.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return held.withColumn("_own", own).join(before, [key, "_part"]).withColumn("running", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
 def gauge_last(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -47,12 +54,42 @@ def error_budget(target: Column) -> Column:
     return (F.lit(1.0) - target) * 100
 
 
-def at_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """The values at floor(q * n), at most n - 1, counted from 0 in ascending order, for each key."""
+def _ranks(q: float) -> Column:
+    return F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1)
+
+
+def at_rank_of_few(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """at_rank() for keys whose rows are bounded in number: one window."""
     w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_rank"), F.count(F.lit(1)).over(w).alias("_n"))
-    picked = [F.max(F.when(F.col("_rank") == F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1) + 1, F.col(value))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(*picked)
+    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_rank"), F.count(F.lit(1)).over(w).alias("_n"))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("_rank") == _ranks(q), F.col(value))).alias(name) for name, q in quantiles.items()])
+
+
+#: How finely a sketch brackets a rank before it is counted out.
+ACCURACY = 10_000
+
+
+def at_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """The values at floor(q * n), at most n - 1, counted from 0 in ascending order, for each key; exact, whatever a
+    key's rows. A mergeable sketch brackets each rank, rows below the bracket are counted, and only those within it,
+    summed up by value, are put in order. Nulls don't count."""
+    held = rows.filter(F.col(value).isNotNull()).select(*keys, value)
+    names = list(quantiles)
+    edges = [min(max(quantiles[n] + d, 0.0), 1.0) for n in names for d in (-2 / ACCURACY, 2 / ACCURACY)]
+    bounds = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, edges, ACCURACY).alias("_b"))
+    near = held.join(bounds, keys)
+    low, high = ([F.col("_b")[2 * i + d] for i in range(len(names))] for d in (0, 1))
+    inside = [(F.col(value) >= low[i]) & (F.col(value) <= high[i]) for i in range(len(names))]
+    some = inside[0]
+    for x in inside[1:]:
+        some = some | x
+    under = near.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_b").alias("_b"), *[F.sum((F.col(value) < low[i]).cast("long")).alias(f"_under{i}") for i in range(len(names))])
+    counted = near.filter(some).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).join(under, keys)
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = [(F.col(f"_under{i}") + F.sum(F.when(inside[i], F.col("_c")).otherwise(0)).over(w)).alias(f"_upto{i}") for i in range(len(names))]
+    placed = counted.select(*keys, value, "_n", *[x.alias(f"_in{i}") for i, x in enumerate(inside)], *upto)
+    picked = [F.min(F.when(F.col(f"_in{i}") & (F.col(f"_upto{i}") > _ranks(quantiles[n])), F.col(value))).alias(n) for i, n in enumerate(names)]
+    return placed.groupBy(*keys).agg(*picked)
 
 
 def recent(rows: DataFrame, keys: list[str], order: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -64,7 +101,7 @@ def recent(rows: DataFrame, keys: list[str], order: list[str], samples: int = SA
 
 
 def p95_recent(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    return at_rank(recent(rows, keys, order), keys, value, {"p95": 0.95})
+    return at_rank_of_few(recent(rows, keys, order), keys, value, {"p95": 0.95})
 
 
 def run_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

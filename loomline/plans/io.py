@@ -54,8 +54,16 @@ def sensor_batch(spark, sf_dir):
     return s.sensors(spark, 50_000).withColumn("metric_value", F.round("metric_value", 6))
 
 
+def staged_job_1m(spark, sf_dir):
+    """The whole staged job over a million sensor rows: source, batch function, Parquet sink, sums by tag."""
+    path = s.scratch(spark, "staged")
+    s.terminal(FUNCTIONS.apply("identity", s.sensors(spark, 1_000_000)), path)
+    sums = s.receive(spark, path).groupBy("sensor_tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("metric_value"), 2).alias("total"))
+    return sums
+
+
 _BY_TYPE = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
-QUERIES = {f.__name__: f for f in (udf_identity, udf_scale, receptor_typed, terminal_roundtrip, partitioned_roundtrip, ipc_roundtrip, sensor_batch)}
+QUERIES = {f.__name__: f for f in (udf_identity, udf_scale, receptor_typed, terminal_roundtrip, partitioned_roundtrip, ipc_roundtrip, sensor_batch, staged_job_1m)}
 ORACLES = {
     "udf_identity": "SELECT event_id, user_id, value FROM events",
     "udf_scale": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l_quantity FROM lineitem",
@@ -63,5 +71,6 @@ ORACLES = {
     "terminal_roundtrip": _BY_TYPE,
     "partitioned_roundtrip": "SELECT n_regionkey AS region_id, CAST(hour(ts) AS INT) AS timestamp_hour, round(sum(value), 4) AS sum_value FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",
     "ipc_roundtrip": _BY_TYPE,
+    "staged_job_1m": "SELECT 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS sensor_tag, count(*) AS n, round(sum(range * 0.12345::DOUBLE), 2) AS total FROM range(1000000) GROUP BY 1",
     "sensor_batch": "SELECT range AS id, round(range * 0.12345::DOUBLE, 6) AS metric_value, 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS sensor_tag FROM range(50000)",
 }

@@ -22,7 +22,7 @@ def counter_final(spark, sf_dir):
 
 
 def counter_running(spark, sf_dir):
-    return m.counter_log(events(spark, sf_dir).select("event_type", *_ORDER), "event_type", _ORDER).select("event_id", "event_type", "running")
+    return m.counter_log(events(spark, sf_dir).select("event_type", *_ORDER), "event_type", _ORDER, F.date_trunc("hour", "ts")).select("event_id", "event_type", "running")
 
 
 def gauge_last(spark, sf_dir):

@@ -43,6 +43,18 @@ def test_service_level(spark):
         m.recent(many, ["k"], ["seq"], 0)
 
 
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_ranks_are_exact_whatever_the_sketch(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(m, "ACCURACY", accuracy)
+    rnd = random.Random(5)
+    values = {k: [float(rnd.choice([rnd.randrange(5), rnd.uniform(0, 100)])) for _ in range(n)] for k, n in ((1, 1), (2, 7), (3, 4000), (4, 20))}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [(3, None)], "k long, x double")
+    wanted = {"lowest": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "top": 1.0}
+    want = {k: tuple(sorted(vs)[min(int(q * len(vs)), len(vs) - 1)] for q in wanted.values()) for k, vs in values.items()}
+    assert {r.k: tuple(r)[1:] for r in m.at_rank(df, ["k"], "x", wanted).collect()} == want
+    assert {r.k: tuple(r)[1:] for r in m.at_rank_of_few(df, ["k"], "x", wanted).collect()} == want
+
+
 def test_longest_streak(spark):
     rows = spark.createDataFrame([(1, i, bool(b)) for i, b in enumerate([1, 1, 0, 1, 1, 1, 1, 0, 1])], "k long, seq long, f boolean")
     assert m.longest_streak(rows, ["k"], ["seq"], F.col("f")).first().longest == 4
