@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import ship
+
 
 @dataclass(frozen=True)
 class Pid:
@@ -46,18 +50,27 @@ def pid_final(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid
 
 
 def pid_trace(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid = Pid()) -> DataFrame:
-    """Every observation with the state after it: the fold keeps its states."""
-    start = F.struct(F.lit(0.0).alias("integral"), F.lit(0.0).alias("error"), F.lit(pid.start).alias("epsilon"))
-    runs = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(delta).alias("delta")))).alias("run"))
-    state = "struct<integral:double,error:double,epsilon:double>"
-    kept = F.struct(start.alias("s"), F.array().cast(f"array<{state}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = _step(pid, acc["s"], x["delta"])
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    out = runs.select(key, "run", F.aggregate("run", kept, step)["out"].alias("states"))
-    return out.select(key, F.explode(F.arrays_zip("run", "states")).alias("x")).select(key, *[F.col(f"x.run.{c}").alias(c) for c in order], "x.states.*")
+    """Every observation with the state after it. Keys' rows stream in their order past a state of three numbers, so a
+    series may be of any length; a null observation counts as no change."""
+    ship(rows.sparkSession)
+    held = rows.select(key, *order, F.col(delta).cast("double").alias("_delta")).repartition(key).sortWithinPartitions(key, *order)
+    kept = held.drop("_delta").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = run  # no key is that
+        state = (0.0, 0.0, pid.start)
+        for batch in batches:
+            states = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != now:
+                    now, state = k, (0.0, 0.0, pid.start)
+                state = pid.step(*state, x or 0.0)
+                states.append(state)
+            columns = [pa.array([s[i] for s in states], pa.float64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "integral", "error", "epsilon"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", integral double, error double, epsilon double"
+    return held.mapInArrow(run, schema)
 
 
 def series_variance(value: str) -> Column:

@@ -245,3 +245,11 @@ def test_admission(spark):
     assert tenants.can_start("t")
     with pytest.raises(lc.UnknownTenant):
         tenants.can_start("u")
+
+
+def test_command_line(capsys):
+    from loomline.__main__ import main
+
+    assert main(["list"]) == 0 and "triangles" in capsys.readouterr().out
+    assert main(["sql", "edge_count"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["run", "nothing"]) == 2
