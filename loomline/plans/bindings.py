@@ -21,9 +21,9 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of consecutive large purchases of a day, as (a, b)."""
+    """Users of consecutive purchases of a day, as (a, b)."""
     w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value > 60")
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
     pairs = bought.select(F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"))
     return pairs.filter("b is not null")
 

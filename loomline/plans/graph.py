@@ -10,7 +10,7 @@ from loomline.session import table
 
 
 def _graph(spark, sf_dir):
-    nodes = table(spark, sf_dir, "events").filter("event_type = 'purchase' and value > 60").select(F.col("user_id").alias("id")).distinct()
+    nodes = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.col("user_id").alias("id")).distinct()
     return nodes, g.canonical(purchase_pairs(spark, sf_dir)).filter("u <> v")
 
 
