@@ -6,34 +6,34 @@ from pyspark.sql import functions as F
 
 from loomline.plans.series import ORACLES as SERIES
 from loomline.plans.bindings import deltas
-from loomline.session import durable
+from loomline.session import durable, table
 from loomline.sources.tables import scratch
 from loomline.streaming import live
 
 
 def stream_tumbling(spark, sf_dir):
-    out = live.drain(live.tumbling(live.table_stream(spark, sf_dir, "events"), "ts", ["event_type"], "value"), "complete", "tumbling")
+    out = live.drain(live.tumbling(live.table_stream(spark, sf_dir, "events"), "ts", ["event_type"], "value"), "complete", "tumbling", table(spark, sf_dir, "events"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_sliding(spark, sf_dir):
-    out = live.drain(live.sliding(live.table_stream(spark, sf_dir, "events"), "ts", ["event_type"], "value", "2 hours", "1 hour"), "complete", "sliding")
+    out = live.drain(live.sliding(live.table_stream(spark, sf_dir, "events"), "ts", ["event_type"], "value", "2 hours", "1 hour"), "complete", "sliding", table(spark, sf_dir, "events"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def stream_counters(spark, sf_dir):
-    return live.drain(live.counters(live.table_stream(spark, sf_dir, "events"), ["event_type"]), "complete", "counters")
+    return live.drain(live.counters(live.table_stream(spark, sf_dir, "events"), ["event_type"]), "complete", "counters", table(spark, sf_dir, "events"))
 
 
 def stream_dedup(spark, sf_dir):
     rows = live.table_stream(spark, sf_dir, "events")
-    return live.drain(live.once(rows.unionByName(rows), "ts", "event_id"), "append", "once").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return live.drain(live.once(rows.unionByName(rows), "ts", "event_id"), "append", "once", table(spark, sf_dir, "events")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_telemetry(spark, sf_dir):
     rows = live.table_stream(spark, sf_dir, "events")
     held = rows.select(F.lit(1).alias("packets"), (F.col("event_type") == "error").cast("long").alias("drops"), F.length("props").cast("long").alias("total_bytes"))
-    return live.drain(live.telemetry(held), "complete", "telemetry")
+    return live.drain(live.telemetry(held), "complete", "telemetry", table(spark, sf_dir, "events"))
 
 
 def stream_pid(spark, sf_dir):
@@ -41,7 +41,7 @@ def stream_pid(spark, sf_dir):
     path = scratch(spark, "deltas")
     deltas(spark, sf_dir).withColumn("at", F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string("%020d", "event_id")).cast("string")).coalesce(1).write.parquet(path)
     schema = spark.read.parquet(path).schema
-    out = live.drain(live.feedback(spark.readStream.schema(schema).parquet(path), "user_id", "at", "delta"), "update", "pid")
+    out = live.drain(live.feedback(spark.readStream.schema(schema).parquet(path), "user_id", "at", "delta"), "update", "pid", spark.read.parquet(path))
     return durable(out, "pid").select("user_id", *[F.round(c, 8).alias(c) for c in ("integral", "error", "epsilon")])
 
 

@@ -89,15 +89,21 @@ def merge_into(members: str, key: str, heartbeat: str):
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, ts: str = "ts") -> DataFrame:
-    """A table of a folder as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream of files, be it a folder of part files or a single file."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        stream = reader.parquet(path)
+    else:  # a stream is of folders only
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, name: str, source: DataFrame) -> DataFrame:
     """Everything that is there now through the stream: in append mode all batches' rows, else the last batch's.
-    A batch that is run again overwrites its own folder."""
+    A batch that is run again overwrites its own folder. source is the streamed table as a batch: if it has rows and
+    the stream gave no batch, that is an error."""
     path = scratch(stream.sparkSession, name)
     seen: list[int] = []
 
@@ -109,4 +115,6 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     query.awaitTermination()
     batches = sorted(set(seen)) if mode == "append" else sorted(set(seen))[-1:]
     spark = stream.sparkSession
+    if not batches and not source.isEmpty():
+        raise RuntimeError(f"{name}: the stream gave no batch of a table with rows")
     return spark.read.schema(stream.schema).parquet(*[f"{path}/batch-{n}" for n in batches]) if batches else spark.createDataFrame([], stream.schema)

@@ -1,0 +1,26 @@
+"""Streaming queries over tables of one file and of many."""
+
+import pytest
+
+import __spark_entry__ as entry
+from loomline.session import table
+from loomline.streaming import live
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["stream_tumbling", "stream_sliding", "stream_counters", "stream_dedup", "stream_telemetry"])
+def test_folder_of_part_files_streams_like_a_file(spark, tmp_path, name):
+    table(spark, DATA, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda path: sorted(map(tuple, entry.queries()[name](spark, path).collect()))
+    got = run(str(tmp_path))
+    assert got and got == run(DATA)
+
+
+def test_drain_fails_if_a_table_with_rows_gives_no_batch(spark, tmp_path):
+    rows = table(spark, DATA, "events")
+    (tmp_path / "in").mkdir()
+    stream = live.counters(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["event_type"])
+    with pytest.raises(RuntimeError, match="no batch"):
+        live.drain(stream, "complete", "nothing", rows)
+    assert live.drain(stream, "complete", "nothing", rows.filter("false")).count() == 0
