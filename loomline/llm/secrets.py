@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a randomness test battery for tokens that no pattern knows.
 
-Every token of 20 or more characters gets an inferred encoding and three tests of being uniformly random in it: a
+Every token of 20 or more characters, or each such part of it between '=' signs, gets an inferred encoding and three tests of being uniformly random in it: a
 chi-squared test of the alphabet's use, a runs test about the alphabet's middle and a serial-correlation test of
 neighbours. Their p-values are combined by Fisher's method. Random strings have uniform p-values and words have tiny
 ones. So, for each encoding and class of length over the whole corpus, the share of high p-values tells how many tokens
@@ -27,7 +27,11 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_VALUE, LEAST_ACCESS = 6, 20
+#: Parts of a token that no encoding has all characters of: each split drops the characters of one family of base64.
+PARTS = (re.compile(r"[A-Za-z0-9+/=]{20,}"), re.compile(r"[A-Za-z0-9_=-]{20,}"))
+#: A name's or value's end within a token; padding at the token's end belongs to its last part.
+BETWEEN = re.compile(r"=+(?!=|$)")
+LEAST_VALUE, LEAST_ACCESS, LEAST_TOKEN = 6, 20, 20
 MARK = "[SECRET]"
 
 #: Encodings in the order in which they are tried: name and alphabet, in the order of its values.
@@ -50,18 +54,20 @@ def _chi_tail(x: float, k: float) -> float:
     return 0.5 * math.erfc(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)) / math.sqrt(2))
 
 
+def encoding(body: str) -> int | None:
+    """The place in ENCODINGS of the first one that has all characters."""
+    letters = set(map(ord, body))
+    return next((i for i, values in enumerate(_VALUES) if letters.issubset(values)), None)
+
+
 def battery(token: str) -> tuple[str, float] | None:
     """(encoding, combined p-value of being random in it); None if no encoding has all the characters, or if
     the token is of digits alone or of letters in one case alone, which no secret format uses."""
     body = token.rstrip("=")
-    letters = set(map(ord, body))
-    for (name, alphabet), values in zip(ENCODINGS, _VALUES, strict=True):
-        if letters.issubset(values):
-            break
-    else:
-        return None
-    if name in ("digits", "lower") or not any(c in _DIGITS for c in body):
+    at = encoding(body)
+    if at is None or body.isdigit() or body.isalpha() and (body.islower() or body.isupper()) or not body:
         return None
+    (name, alphabet), values = ENCODINGS[at], _VALUES[at]
     x = np.array([values[ord(c)] for c in body], float)
     n, a = len(x), len(alphabet)
     counts = np.bincount(x.astype(int), minlength=a)
@@ -87,6 +93,23 @@ def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
 
+def tested(text: str, start: int, end: int) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p-value) of the token's parts that the battery tests. A token is split at each inner '='.
+    A part that mixes the signs of both kinds of base64 is split at each kind's in turn: such pieces may overlap, and
+    each is decided by itself."""
+    out = []
+    edges = [start, *(x for m in BETWEEN.finditer(text[start:end]) for x in (start + m.start(), start + m.end())), end]
+    for a, z in zip(edges[::2], edges[1::2], strict=True):
+        if z - a < LEAST_TOKEN:
+            continue
+        if encoding(text[a:z].rstrip("=")) is not None:
+            spans = [(a, z)]
+        else:
+            spans = [m.span() for p in PARTS for m in p.finditer(text, a, z)]
+        out += [(u, v, *r) for u, v in spans if (r := battery(text[u:v]))]
+    return sorted(out)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) by start and kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
@@ -103,10 +126,9 @@ def _scan(batches):
             base.append([{"start": a, "kind": k, "end": z} for a, k, z in spans])
             own = []
             for m in TOKEN.finditer(text) if text else ():
-                if any(a < m.end() and m.start() < z for a, _, z in spans):
-                    continue
-                if tested := battery(m[0]):
-                    own.append({"start": m.start(), "end": m.end(), "stratum": f"{tested[0]}:{length_class(m.end() - m.start())}", "bin": min(int(tested[1] * BINS), BINS - 1)})
+                for u, v, name, p in tested(text, *m.span()):
+                    if not any(a < v and u < z for a, _, z in spans):
+                        own.append({"start": u, "end": v, "stratum": f"{name}:{length_class(v - u)}", "bin": min(int(p * BINS), BINS - 1)})
             more.append(own)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, _BASE), pa.array(more, _MORE)], [*batch.schema.names, "__base", "__more"])
 
@@ -138,7 +160,7 @@ def find_secrets(docs: DataFrame, column: str = "text", spans: str = "spans") ->
     """docs(doc_id, column, ...) -> docs' columns, text being that of column, and spans: an array of (start, kind, end)
     in code points, end exclusive, kinds numbered as KINDS and then 3 for the battery's, by start.
 
-    Spans of the battery never overlap base ones. Null text: empty, with no spans. Each row gives a row. A column of
+    Spans of the battery never overlap base ones; those of a token's pieces may overlap each other. Null text: empty, with no spans. Each row gives a row. A column of
     docs that is named like spans is replaced.
     """
     ship(docs.sparkSession)
