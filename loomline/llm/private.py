@@ -36,7 +36,12 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-_CARD = re.compile(PATTERNS["card"])
+_CARD, _PHONE = re.compile(PATTERNS["card"]), re.compile(PATTERNS["phone"])
+#: How long the account numbers of countries are.
+_IBAN_LENGTHS = dict(re.findall("([A-Z]{2})([0-9]{2})", """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23
+    GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18
+    NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"""))
 _HINT = re.compile("[0-9@]")
 _LETTERS, _CAPITALS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -178,30 +183,50 @@ _RULES = {
 }
 
 
+def _iban_ends(text: str) -> list[int]:
+    """Where an account number that begins a match may end, as words after it match too: first the end that gives its
+    country's length, then the longer ones first."""
+    ends = [len(text), *(m.start() for m in reversed([*re.finditer(" ", text)]))]
+    own = int(_IBAN_LENGTHS.get(text[:2], 0))
+    return sorted(ends, key=lambda z: len(text[:z].replace(" ", "")) != own)
+
+
 @lru_cache(maxsize=100_000)
 def pseudonym(kind: str, text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> str | None:
     """The pseudonym of a value of a kind (with back: the value of a pseudonym); None if it isn't valid."""
     return _RULES[kind](text, key, back)
 
 
+def _is_rest(text: str, failed: int, end: int, key: bytes) -> bool:
+    """Whether a phone number found within a failed match is only the rest of it: it ends there too, or another one
+    begins right behind. Phone numbers have no check digits, so parts of any longer number look like one."""
+    return end <= failed or any(m.start() < end and pseudonym("phone", m[0], key) is not None for m in [_PHONE.search(text, failed)] if m)
+
+
 def replace(text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all valid values replaced, and their (kind, start, end) in the text as it came."""
     if not _HINT.search(text):
         return text, []
-    parts, spans, done, at = [], [], 0, 0
+    parts, spans, done, at, failed = [], [], 0, 0, 0
     while m := _FIND.search(text, at):
-        kind = m.lastgroup
-        new = pseudonym(kind, m[0], key, back)
-        if new is None and kind == "phone":  # groups of digits may be a card, or a number may begin further on
-            n = _CARD.match(text, m.start())
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind == "iban":
+            new, end = next(((new, start + z) for z in _iban_ends(m[0]) if (new := pseudonym(kind, m[0][:z], key, back)) is not None), (None, end))
+        else:
+            rest = kind == "phone" and start < failed and _is_rest(text, failed, end, key)
+            new = None if rest else pseudonym(kind, m[0], key, back)
+        if new is None and kind == "phone" and not (rest and end > failed):  # groups of digits may be a card, or a number may begin further on
+            n = _CARD.match(text, start)
             if n and (new := pseudonym("card", n[0], key, back)) is not None:
-                kind, m = "card", n
+                kind, end = "card", n.end()
         if new is None:
-            at = m.start() + 1 if kind == "phone" else m.end()
+            if kind != "phone":
+                failed = max(failed, end)
+            at = start + 1
             continue
-        parts += [text[done : m.start()], new]
-        spans.append((kind, m.start(), m.end()))
-        done = at = m.end()
+        parts += [text[done:start], new]
+        spans.append((kind, start, end))
+        done = at = end
     return "".join([*parts, text[done:]]) if spans else text, spans
 
 
