@@ -43,6 +43,9 @@ ENCODINGS = (
 _VALUES = [{ord(c): i for i, c in enumerate(alphabet)} for _, alphabet in ENCODINGS]
 #: p-values are counted in so many equal bins; above TAIL words are taken to be absent.
 BINS, TAIL, RATE = 200, 0.5, 0.05
+#: With fewer p-values above TAIL than FEW their share tells little, and a token's own p-value counts: of words, WORDS
+#: at most are at OWN or above (of mixed-case ones of 20 to 28 characters, some 1 to 3 of 100).
+FEW, OWN, WORDS = 8, 0.25, 0.02
 
 
 def _normal_tail(z: float) -> float:
@@ -140,7 +143,9 @@ _SCHEMA = ", __base array<struct<start:int,kind:int,end:int>>, __more array<stru
 
 def cuts(counted: list[tuple[str, int, int]], rate: float = RATE) -> dict[str, int]:
     """(stratum, bin, tokens) over all documents -> the lowest bin from which a stratum's tokens are reported. The
-    number of random tokens is told by the bins above TAIL; those of a cut that go beyond them are false."""
+    number of random tokens is told by the bins above TAIL; those of a cut that go beyond them are false. With fewer
+    than FEW of them, tokens from OWN on are reported too if they are twice as many as words alone would give, so that a
+    token alone in its stratum is decided by its own p-value."""
     by: dict[str, np.ndarray] = {}
     for stratum, b, n in counted:
         by.setdefault(stratum, np.zeros(BINS))[b] += n
@@ -153,6 +158,9 @@ def cuts(counted: list[tuple[str, int, int]], rate: float = RATE) -> dict[str, i
         good &= np.arange(BINS) >= 1  # p-values under 1 / BINS stand for words
         if random and good.any():
             out[stratum] = int(np.argmax(good))
+        own = int(BINS * OWN)
+        if random * (1 - TAIL) < FEW and found[own] and found[own] >= 2 * WORDS * found[0]:
+            out[stratum] = min(out.get(stratum, own), own)
     return out
 
 

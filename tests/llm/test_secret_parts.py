@@ -39,3 +39,21 @@ def test_parts_of_a_token():
     text = "some/path_of+" + key
     found = secrets.tested(text, 0, len(text))
     assert any(text[a:z].endswith(key) for a, z, *_ in found)
+
+
+def test_a_token_alone_in_its_stratum_is_decided_by_its_own_p_value():
+    at = lambda p: int(p * secrets.BINS)
+    counted = [("alone", at(0.3), 1), ("word", 0, 1), ("weak", at(0.05), 1), ("few", at(0.3), 2), ("few", at(0.7), 1), ("few", 0, 5), ("words", 0, 990), ("words", at(0.3), 10)]
+    cut = secrets.cuts(counted)
+    assert cut["alone"] <= at(0.3) and cut["few"] <= at(0.3)
+    assert not {"word", "weak", "words"} & set(cut)
+
+
+def test_rare_formats_are_reported_whatever_else_the_corpus_holds():
+    rnd = random.Random(12)
+    reported = 0
+    for _ in range(300):
+        _, p = secrets.battery("".join(rnd.choices(BASE62, k=40)))
+        b = min(int(p * secrets.BINS), secrets.BINS - 1)
+        reported += secrets.cuts([("rare", b, 1)]).get("rare", secrets.BINS) <= b
+    assert reported >= 0.7 * 300
