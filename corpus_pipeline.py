@@ -17,9 +17,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One row of each group of near duplicates: the one with the smallest doc_id, and of several texts of one doc_id the
+    one with the smallest hash; a row without a doc_id only if no other stands for it. Texts without words are no
+    duplicates, but of rows with equal doc_id and text only one stays, null ones included."""
+    counted = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if counted.n == counted.ids:
+        kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    once = docs.dropDuplicates(["doc_id", "text"]).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    rows = durable(once.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    kept = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("kept").select(F.col("doc_id").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
