@@ -48,8 +48,7 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     texts = len(at) - 1
     start, end, first = tx.word_bounds(raw, at)
-    c = tx.prefix(raw)
-    words = tx.spans_hash(c, start, end)
+    words = tx.content_hash(raw, start, end)
     owner = np.repeat(np.arange(texts), np.diff(first))
     heads = np.concatenate([[0], np.cumsum(_HEAD[raw])])
     symbols = np.concatenate([[0], np.cumsum(_SYMBOLS[raw])])
@@ -72,7 +71,7 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     stop = stop - (raw[stop - 1] == 10)
     wordy = np.searchsorted(start, stop) > np.searchsorted(start, begin)
     begin, stop, line_owner = begin[wordy], stop[wordy], line_owner[wordy]
-    dup = _again(tx.spans_hash(c, begin, stop), line_owner)
+    dup = _again(tx.content_hash(raw, begin, stop), line_owner)
 
     by_word = lambda x: tx.reduce_at(np.add, x.astype(np.int64), first, 0)
     return {

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -66,6 +68,24 @@ def spans_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * Powers.of(len(c))[1][start])
 
 
+#: A random word for each byte at each of a piece's first 256 places.
+_PLACED = mix(np.arange(1, (1 << 16) + 1, dtype=U64) * PLACES[0])
+
+
+def content_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of raw[start:end] for pieces that don't overlap: sums of a random word for each byte at its place. Unlike a
+    polynomial mod 2**64 this has no structure that regular strings (like Thue and Morse's) could cancel out."""
+    n = end - start
+    at = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], n)
+    key = (place << 8 | raw[np.repeat(start, n) + place]).astype(U64)
+    words = _PLACED[(key & U64(0xFFFF)).astype(np.int64)]
+    far = np.flatnonzero(place >= 256)
+    if len(far):
+        words[far] = mix(key[far] * PLACES[1] + U64(1))
+    return mix(reduce_at(np.add, words, at, 0) + n.astype(U64) * PLACES[2])
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after another, and len + 1 offsets; null texts are empty."""
     wide = column.type in (pa.large_string(), pa.large_binary())
@@ -77,6 +97,24 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+def positional(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns named c0, c1, ... by position, so that no name clashes with another or with a new one, and the
+    new names of the wanted columns: an exact match, else the one that differs in case only."""
+    names, found = docs.columns, []
+    for w in wanted:
+        at = [i for i, n in enumerate(names) if n == w] or [i for i, n in enumerate(names) if n.lower() == w.lower()]
+        if len(at) != 1:
+            raise ValueError(f"one column {w} is wanted, not {len(at)}")
+        found.append(f"c{at[0]}")
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), found
+
+
+def slim(docs: DataFrame, column: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id as a long and text as a string, whatever else docs has."""
+    held, (own, text) = positional(docs, key, column)
+    return held.select(F.col(own).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def trim() -> None:
     """Give a task's freed memory back; workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -116,7 +154,7 @@ def word_bounds(raw: np.ndarray, at: np.ndarray, parts: np.ndarray = _SPACE) ->
 def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True, parts: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, with A-Z lower-cased if so asked, and for each text the number of its first word."""
     start, end, first = word_bounds(raw, at, parts)
-    return spans_hash(prefix(_LOWER[raw] if lower else raw), start, end), first
+    return content_hash(_LOWER[raw] if lower else raw, start, end), first
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
