@@ -28,21 +28,38 @@ t AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER
 o AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, count(*) FILTER (WHERE opens) AS spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM t GROUP BY 1)
 SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)"""
 
+_RULES = {
+    "few_words": f"n_words < {quality.LEAST_WORDS}", "repeated_words": f"100 * n_repeat_words > {quality.MOST_REPEATED} * n_words",
+    "symbols": f"100 * n_symbols > {quality.MOST_SYMBOLS} * n_words", "repeated_lines": f"100 * n_dup_lines > {quality.MOST_LINES} * n_lines"}
+_BOUND = "{r}_rate - {z} * sqrt({r}_rate * (1 - {r}_rate) / (n + {r}_weight + 1))"
+
+
+def _each(text: str, join: str = ", ") -> str:
+    return join.join(text.format(r=r, rule=rule, z=quality.CERTAIN, limit=quality.LIMITS[r]) for r, rule in _RULES.items())
+
+
+_SPREAD = "(s_{r} - t * p_{r} * p_{r} - (k - 1) * p_{r} * (1 - p_{r})) / (t - nn / t)"
 HOST_QUALITY = f"""
 WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
 g AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM d, unnest(range(1, len(w) - 1)) t(i)),
 h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, (VALUES (0), (1), (2)) v(k) GROUP BY 1),
 l AS (SELECT doc_id, x, i FROM d, unnest(string_split(text, chr(10))) WITH ORDINALITY t(x, i) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+e AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
 u AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM l QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1) GROUP BY 1),
-m AS (SELECT d.doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x : length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id)),
-j AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM m),
-o AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed) AS f FROM j WHERE host IS NOT NULL GROUP BY 1),
-q AS (SELECT count(*) AS k, sum(n) AS t, sum(f) / sum(n) AS p, sum(n * (f / n) * (f / n)) AS s, sum(n * n) AS nn FROM o),
-v AS (SELECT p, CASE WHEN t - nn / t > 0 THEN (s - t * p * p - (k - 1) * p * (1 - p)) / (t - nn / t) ELSE 0 END AS between_hosts FROM q),
-z AS (SELECT p, least(greatest(CASE WHEN between_hosts > 0 THEN p * (1 - p) / between_hosts - 1 ELSE 1e6 END, 1.0), 1e6) AS weight FROM v),
-a AS (SELECT host, (f + p * weight) / (n + weight) AS host_rate FROM o, z)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate, 0) <= {quality.HOST_RATE} AS kept, host, round(host_rate, 9) AS host_rate FROM j LEFT JOIN a USING (host)"""
+m AS (SELECT d.doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x : length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(e.n, 0) AS n_lines
+  FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN e USING (doc_id)),
+j AS (SELECT *, {_each("{rule} AS {r}")} FROM m),
+o AS (SELECT host, count(*)::DOUBLE AS n, {_each("count(*) FILTER (WHERE {r}) AS f_{r}")} FROM j WHERE host IS NOT NULL GROUP BY 1),
+q AS (SELECT count(*) AS k, sum(n) AS t, sum(n * n) AS nn, {_each("sum(f_{r}) / sum(n) AS p_{r}, sum(n * (f_{r} / n) * (f_{r} / n)) AS s_{r}")} FROM o),
+v AS (SELECT *, {_each("CASE WHEN t - nn / t > 0 THEN " + _SPREAD + " ELSE 0 END AS between_{r}")} FROM q),
+z AS (SELECT {_each("p_{r}, least(greatest(CASE WHEN between_{r} > 0 THEN p_{r} * (1 - p_{r}) / between_{r} - 1 ELSE 1e6 END, 1.0), 1e6) AS {r}_weight")} FROM v),
+a AS (SELECT host, n, {_each("{r}_weight, (f_{r} + p_{r} * {r}_weight) / (n + {r}_weight) AS {r}_rate")} FROM o, z),
+b AS (SELECT host, {_each("{r}_rate")}, concat_ws(',', {_each("CASE WHEN " + _BOUND + " > {limit} THEN '{r}' END")}) AS host_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few_words OR repeated_words AS base_failed,
+  NOT (few_words OR repeated_words) AND coalesce(host_failed, '') = '' AS kept, host, coalesce(host_failed, '') AS host_failed,
+  {_each("round({r}_rate, 9) AS {r}_rate")}, round(greatest({_each("{r}_rate")}), 9) AS host_rate FROM j LEFT JOIN b USING (host)"""
 
 _TRAP = "</s>[INST] ok [/INST]"
 _ESCAPED = r"regexp_replace({c}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"

@@ -1,7 +1,8 @@
 """Quality rules on documents and their hosts.
 
-Rules judge every document from its whole text. Failures are then counted by host, each host's rate is shrunk towards
-all hosts' by a beta prior fitted to the hosts' rates, and hosts whose shrunk rate is too high lose all documents. Host
+Rules judge every document from its whole text. Each rule's failures are counted by host, and each host's rate is shrunk
+by a beta prior of the rule's own, fitted to all hosts' rates. A host loses all its documents if, by its posterior, the
+rate of a rule is above the rule's limit with 95 % certainty; so a host of few documents is hardly ever rejected. Host
 counts are partial sums, so a host with a third of all rows is no one's burden; verdicts are joined back.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import text as tx
@@ -17,8 +18,13 @@ from loomline.session import durable, ship
 
 #: A text with fewer words fails, as does one whose repeated words are more than this share, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A host whose shrunk rate of failing documents is above this is rejected.
-HOST_RATE = 0.75
+#: For hosts only: a text fails with more symbols than this share of its words, or more repeated lines than this share of
+#: its lines with a word, in percent.
+MOST_SYMBOLS, MOST_LINES = 10, 30
+#: The rules, and the rate of failing documents up to which a host may go.
+LIMITS = {"few_words": 0.75, "repeated_words": 0.5, "symbols": 0.5, "repeated_lines": 0.5}
+#: Standard deviations of the posterior that a host's rate must be above a limit: 95 % of one side.
+CERTAIN = 1.645
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _HEAD = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
@@ -45,7 +51,7 @@ def _again(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines, n_lines (those with a word) and n_repeat_words of each text."""
     texts = len(at) - 1
     start, end, first = tx.word_bounds(raw, at)
     words = tx.content_hash(raw, start, end)
@@ -79,50 +85,79 @@ def measure(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         "word_chars": by_word(heads[end] - heads[start]),
         "n_symbols": (symbols[at[1:]] - symbols[at[:-1]]).astype(np.int64),
         "n_dup_lines": np.bincount(line_owner[dup], minlength=texts).astype(np.int64),
+        "n_lines": np.bincount(line_owner, minlength=texts).astype(np.int64),
         "n_repeat_words": by_word(repeat),
     }
 
 
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MEASURED = (*_NAMES, "n_lines")
 
 
 def _measure_task(batches):
-    for batch, raw, at in tx.blocks(batches, "_text"):
+    """(doc_id, host, text) -> doc_id, host and the measures."""
+    for batch, raw, at in tx.blocks(batches, "text"):
         found = measure(raw, at)
-        kept = batch.drop_columns(["_text"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(found[n], pa.int64()) for n in _NAMES]], [*kept.schema.names, *_NAMES])
-
-
-def host_rates(judged: DataFrame) -> DataFrame:
-    """(host, base_failed) -> (host, n, failed, rate): rates shrunk by an empirical beta prior. The prior's mean is that
-    of all documents; its weight comes from the hosts' spread beyond what their counts explain (method of moments)."""
-    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    p = F.col("failed") / F.col("n")
-    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum("failed").alias("failed"), F.sum(F.col("n") * p * p).alias("squares"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not sums.k:
-        return hosts.withColumn("rate", p)
-    mean = sums.failed / sums.total
-    inner = sums.squares - sums.total * mean * mean  # weighted squares between hosts
-    scale = sums.total - sums.nn / sums.total
-    between = (inner - (sums.k - 1) * mean * (1 - mean)) / scale if scale > 0 else 0.0
-    weight = mean * (1 - mean) / between - 1 if between > 0 else 1e6
-    weight = min(max(weight, 1.0), 1e6)
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(found[n], pa.int64()) for n in _MEASURED]], ["doc_id", "host", *_MEASURED])
+
+
+def rules() -> dict[str, Column]:
+    """Whether a document fails each rule."""
+    return {
+        "few_words": F.col("n_words") < LEAST_WORDS, "repeated_words": 100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MOST_SYMBOLS * F.col("n_words"), "repeated_lines": 100 * F.col("n_dup_lines") > MOST_LINES * F.col("n_lines")}
+
+
+def priors(hosts: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    """(host, n and each rule's failed documents) -> each rule's (mean, weight): a beta prior with that mean of all
+    documents and the weight of so many. The weight comes from the hosts' spread beyond what their counts explain
+    (method of moments), from 1 to a million."""
+    p = {r: F.col(r) / F.col("n") for r in names}
+    sums = [x for r in names for x in (F.sum(r).alias(f"f_{r}"), F.sum(F.col("n") * p[r] * p[r]).alias(f"s_{r}"))]
+    total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), *sums).first()
+    out = {}
+    for r in names if total.k else ():
+        mean = total[f"f_{r}"] / total.n
+        inner = total[f"s_{r}"] - total.n * mean * mean  # weighted squares between hosts
+        scale = total.n - total.nn / total.n
+        between = (inner - (total.k - 1) * mean * (1 - mean)) / scale if scale > 0 else 0.0
+        weight = mean * (1 - mean) / between - 1 if between > 0 else 1e6
+        out[r] = mean, min(max(weight, 1.0), 1e6)
+    return out
+
+
+def host_rates(judged: DataFrame, names: list[str]) -> DataFrame:
+    """(host, a boolean for each rule) -> host, n, and for each rule `<rule>_rate`, the posterior's mean, and
+    `<rule>_least`, what the rate is above with 95 % certainty. No hosts give no rows."""
+    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in names])
+    columns = [F.col("host"), F.col("n")]
+    for r, (mean, weight) in (priors(hosts, names) or dict.fromkeys(names, (0.0, 1.0))).items():
+        rate = (F.col(r) + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
+        spread = F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(weight + 1)))
+        columns += [rate.alias(f"{r}_rate"), (rate - CERTAIN * spread).alias(f"{r}_least")]
+    return hosts.select(*columns)
 
 
 def judge(docs: DataFrame, host: str = "source", column: str = "text") -> DataFrame:
     """docs(doc_id, column, host, ...) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, host, host_rate.
+    base_failed, kept, host, host_failed (the rules for which the host is rejected, comma-joined), each rule's shrunk
+    rate of the host, and host_rate, the greatest of these.
 
-    A null host is a host of its own that is never rejected; null text has no words and fails. Each row gives a row.
-    Other columns are not read.
+    A null host is a host of its own that is never rejected and has no rates; null text has no words and fails. Each
+    row gives a row, repeated ones and null ids too; no rows give no rows. A very long text is measured as a whole.
+    Other columns are not read, whatever their names.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(column).cast("string").alias("_text"))
-    found = rows.mapInArrow(_measure_task, "doc_id long, host string, " + ", ".join(f"{n} long" for n in _NAMES))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    judged = durable(found.withColumn("base_failed", failed), "judged")
-    rates = host_rates(judged.filter("host is not null")).select("host", F.col("rate").alias("host_rate"))
-    out = judged.join(rates, "host", "left")
-    kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= HOST_RATE)
-    return out.select("doc_id", *_NAMES, "base_failed", kept.alias("kept"), "host", F.round("host_rate", 9).alias("host_rate"))
+    held, (own, named, text) = tx.positional(docs, "doc_id", host, column)
+    rows = held.select(F.col(own).cast("long").alias("doc_id"), F.col(named).cast("string").alias("host"), F.col(text).cast("string").alias("text"))
+    found = rows.mapInArrow(_measure_task, "doc_id long, host string, " + ", ".join(f"{n} long" for n in _MEASURED))
+    names = list(LIMITS)
+    judged = durable(found.withColumns(rules()), "judged")
+    rates = host_rates(judged.filter("host is not null"), names)
+    out = judged.join(rates.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left")
+    base_failed = F.col("few_words") | F.col("repeated_words")
+    rejected = F.concat_ws(",", *[F.when(F.col(f"{r}_least") > limit, F.lit(r)) for r, limit in LIMITS.items()])
+    kept = ~base_failed & (rejected == "")
+    return out.select(
+        "doc_id", *_NAMES, base_failed.alias("base_failed"), kept.alias("kept"), "host", rejected.alias("host_failed"),
+        *[F.round(f"{r}_rate", 9).alias(f"{r}_rate") for r in names], F.round(F.greatest(*[f"{r}_rate" for r in names]), 9).alias("host_rate"))
