@@ -1,9 +1,10 @@
 """Pseudonyms for private data that keep its format.
 
 Numbers, addresses and dates are found by pattern and validated by their own rules (check digits, ranges, calendar).
-Their value is permuted by a keyed Feistel network over exactly the values of its format, so a pseudonym is valid too,
-equal values get equal pseudonyms in all documents, different ones different pseudonyms, and the key's holder can
-reverse it. Values that a rule forbids are walked over: the permutation is applied again until its value is allowed.
+Their value, without separators and case, is permuted by a keyed Feistel network over exactly the values of its format,
+and written as the value was. So a pseudonym is valid too, equal values get equal pseudonyms in all documents however
+they are written, different ones different pseudonyms, and the key's holder can reverse it. Values that a rule forbids
+are walked over: the permutation is applied again until its value is allowed.
 """
 
 from __future__ import annotations
@@ -11,23 +12,26 @@ from __future__ import annotations
 import datetime
 import hashlib
 import hmac
+import math
+import os
 import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm import text as tx
 from loomline.session import ship
 
 ROUNDS = 10
-#: Stands in where the caller names no key of their own.
-DEFAULT_KEY = b"loomline pseudonyms"
+#: The session setting that names the key of queries.
+KEY_SETTING = "spark.loomline.pseudonym.key"
 KINDS = ("email", "iban", "date", "ipv4", "ssn", "phone", "card")
 #: The patterns of the kinds; of overlapping finds the leftmost stays, then the first kind listed.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,16}[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
@@ -42,6 +46,9 @@ _IBAN_LENGTHS = dict(re.findall("([A-Z]{2})([0-9]{2})", """
     AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23
     GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18
     NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"""))
+#: Country codes of two digits.
+_TWO_DIGIT_CODES = """20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66
+    81 82 84 86 90 91 92 93 94 95 98""".split()
 _HINT = re.compile("[0-9@]")
 _LETTERS, _CAPITALS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -73,12 +80,17 @@ def permute(text: str, key: bytes, tweak: str, back: bool = False, allowed=None)
     sizes = [1, 1]
     for k, (_, s) in enumerate(own):
         sizes[k >= half] *= len(s)
+    count = sizes[0] * sizes[1]
+    if half == 0:  # one symbol has no halves: a square that holds all its values
+        sizes = [math.isqrt(count - 1) + 1] * 2
     value = 0
     for i, s in own:
         value = value * len(s) + s.index(text[i])
     shape = tweak + ":" + "".join(s[0] if s else c for c, s in zip(text, sets, strict=True))
     while True:
         value = feistel(value, sizes[0], sizes[1], key, shape, back)
+        if value >= count:
+            continue
         out, rest = list(text), value
         for i, s in reversed(own):
             rest, at = divmod(rest, len(s))
@@ -102,6 +114,9 @@ def _fill(shape: str, symbols: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in shape)
 
 
+_WRITTEN = {"-": "{y:04d}-{m:02d}-{d:02d}", ".": "{d:02d}.{m:02d}.{y:04d}", "m/": "{m:02d}/{d:02d}/{y:04d}", "d/": "{d:02d}/{m:02d}/{y:04d}"}
+
+
 def _day(text: str) -> tuple[datetime.date, str] | None:
     """A calendar day and its format; ambiguous days with slashes are month first unless that is no day."""
     try:
@@ -139,15 +154,12 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
     count = _LAST - _FIRST + 1
     side = int(count**0.5) + 1
 
-    def written(value: int) -> str:
-        day, (y, m, d) = found[1], datetime.date.fromordinal(value + _FIRST).timetuple()[:3]
-        return f"{y:04d}-{m:02d}-{d:02d}" if day == "-" else f"{d:02d}.{m:02d}.{y:04d}" if day == "." else f"{m:02d}/{d:02d}/{y:04d}" if day == "m/" else f"{d:02d}/{m:02d}/{y:04d}"
-
+    late = found[0].day > 12  # days to the 12th stay so: with slashes and the day first they would read as months
     while True:
         value = feistel(value, side, side, key, "date", back)
-        # With the day first and slashes, days up to the 12th would read as months.
-        if value < count and (found[1] != "d/" or datetime.date.fromordinal(value + _FIRST).day > 12):
-            return written(value)
+        if value < count and (datetime.date.fromordinal(value + _FIRST).day > 12) == late:
+            y, m, d = datetime.date.fromordinal(value + _FIRST).timetuple()[:3]
+            return _WRITTEN[found[1]].format(y=y, m=m, d=d)
 
 
 def _ipv4(text: str, key: bytes, back: bool) -> str | None:
@@ -162,19 +174,25 @@ def _is_ssn(t: str) -> bool:
     return t[:3] not in ("000", "666") and t[0] != "9" and t[4:6] != "00" and t[7:] != "0000"
 
 
+def _country(digits: str) -> str:
+    """The country code that begins an international number: one, two or else three digits."""
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in _TWO_DIGIT_CODES else digits[:3]
+
+
 def _phone(text: str, key: bytes, back: bool) -> str | None:
     digits = re.sub("[^0-9]", "", text)
     if not (8 if text[0] == "+" else 9) <= len(digits) <= 15:
         return None
-    lead = re.match(r"\+[0-9]{1,3}[ .-]", text)
-    head = lead[0] if lead else text[:2] if text[0] == "+" else ""
-    first = re.search("[0-9]", text[len(head) :])[0]
-    return head + permute(text[len(head) :], key, "phone", back, lambda t: (re.search("[0-9]", t)[0] in "01") == (first in "01"))
+    head = _country(digits) if text[0] == "+" else ""
+    body = digits[len(head) :]
+    low = body[0] in "01"
+    return _fill(text, head + permute(body, key, "phone" + head, back, lambda t: (t[0] in "01") == low))
 
 
 def _email(text: str, key: bytes, back: bool) -> str | None:
     name, domain = text.rsplit("@", 1)
-    return permute(name, key, "email", back) + "@" + domain
+    new = permute(name.lower(), key, "email", back)
+    return "".join(n.upper() if c.isupper() else n for n, c in zip(new, name, strict=True)) + "@" + domain
 
 
 _RULES = {
@@ -192,7 +210,7 @@ def _iban_ends(text: str) -> list[int]:
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> str | None:
+def pseudonym(kind: str, text: str, key: bytes, back: bool = False) -> str | None:
     """The pseudonym of a value of a kind (with back: the value of a pseudonym); None if it isn't valid."""
     return _RULES[kind](text, key, back)
 
@@ -200,10 +218,11 @@ def pseudonym(kind: str, text: str, key: bytes = DEFAULT_KEY, back: bool = False
 def _is_rest(text: str, failed: int, end: int, key: bytes) -> bool:
     """Whether a phone number found within a failed match is only the rest of it: it ends there too, or another one
     begins right behind. Phone numbers have no check digits, so parts of any longer number look like one."""
-    return end <= failed or any(m.start() < end and pseudonym("phone", m[0], key) is not None for m in [_PHONE.search(text, failed)] if m)
+    after = _PHONE.search(text, failed, end + 64)  # longer than any number
+    return end <= failed or bool(after and after.start() < end and pseudonym("phone", after[0], key) is not None)
 
 
-def replace(text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all valid values replaced, and their (kind, start, end) in the text as it came."""
     if not _HINT.search(text):
         return text, []
@@ -230,15 +249,14 @@ def replace(text: str, key: bytes = DEFAULT_KEY, back: bool = False) -> tuple[st
     return "".join([*parts, text[done:]]) if spans else text, spans
 
 
-def _task(key: bytes, back: bool):
+def _task(key: bytes, back: bool, column: str):
     def run(batches):
-        for batch, _, _ in tx.blocks(batches, "text"):
-            found = [replace(t or "", key, back) for t in batch.column("text").to_pylist()]
+        for batch, _, _ in tx.blocks(batches, column):
+            at = batch.schema.get_field_index(column)
+            found = [replace(t or "", key, back) for t in batch.column(at).to_pylist()]
             texts = pa.array([t for t, _ in found], pa.string())
             spans = pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in s] for _, s in found], _SPANS)
-            at = batch.schema.get_field_index("text")
-            columns = [texts if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, spans], [*batch.schema.names, "__spans"])
+            yield pa.RecordBatch.from_arrays([*[texts if i == at else c for i, c in enumerate(batch.columns)], spans], [*batch.schema.names, "spans"])
 
     return run
 
@@ -246,24 +264,42 @@ def _task(key: bytes, back: bool):
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def pseudonymize(docs: DataFrame, column: str = "text", key: bytes = DEFAULT_KEY, back: bool = False, spans: str = "spans") -> DataFrame:
-    """docs(doc_id, column, ...) -> docs' columns, with text as rewritten, and spans: an array of (kind, start, end) in
-    code points of the text as it came, end exclusive.
+def pseudonymize(docs: DataFrame, key: bytes, column: str = "text", back: bool = False, spans: str = "spans") -> DataFrame:
+    """docs(column, ...) -> docs' columns, with the text as rewritten, and spans: an array of (kind, start, end) in code
+    points of the text as it came, end exclusive.
 
-    One pass without a shuffle: pseudonyms depend on value, format and key alone. Null text: empty. Each row gives a
-    row. A column of docs that is named like spans is replaced. With back, pseudonyms turn into their values again.
+    One pass without a shuffle: pseudonyms depend on value, format and key alone. The key is not to be empty. Null text:
+    empty. Each row gives a row, repeated ones and null ids too; no rows give no rows; a very long text is searched as a
+    whole, in time that grows with its length. A column of docs that is named like spans is replaced; others stay,
+    whatever their names. With back, pseudonyms turn into their values again.
     """
+    if not key:
+        raise ValueError("a key is wanted")
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("text", column, spans)]
-    rows = docs.select(*kept, F.col(column).cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", __spans array<struct<kind:string,start:int,end:int>>"
-    return rows.mapInArrow(_task(key, back), schema).withColumnRenamed("__spans", spans)
-
-
-def report(docs: DataFrame, column: str = "text", key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs(doc_id, column, ...) -> doc_id, n_found, a count of each kind, spans as text, and the rewritten text."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
-    found = pseudonymize(slim, key=key)
+    held, (text,) = tx.positional(docs, column)
+    held = held.withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*held.schema.fields, T.StructField("spans", T.DataType.fromDDL("array<struct<kind:string,start:int,end:int>>"))])
+    found = held.mapInArrow(_task(key, back, text), schema)
+    kept = [i for i, n in enumerate(docs.columns) if n.lower() != spans.lower()]
+    return found.select(*[f"c{i}" for i in kept], "spans").toDF(*[docs.columns[i] for i in kept], spans)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session names in KEY_SETTING. Where it names none, a random one that this application makes once
+    and tells no one: pseudonyms then are linked within it and can't be reversed."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return named.encode()
+    own = getattr(key_of, "own", None)
+    if not own or own[0] != spark.sparkContext.applicationId:
+        key_of.own = own = spark.sparkContext.applicationId, os.urandom(32)
+    return own[1]
+
+
+def report(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:
+    """docs(doc_id, column, ...) -> doc_id, n_found, a count of each kind, spans as text, and the rewritten text. Nulls,
+    long texts, repeated rows and empty tables are as in pseudonymize(); other columns are not read."""
+    found = pseudonymize(tx.slim(docs, column), key)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     named = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return found.select("doc_id", F.size("spans").cast("long").alias("n_found"), *[count(k) for k in KINDS], named.alias("spans"), "text")

@@ -40,7 +40,7 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.report(table(spark, sf_dir, "documents"))
+    return private.report(table(spark, sf_dir, "documents"), private.key_of(spark))
 
 
 def op9_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

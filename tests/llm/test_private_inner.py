@@ -4,6 +4,8 @@ import pytest
 
 from loomline.llm import private as pr
 
+KEY = b"a key of tests"
+
 CARD, IBANS = "4111 1111 1111 1111", ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "LC55 HEMM 0001 0001 0012 0012 0002 3015", "BE68539007547034"]
 # 24 characters of a country without a known length
 OTHER = next(t for n in range(2, 99) if pr._mod97((t := f"ZZ{n:02d} 1234 5678 9012 3456 7890").replace(" ", "")) == 1)
@@ -13,10 +15,10 @@ OTHER = next(t for n in range(2, 99) if pr._mod97((t := f"ZZ{n:02d} 1234 5678 90
 @pytest.mark.parametrize("after", ["", " EUR", " BIC", " A", " PAID", " PAID EUR", " 12", ", EUR"])
 def test_words_after_an_iban_leave_it_valid(iban, after):
     text = f"to {iban}{after}"
-    new, spans = pr.replace(text)
+    new, spans = pr.replace(text, KEY)
     assert spans == [("iban", 3, 3 + len(iban))]
-    assert new.endswith(after) and iban not in new and new[: 3 + len(iban)] == pr.replace(f"to {iban}")[0]
-    assert pr.replace(new, back=True)[0] == text
+    assert new.endswith(after) and iban not in new and new[: 3 + len(iban)] == pr.replace(f"to {iban}", KEY)[0]
+    assert pr.replace(new, KEY, back=True)[0] == text
 
 
 @pytest.mark.parametrize(("text", "kind", "value"), [
@@ -29,10 +31,10 @@ def test_words_after_an_iban_leave_it_valid(iban, after):
 ])
 def test_valid_values_within_failed_matches_are_found(text, kind, value):
     at = text.index(value)
-    new, spans = pr.replace(text)
+    new, spans = pr.replace(text, KEY)
     assert spans == [(kind, at, at + len(value))] and value not in new
 
 
 @pytest.mark.parametrize("text", ["300.123.182.155", "GB83 WEST 1234 5698 7654 32", "000-12-3456", "31.02.2024"])
 def test_rests_of_failed_matches_are_no_phone_numbers(text):
-    assert pr.replace(text) == (text, [])
+    assert pr.replace(text, KEY) == (text, [])
