@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomline.lifecycle import FunctionError
+from loomline.errors import FunctionError
 from loomline.session import ship
 
 Batches = Iterator[pa.RecordBatch]

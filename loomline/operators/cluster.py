@@ -38,6 +38,18 @@ def next_hops(targets: DataFrame, routes: DataFrame) -> DataFrame:
     return targets.join(routes, "target", "left").select("target", hop.alias("hop"), "distance")
 
 
+def route_table(changes: DataFrame, order: list[str]) -> DataFrame:
+    """(target, next_hop, distance, address) added in order -> the last route of each target. A peer is a route without
+    a next hop at distance 1."""
+    return registry(changes, "target", order).select("target", "next_hop", "distance", "address")
+
+
+def peers(changes: DataFrame, order: list[str]) -> DataFrame:
+    """Peers as often as they were added, in order: (position from 1, target). Routes by way of others are none."""
+    own = changes.filter(F.col("next_hop").isNull() & (F.col("distance") == 1))
+    return own.select((F.row_number().over(Window.orderBy(*order))).alias("position"), "target")  # a node's own list
+
+
 def update_routes(routes: DataFrame, members: DataFrame, own: Column) -> DataFrame:
     """Every member but this one becomes a direct route, in place of any route that was there."""
     direct = members.filter(F.col("target") != own).select("target").distinct()

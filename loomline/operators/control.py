@@ -8,7 +8,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomline import errors
 from loomline.session import ship
 
 
@@ -29,48 +31,71 @@ class Pid:
         return i, e, min(max(epsilon + self.kp * e + self.ki * i + self.kd * (e - error), self.low), self.high)
 
 
-def _clamp(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
-def _step(pid: Pid, acc: Column, delta: Column) -> Column:
-    e = F.lit(0.0) - delta
-    i = _clamp(acc["integral"] + e, -pid.windup, pid.windup)
-    epsilon = _clamp(acc["epsilon"] + pid.kp * e + pid.ki * i + pid.kd * (e - acc["error"]), pid.low, pid.high)
-    return F.struct(i.alias("integral"), e.alias("error"), epsilon.alias("epsilon"))
-
-
-def pid_final(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid = Pid()) -> DataFrame:
-    """(key, integral, error, epsilon, stable) after all observations. The recurrence is clamped and so no window; it
-    is folded over each key's ordered array, which must fit in one task."""
-    start = F.struct(F.lit(0.0).alias("integral"), F.lit(0.0).alias("error"), F.lit(pid.start).alias("epsilon"))
-    runs = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(delta).alias("delta")))).alias("run"))
-    end = runs.select(key, F.aggregate("run", start, lambda acc, x: _step(pid, acc, x["delta"])).alias("s")).select(key, "s.*")
-    return end.withColumn("stable", (F.abs("integral") < 0.01) & (F.abs("error") < 0.001))
-
-
-def pid_trace(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid = Pid()) -> DataFrame:
-    """Every observation with the state after it. Keys' rows stream in their order past a state of three numbers, so a
-    series may be of any length; a null observation counts as no change."""
+def _folded(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid, reset: Column | None, last: bool) -> DataFrame:
+    """Keys' rows stream in their order past a state of three numbers, so a series may be of any length. reset: rows
+    before whose step integral and error are cleared, while epsilon stays. A null observation counts as no change. With
+    last only each key's state after its last row goes on."""
     ship(rows.sparkSession)
-    held = rows.select(key, *order, F.col(delta).cast("double").alias("_delta")).repartition(key).sortWithinPartitions(key, *order)
-    kept = held.drop("_delta").schema
+    cleared = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
+    held = rows.select(key, *order, cleared.alias("_reset"), F.col(delta).cast("double").alias("_delta"))
+    held = held.repartition(key).sortWithinPartitions(key, *order)
+    kept = T.StructType([f for f in held.schema if f.name == key or not last and f.name in order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: object = run  # no key is that
         state = (0.0, 0.0, pid.start)
+        n = len(kept.fields)
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys), *[pa.array([r[1][i] for r in rows], pa.float64()) for i in range(3)]], [kept[0].name, *_STATE])
+
         for batch in batches:
-            states = []
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            keys, out = batch.schema.field(0).type, []
+            for k, clear, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if k != now:
+                    if last and now is not run:
+                        out.append((now, state))
                     now, state = k, (0.0, 0.0, pid.start)
+                if clear:
+                    state = (0.0, 0.0, state[2])
                 state = pid.step(*state, x or 0.0)
-                states.append(state)
-            columns = [pa.array([s[i] for s in states], pa.float64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "integral", "error", "epsilon"])
+                if not last:
+                    out.append(state)
+            if last:
+                yield made(out)
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array([s[i] for s in out], pa.float64()) for i in range(3)]], [*batch.schema.names[:n], *_STATE])
+        if last and now is not run:
+            yield made([(now, state)])
+
+    return held.mapInArrow(run, T.StructType([*kept.fields, *[T.StructField(c, T.DoubleType()) for c in _STATE]]))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", integral double, error double, epsilon double"
-    return held.mapInArrow(run, schema)
+
+_STATE = ("integral", "error", "epsilon")
+
+
+def pid_final(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid = Pid(), reset: Column | None = None) -> DataFrame:
+    """(key, integral, error, epsilon, stable) after all observations: the last state of pid_trace()."""
+    end = _folded(rows, key, order, delta, pid, reset, True)
+    return end.withColumn("stable", (F.abs("integral") < 0.01) & (F.abs("error") < 0.001))
+
+
+def pid_trace(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid = Pid(), reset: Column | None = None) -> DataFrame:
+    """Every observation with the state after it. The recurrence is clamped at each step and so no window."""
+    return _folded(rows, key, order, delta, pid, reset, False)
+
+
+def next_by_parts(rows: DataFrame, keys: list[str], order: list[str], value: str, part: Column, name: str = "next") -> DataFrame:
+    """rows with the value of the next row of their keys in that order, null at the end. part: something that never
+    falls in that order, like the minute; rows are put in order within parts, and each part's first value is carried to
+    the end of the part before, so that a key with very many rows is spread."""
+    held = rows.withColumn("_part", part)
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    held = held.withColumn("_last", F.lead(F.lit(1)).over(w).isNull()).withColumn("_own", F.lead(value).over(w))
+    firsts = held.groupBy(*keys, "_part").agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    after = firsts.select(*keys, "_part", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_part")).alias("_after"))
+    out = held.join(after, [*keys, "_part"])
+    return out.withColumn(name, F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_own"))).drop("_part", "_last", "_own", "_after")
 
 
 def series_variance(value: str) -> Column:
@@ -97,8 +122,35 @@ def warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: f
     return held.groupBy(key).agg(F.coalesce(F.min(good), F.max("i")).cast("long").alias("spikes_used"), F.lit(True).alias("converged"))
 
 
-def active_count(rows: DataFrame, key: str, order: list[str], change: str) -> DataFrame:
-    """Running sums that never fall below 0: a sum less its lowest value so far, which windows express."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.withColumn("_s", F.sum(change).over(w))
-    return sums.withColumn("active", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+def guarded_warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: float, failed: Column, elapsed_ms: Column, timeout_ms: int = 5000, needed: int = 10, most: int = 100) -> DataFrame:
+    """(key, spikes_used, converged, error) of a warm-up that may fail, over each key's first `most` spikes. A spike that
+    fails before the variance has settled ends it; one that never settles ends in a timeout if its last spike comes
+    after more than timeout_ms since the first. spikes_used counts those that were processed."""
+    w = Window.partitionBy(key).orderBy(*order)
+    held = rows.select(key, F.row_number().over(w).alias("i"), F.var_pop(value).over(w.rowsBetween(1 - needed, 0)).alias("v"), F.coalesce(failed, F.lit(False)).alias("f"), elapsed_ms.alias("ms"))
+    held = held.filter(F.col("i") <= most)
+    settled, broke = F.min(F.when((F.col("i") >= needed) & (F.col("v") < threshold), F.col("i"))), F.min(F.when(F.col("f"), F.col("i")))
+    sums = held.groupBy(key).agg(settled.alias("s"), broke.alias("b"), F.max("i").alias("n"), (F.max("ms") - F.min("ms")).cast("long").alias("took"))
+    bad = F.col("b").isNotNull() & (F.col("s").isNull() | (F.col("b") <= F.col("s")))
+    late = ~bad & F.col("s").isNull() & (F.col("took") > timeout_ms)
+    before, after = errors.WARMUP_TIMEOUT.split("{}")
+    error = F.when(bad, F.lit(errors.WARMUP_FAILED)).when(late, F.concat(F.lit(before), F.col("took").cast("string"), F.lit(after)))
+    return sums.select(key, F.when(bad, F.col("b") - 1).otherwise(F.coalesce("s", "n")).cast("long").alias("spikes_used"), (~bad & ~late).alias("converged"), error.alias("error"))
+
+
+def active_count(rows: DataFrame, key: str, order: list[str], change: str, part: Column | None = None) -> DataFrame:
+    """Running sums that never fall below 0: a sum less its lowest value so far, which windows express. part: something
+    that never falls in that order, like the hour; sums then run within parts, and parts' sums and lowest values are
+    carried on, so that a key with very many rows is spread."""
+    held = rows.withColumn("_part", F.lit(0) if part is None else part)
+    run = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_s", F.sum(change).over(run)).withColumn("_low", F.min("_s").over(run))
+    if part is None:
+        return held.withColumn("active", F.col("_s") - F.least(F.lit(0), "_low")).drop("_part", "_s", "_low")
+    ends = held.groupBy(key, "_part").agg(F.sum(change).alias("_sum"), F.min("_s").alias("_least"))
+    w = Window.partitionBy(key).orderBy("_part")
+    ends = ends.withColumn("_base", F.sum("_sum").over(w) - F.col("_sum"))
+    ends = ends.select(key, "_part", "_base", F.min(F.col("_base") + F.col("_least")).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    now = F.col("_base") + F.col("_s")
+    lowest = F.least(F.lit(0), F.col("_before"), F.col("_base") + F.col("_low"))  # nulls are passed over
+    return held.join(ends, [key, "_part"]).withColumn("active", now - lowest).drop("_part", "_s", "_low", "_base", "_before")

@@ -112,6 +112,12 @@ def run_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return sums.join(at_rank(rows, keys, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), keys)
 
 
+def throughput(mean_ms: Column, rows: Column, n_bytes: Column) -> tuple[Column, Column]:
+    """(rows, MB of 2**20 bytes) a second; 0 of no time."""
+    per_s = lambda x: F.when(mean_ms > 0, x / (mean_ms / 1000)).otherwise(F.lit(0.0))
+    return per_s(rows.cast("double")), per_s(n_bytes / float(1 << 20))
+
+
 COUNTERS = ("packets", "drops", "total_bytes", "latency", "latency_samples")
 
 
@@ -132,12 +138,65 @@ def since_reset(rows: DataFrame, epoch: str = "epoch") -> DataFrame:
     return rows.join(F.broadcast(latest), epoch)  # one row
 
 
-def windowed_alerts(rows: DataFrame, ts: str, success: Column, latency: str, length: str = "5 minutes", availability: float = 0.99, p95: float = 1000.0, errors: float = 0.05) -> DataFrame:
-    """Tumbling windows with their availability, p95 and error rate, and the alerts that they raise."""
+#: The alert rules: name, what is watched, the window, and from which value on it is an alert, by severity.
+ALERTS = (
+    ("availability_below_99_percent", "availability", "5 minutes", "<", 0.99, "critical"),
+    ("latency_p95_above_1s", "p95", "5 minutes", ">", 1000.0, "critical"),
+    ("error_rate_above_5_percent", "error_rate", "5 minutes", ">", 0.05, "critical"),
+    ("cluster_less_than_3_nodes", "healthy_nodes", "2 minutes", "<", 3, "critical"),
+    ("latency_p95_above_500ms", "p95", "5 minutes", ">", 500.0, "warning"),
+    ("error_rate_above_1_percent", "error_rate", "5 minutes", ">", 0.01, "warning"),
+    ("quota_usage_above_80_percent", "quota_usage", "10 minutes", ">", 0.8, "warning"),
+)
+
+
+def service_windows(rows: DataFrame, ts: str, success: Column, latency: str, length: str = "5 minutes") -> DataFrame:
+    """Tumbling windows: (window_start, n, availability, p95, error_rate)."""
     held = rows.select(F.window(ts, length)["start"].alias("window_start"), success.cast("double").alias("ok"), latency)
     sums = held.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("availability"))
     out = sums.join(at_rank(held, ["window_start"], latency, {"p95": 0.95}), "window_start")
-    return out.select("window_start", "n", "availability", "p95", (F.col("availability") < availability).alias("low_availability"), (F.col("p95") > p95).alias("slow"), (1 - F.col("availability") > errors).alias("failing"))
+    return out.select("window_start", "n", "availability", "p95", (1 - F.col("availability")).alias("error_rate"))
+
+
+def node_windows(rows: DataFrame, ts: str, node: str, healthy: Column, order: list[str], length: str = "2 minutes") -> DataFrame:
+    """(window_start, healthy_nodes): nodes whose last report in the window is healthy."""
+    held = rows.select(F.window(ts, length)["start"].alias("window_start"), node, *[c for c in order if c != node], healthy.alias("_healthy"))
+    last = held.groupBy("window_start", node).agg(F.max_by("_healthy", F.struct(*order)).alias("ok"))
+    return last.groupBy("window_start").agg(F.sum(F.col("ok").cast("long")).alias("healthy_nodes"))
+
+
+def quota_windows(rows: DataFrame, ts: str, tenant: str, used: Column, total: Column, length: str = "10 minutes") -> DataFrame:
+    """(window_start, tenant, quota_usage): the most that a tenant uses at once in the window, as a share of its quota."""
+    held = rows.select(F.window(ts, length)["start"].alias("window_start"), tenant, (used / total).alias("_share"))
+    return held.groupBy("window_start", tenant).agg(F.max("_share").alias("quota_usage"))
+
+
+def raised(windows: DataFrame, keys: list[str], severity: str | None = None, rules=ALERTS) -> DataFrame:
+    """(keys, alert, severity, value): a row for each rule that a window breaks; rules on columns it lacks are left out."""
+    own = [r for r in rules if r[1] in windows.columns and severity in (None, r[5])]
+    broken = lambda c, sign, x: F.col(c) < x if sign == "<" else F.col(c) > x
+    found = F.array(*[F.when(broken(c, sign, x), F.struct(F.lit(name).alias("alert"), F.lit(s).alias("severity"), F.col(c).cast("double").alias("value"))) for name, c, _, sign, x, s in own])
+    return windows.select(*keys, F.explode(F.array_compact(found)).alias("a")).select(*keys, "a.*")
+
+
+def windowed_alerts(rows: DataFrame, ts: str, success: Column, latency: str, length: str = "5 minutes", availability: float = 0.99, p95: float = 1000.0, errors: float = 0.05) -> DataFrame:
+    """Tumbling windows with their availability, p95 and error rate, and the alerts that they raise."""
+    out = service_windows(rows, ts, success, latency, length)
+    return out.select("window_start", "n", "availability", "p95", (F.col("availability") < availability).alias("low_availability"), (F.col("p95") > p95).alias("slow"), (F.col("error_rate") > errors).alias("failing"))
+
+
+def rollbacks(rows: DataFrame, keys: list[str], ts: str, success: Column, latency: str, order: list[str], target: float = 0.99, errors: float = 0.05, p95: float = 1000.0, length: str = "2 minutes", streak: int = 3) -> DataFrame:
+    """(keys, error_rate, slow_windows, longest, budget_used, and the four triggers): an error rate above `errors`, any
+    window of `length` with a p95 above its limit, more than `streak` failures one after another, and an error budget
+    (1 - target) that is used up."""
+    held = rows.withColumns({"_ok": success, "_start": F.window(ts, length)["start"]})
+    rate = held.groupBy(*keys).agg((1 - F.avg(F.col("_ok").cast("double"))).alias("error_rate"))
+    slow = at_rank(held, [*keys, "_start"], latency, {"p95": 0.95}).groupBy(*keys).agg(F.sum((F.col("p95") > p95).cast("long")).alias("slow_windows"))
+    run = longest_streak(held, keys, order, ~F.col("_ok"))
+    out = rate.join(slow, keys, "left").join(run, keys, "left").withColumn("slow_windows", F.coalesce("slow_windows", F.lit(0).cast("long")))
+    out = out.withColumn("budget_used", F.col("error_rate") / (1 - target))
+    return out.withColumns({
+        "failing": F.col("error_rate") > errors, "slow": F.col("slow_windows") > 0, "unhealthy": F.col("longest") > streak, "exhausted": F.col("budget_used") >= 1})
 
 
 def rates(rows: DataFrame, ts: str, keys: list[str], length: str = "1 minute", seconds: int = 60) -> DataFrame:
@@ -145,12 +204,28 @@ def rates(rows: DataFrame, ts: str, keys: list[str], length: str = "1 minute", s
     return rows.groupBy(*keys, F.window(ts, length)["start"].alias("window_start")).agg((F.count(F.lit(1)) / seconds).alias("rate"))
 
 
-def longest_streak(rows: DataFrame, keys: list[str], order: list[str], failed: Column) -> DataFrame:
-    """The longest run of consecutive failures of each key: rows between two successes share a count of successes."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    island = rows.select(*keys, *order, failed.alias("_failed")).withColumn("_island", F.sum((~F.col("_failed")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = island.groupBy(*keys, "_island").agg(F.sum(F.col("_failed").cast("long")).alias("_run"))
-    return runs.groupBy(*keys).agg(F.max("_run").alias("longest"))
+def longest_streak(rows: DataFrame, keys: list[str], order: list[str], failed: Column, part: Column | None = None) -> DataFrame:
+    """The longest run of consecutive failures of each key: rows between two successes share a count of successes. part:
+    something that never falls in that order, like the hour; runs are then found within parts and joined across them, so
+    that a key with very many rows is spread."""
+    held = rows.select(*keys, *order, failed.alias("_failed"), (F.lit(0) if part is None else part).alias("_part"))
+    own = [*keys, "_part"]
+    w = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    island = held.withColumn("_island", F.sum((~F.col("_failed")).cast("long")).over(w))
+    runs = island.groupBy(*own, "_island").agg(F.sum(F.col("_failed").cast("long")).alias("_run"))
+    ends = runs.groupBy(*own).agg(
+        F.max("_run").alias("_most"), F.max("_island").alias("_last"), F.max_by("_run", "_island").alias("_tail"), F.max(F.when(F.col("_island") == 0, F.col("_run"))).alias("_head"))
+    if part is None:
+        return ends.groupBy(*keys).agg(F.max("_most").alias("longest"))
+    # A run goes on from a part's tail through parts that fail as a whole to the head of the next.
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    whole = F.col("_last") == 0
+    chain = ends.withColumn("_chain", F.sum((~whole).cast("long")).over(across))
+    joined = chain.groupBy(*keys, "_chain").agg(
+        F.sum(F.when(whole, F.col("_tail")).otherwise(0)).alias("_whole"), F.max(F.when(~whole, F.col("_tail"))).alias("_tail"), F.max(F.when(~whole, F.col("_head"))).alias("_head"), F.max("_most").alias("_most"))
+    after = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_chain"))
+    joined = joined.withColumn("_joined", F.coalesce("_tail", F.lit(0)) + F.col("_whole") + F.coalesce(after, F.lit(0)))
+    return joined.groupBy(*keys).agg(F.max(F.greatest("_most", "_joined")).alias("longest"))
 
 
 def stage_total(times: Column) -> Column:

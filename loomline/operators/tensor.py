@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline import errors
+
 #: The largest weight that is held, and the least difference from zero.
 MOST = 4294967295.0
 EPSILON = sys.float_info.epsilon
@@ -28,6 +30,17 @@ def normalize(rows: DataFrame, key: str, idx: list[str], weight: str, target: fl
     return out.withColumn("normalized", F.when(F.col("status") == "Ok", F.col("_scaled")).otherwise(F.col(weight))).drop("_volume", "_scaled")
 
 
+def normalize_error(rows: DataFrame, key: str, idx: list[str], weight: str, target: float) -> DataFrame:
+    """(key, error): what normalize() finds wrong with a key, as text that names its first bad scaled weight; else null."""
+    held = normalize(rows, key, idx, weight, target).withColumn("_volume", _volume(key, weight))
+    scaled = F.col(weight) * F.try_divide(F.lit(target), F.col("_volume"))
+    bad = F.when(F.col("status") == "Overflow", scaled > MOST).when(F.col("status") == "Underflow", (scaled > 0) & (scaled < EPSILON))
+    first = held.groupBy(key).agg(F.first("status").alias("status"), F.min(F.when(bad, F.struct(*idx, scaled.alias("v"))))["v"].alias("v"))
+    said = lambda text: F.concat(F.lit(text.split("{}")[0]), F.col("v").cast("string"), F.lit(text.split("{}")[1]))
+    error = F.when(F.col("status") == "ZeroVolume", errors.ZERO_VOLUME).when(F.col("status") == "Overflow", said(errors.OVERFLOW)).when(F.col("status") == "Underflow", said(errors.UNDERFLOW))
+    return first.select(key, error.alias("error"))
+
+
 def clamped(w: Column) -> Column:
     """Into [0, MOST]; not a number stays so."""
     return F.when(F.isnan(w), w).otherwise(F.least(F.greatest(w, F.lit(0.0)), F.lit(MOST)))

@@ -53,13 +53,18 @@ def partitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def betti(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: betti_ref, which is E - V + T + 1 (0 without nodes), and the cyclomatic number E - V + C."""
+    """One row: betti_ref, which is E - V + T + 1 (0 without nodes), and the cyclomatic number E - V + C. The edges are
+    written once, as they are read by counts, triangles and components. Components are counted as roots: nodes that are
+    their own component, and those without an edge."""
+    held = durable(edges, "edges")
+    found = components(held)
+    sums = found.agg(F.count(F.lit(1)).alias("linked"), F.sum((F.col("id") == F.col("component")).cast("long")).alias("roots"))
     v = nodes.agg(F.count(F.lit(1)).alias("v"))
-    t = triangles(edges).agg(F.count(F.lit(1)).alias("t"))
-    c = partitions(nodes, edges).agg(F.count_distinct("component").alias("c"))
-    one = edge_count(edges).join(v).join(t).join(c)  # four tables of one row each
+    t = triangles(held).agg(F.count(F.lit(1)).alias("t"))
+    one = edge_count(held).join(v).join(t).join(sums)  # four tables of one row each
+    c = F.col("v") - F.col("linked") + F.coalesce("roots", F.lit(0))
     ref = F.when(F.col("v") > 0, F.col("n_edges") - F.col("v") + F.col("t") + 1).otherwise(F.lit(0))
-    return one.select(F.col("v").alias("n_nodes"), "n_edges", F.col("t").alias("n_triangles"), F.col("c").alias("n_components"), ref.cast("long").alias("betti_ref"), (F.col("n_edges") - F.col("v") + F.col("c")).alias("cyclomatic"))
+    return one.select(F.col("v").alias("n_nodes"), "n_edges", F.col("t").alias("n_triangles"), c.alias("n_components"), ref.cast("long").alias("betti_ref"), (F.col("n_edges") - F.col("v") + c).alias("cyclomatic"))
 
 
 def spikes(spark, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.control import next_by_parts
 from loomline.session import table
 
 
@@ -21,13 +22,12 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purchase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of consecutive purchases of a day, as (a, b)."""
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    pairs = bought.select(F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b"))
-    return pairs.filter("b is not null")
+    """Users of consecutive purchases of a day, as (a, b): all purchases, put in order by minutes."""
+    bought = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "ts", "event_id", F.col("user_id").alias("a"))
+    pairs = next_by_parts(bought, ["day"], ["ts", "event_id"], "a", F.date_trunc("minute", "ts"), "b")
+    return pairs.select("a", "b").filter("b is not null")
 
 
-PAIRS = "pairs AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events WHERE event_type = 'purchase' AND value > 60)"
+PAIRS = "pairs AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS b FROM events WHERE event_type = 'purchase')"
 EDGES = f"{PAIRS}, edges AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM pairs WHERE b IS NOT NULL AND a <> b)"
-NODES = "nodes AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase' AND value > 60)"
+NODES = "nodes AS (SELECT DISTINCT user_id AS id FROM events WHERE event_type = 'purchase')"

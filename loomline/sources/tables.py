@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.lifecycle import SchemaError
+from loomline.errors import SchemaError
 from loomline.session import shared_dir, ship
 
 

@@ -71,23 +71,47 @@ def feedback(stream: DataFrame, key: str, order: str, delta: str, pid: Pid = Pid
         step, f"{key} {kind}, integral double, error double, epsilon double, n long", "integral double, error double, epsilon double", "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_into(members: str, key: str, heartbeat: str):
+def merge_into(path: str, key: str, heartbeat: str):
     """A foreachBatch sink that merges gossip into a table of members: the latest heartbeat wins, ties keep the first.
-    Batches that are run again change nothing."""
+    Each batch writes a version of the table, made of its rows and the whole version before. A version counts once it is
+    whole, and a batch that is run again writes the same version again, so that a crash at any time loses nothing."""
     from loomline.operators.cluster import gossip_merge
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.withColumn("_old", F.lit(1))
-        if spark.catalog.tableExists(members):
-            rows = rows.unionByName(spark.table(members).withColumn("_old", F.lit(0)))
+        before = [v for v in versions(spark, path) if v < number]
+        if before:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}").withColumn("_old", F.lit(0)))
         merged = gossip_merge(rows.withColumn("_seq", F.col("_old") * (1 << 40) + F.col("seq")), key, heartbeat, "_seq").drop("_old", "_seq")
-        merged.write.mode("overwrite").saveAsTable(f"{members}_next")
-        spark.table(f"{members}_next").write.mode("overwrite").saveAsTable(members)
+        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        for old in before[:-1]:
+            _remove(spark, f"{path}/v={old}")
 
     return run
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions of a table that merge_into() wrote, the latest last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    whole = [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n[2:]) for n in whole)
+
+
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version."""
+    return spark.read.parquet(f"{path}/v={versions(spark, path)[-1]}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, ts: str = "ts") -> DataFrame:
     """A table as a stream of files, be it a folder of part files or a single file."""
     path = f"{sf_dir}/{name}.parquet"
@@ -100,10 +124,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, ts: str = "ts") ->
     return stream.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def drain(stream: DataFrame, mode: str, name: str, source: DataFrame) -> DataFrame:
+def drain(stream: DataFrame, mode: str, name: str, source: DataFrame, every: str | None = None) -> DataFrame:
     """Everything that is there now through the stream: in append mode all batches' rows, else the last batch's.
     A batch that is run again overwrites its own folder. source is the streamed table as a batch: if it has rows and
-    the stream gave no batch, that is an error."""
+    the stream gave no batch, that is an error. every: poll at that pace, like "1 second", until all is read; else what
+    is there is read at once."""
     path = scratch(stream.sparkSession, name)
     seen: list[int] = []
 
@@ -111,7 +136,11 @@ def drain(stream: DataFrame, mode: str, name: str, source: DataFrame) -> DataFra
         batch.write.mode("overwrite").parquet(f"{path}/batch-{number}")
         seen.append(number)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    pace = {"processingTime": every} if every else {"availableNow": True}
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(**pace).start()
+    if every:
+        query.processAllAvailable()
+        query.stop()
     query.awaitTermination()
     batches = sorted(set(seen)) if mode == "append" else sorted(set(seen))[-1:]
     spark = stream.sparkSession

@@ -212,7 +212,8 @@ def test_control(spark, tmp_path):
     control = lc.Control(spark)
     stages = [("receptor", lambda d: d.filter("id < 8")), ("aggregation", lambda d: d.groupBy((F.col("id") % 2).alias("k")).count())]
     job = control.submit(stages, lc.JobConfig(output_path=str(tmp_path / "job"), idempotency_key="request-1", tenant="t"))
-    assert control.submit(stages, lc.JobConfig(idempotency_key="request-1")) == job and control.status(job) == "pending"
+    assert control.submit(stages, lc.JobConfig(idempotency_key="request-1", tenant="t")) == job and control.status(job) == "pending"
+    assert control.submit(stages, lc.JobConfig(idempotency_key="request-1", tenant="another")) != job
     with pytest.raises(lc.InvalidState):
         control.cancel(job)
     assert control.run(job, spark.range(10)).count() == 2
