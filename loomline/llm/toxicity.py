@@ -100,7 +100,8 @@ def _fit_task(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "text") -> list[tuple[int, float]]:
-    """Weights as (feature, weight), the bias under -1. Up to PER_CLASS labelled documents of each class are fitted, those
+    """Weights as (feature, weight), the bias under -1 and under -2 what stands for a text without features: the classes'
+    shares alone. Up to PER_CLASS labelled documents of each class are fitted, those
     with the lowest hash of doc_id; documents whose crc32(doc_id) mod 4 is 2 are never among them. Of several texts of a
     doc_id the greatest is fitted, of several labels too. The bias is put right for the classes' shares in all labelled
     documents."""
@@ -122,6 +123,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "text") -> list[tupl
     used = {y: min(n, PER_CLASS[y]) for y, n in shares.items() if y in (0, 1)}
     if used.get(0) and used.get(1):
         weights[-1] = weights.get(-1, 0.0) + float(np.log(shares[1] / used[1]) - np.log(shares[0] / used[0]))
+        weights[-2] = float(np.log(shares[1]) - np.log(shares[0]))
     return sorted(weights.items())
 
 
@@ -129,6 +131,7 @@ def _score_task(weights: list[tuple[int, float]], column: str):
     at = np.array([k for k, _ in weights if k >= 0], np.int64)
     values = np.array([v for k, v in weights if k >= 0])
     bias = dict(weights).get(-1, 0.0)
+    nothing = dict(weights).get(-2, bias)
 
     def run(batches):
         table = np.zeros(1 << BITS)
@@ -139,6 +142,7 @@ def _score_task(weights: list[tuple[int, float]], column: str):
             some = heavy[f]
             both = counted(f[some], owner[some])
             total = bias + np.bincount(both >> BITS, table[both & _MASK], len(batch))
+            total[np.bincount(owner, minlength=len(batch)) == 0] = nothing
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*batch.schema.names, "score"])
 
     return run
@@ -154,7 +158,8 @@ def _scored(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
     """docs(doc_id, column, ...) -> doc_id, held_out, score, predicted.
 
-    The score is a probability from the text alone. Null text: as an empty one, which gets the bias' score. held_out
+    The score is a probability from the text alone. Null text: as an empty one; a text without words gets the share of
+    label 1 among the labelled documents. held_out
     says that crc32 of doc_id as text mod 4 is 2 (null doc_id: false). Each row gives a row, repeated ones too; no rows
     give no rows. A very long text is scored as a whole. Without labels of both classes all scores are the bias' alone.
     Other columns are not read, whatever their names.
@@ -167,6 +172,6 @@ def score(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame
 
 def clean(docs: DataFrame, labels: DataFrame, column: str = "text") -> DataFrame:
     """docs(doc_id, column, ...), all columns as they are and whatever their names, without the rows that are predicted
-    toxic. Null and empty texts get the bias' score, and so stay unless many labels are toxic; repeated rows stay or go
+    toxic. Null and empty texts stay unless THRESHOLD of the labelled documents are toxic; repeated rows stay or go
     together; no rows give no rows."""
     return _scored(docs, labels, column).filter(F.col("score") < THRESHOLD).drop("score").toDF(*docs.columns)
