@@ -3,15 +3,19 @@
 An occurrence of an item of m characters with at most e edits shares at least m - q + 1 - q * e of the item's q-grams
 with the text, on diagonals at most e apart. Hits of the item's q-grams in a text are counted in diagonal bands of
 width 2 * e + 2 that overlap by half, so every such set of diagonals lies in one band. Only bands that reach the bound
-are kept, and a banded alignment verifies them.
+are kept, and a banded alignment verifies them. Items too short to have a q-gram are looked up as they are.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm import text as tx
 from loomline.session import ship
@@ -33,6 +37,9 @@ def codes(text: str) -> np.ndarray:
     return x
 
 
+_IN_WORD = np.array([chr(i).isalnum() for i in range(128)] + [True])
+
+
 def grams(x: np.ndarray, q: int = Q) -> np.ndarray:
     n = len(x) - q + 1
     if n <= 0:
@@ -54,6 +61,12 @@ class Index:
     """q-grams of a pass's items, sorted, with a bitmap that most grams of a text miss."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by length
+        for i, t in items:
+            x = codes(t)
+            if 0 < len(x) < Q:
+                self.short.setdefault(len(x), {}).setdefault(x.tobytes(), []).append(i)
+        items = [(i, t) for i, t in items if len(t) >= Q]
         self.ids = [i for i, _ in items]
         self.codes = [codes(t) for _, t in items]
         found = [grams(x) for x in self.codes]
@@ -93,6 +106,20 @@ class Index:
         good = counts >= self.bound[key // wide]
         return [(int(k // wide), int((k % wide) * width_of - self.length[k // wide])) for k in key[good] for width_of in [int(self.edits[k // wide]) + 1]]
 
+    def exact(self, x: np.ndarray) -> list[tuple[int, tuple[int, int, int]]]:
+        """(item, (start, end, 0)) of the short items that stand in the text as whole words."""
+        if not self.short:
+            return []
+        inner = np.concatenate([[False], _IN_WORD[np.minimum(x, 128)], [False]])
+        edge = inner[1:] & inner[:-1]  # no word begins or ends before this character
+        out = []
+        for n, items in self.short.items():
+            starts = np.flatnonzero(~edge[: max(len(x) - n + 1, 0)] & ~np.append(edge, False)[n : len(x) + 1])
+            raw = x.tobytes()
+            for s in starts.tolist():
+                out += [(i, (s, s + n, 0)) for i in items.get(raw[4 * s : 4 * (s + n)], ())]
+        return out
+
     def verified(self, x: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the item's best occurrence with diagonals in the band, if it is within budget."""
         p, e = self.codes[item], int(self.edits[item])
@@ -146,19 +173,27 @@ def align(p: np.ndarray, t: np.ndarray, most: int) -> tuple[int, int, int] | Non
     return (int(origin[end]), m + end - most, int(cost[end])) if cost[end] <= most else None
 
 
-def _find(items: list[tuple[int, str]]):
+@lru_cache(maxsize=2)
+def _index(mark: str, items: tuple[tuple[int, str], ...]) -> Index:
+    """A pass's index, built once by each worker that meets it. mark: a digest of the items, which is compared first."""
+    return Index(list(items))
+
+
+def _find(items: tuple[tuple[int, str], ...], column: str):
+    mark = hashlib.sha256(repr(items).encode()).hexdigest()
+
     def run(batches):
-        index = Index(items)
-        for batch, _, _ in tx.blocks(batches, "text"):
+        index = _index(mark, items)
+        for batch, _, _ in tx.blocks(batches, column):
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(batch.schema.get_field_index(column)).to_pylist():
                 own = []
                 if text:
                     x = codes(text)
                     spans = {(index.ids[i], s) for i, d in index.bands(x) if (s := index.verified(x, i, d))}
-                    own = [{"item_id": i, "start": s[0], "end": s[1], "edits": s[2]} for i, s in sorted(spans)]
+                    own = [{"item_id": i, "start": s[0], "end": s[1], "edits": s[2]} for i, s in sorted(spans | set(index.exact(x)))]
                 out.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _HITS)], [*batch.schema.names, "__hits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _HITS)], [*batch.schema.names, "more"])
 
     return run
 
@@ -169,41 +204,51 @@ _HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("en
 
 def _passes(benchmark: DataFrame):
     """Items in passes of bounded size, streamed to the driver a partition at a time."""
+    held, (item, text) = tx.positional(benchmark, "item_id", "text")
+    rows = held.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("item_id is not null and trim(text) <> ''")
     own, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null and length(text) >= " + str(Q)).toLocalIterator():
+    for r in rows.toLocalIterator():
         if own and size + len(r.text) > PASS_CHARS:
-            yield own
+            yield tuple(own)
             own, size = [], 0
         own.append((r.item_id, r.text))
         size += len(r.text)
     if own:
-        yield own
+        yield tuple(own)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> docs' columns and __hits: an array of (item_id, start, end, edits) in code points of the
-    whole text, end exclusive.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "text", hits: str = "hits") -> DataFrame:
+    """docs(column, ...) -> docs' columns and hits: an array of (item_id, start, end, edits) in code points of the whole
+    text, end exclusive.
 
     An item counts where all of it stands in the text with at most budget(its length) edits, case of A-Z and kind of
-    ASCII white space aside. Items under Q characters or null are not searched. Null text: no hits; each row gives a
-    row. An empty benchmark gives no hits.
+    ASCII white space aside; one of fewer than Q characters where it stands as whole words without an edit. Empty or
+    null items and those without an id are not searched. Null text: no hits; each row gives a row, repeated ones and
+    null ids too; no rows give no rows, and an empty benchmark no hits. A very long text is searched as a whole. A
+    column of docs that is named like hits is replaced; others stay, whatever their names. Each pass of PASS_CHARS
+    characters of items reads the texts once.
     """
     ship(docs.sparkSession)
-    out = docs.withColumns({"text": F.col("text").cast("string"), "__hits": F.array().cast(_HIT_TYPE)})
+    held, (text,) = tx.positional(docs, column)
+    out = held.withColumns({text: F.col(text).cast("string"), "hits": F.array().cast(_HIT_TYPE)})
     for items in _passes(benchmark):
-        rows = out.withColumnRenamed("__hits", "__earlier")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        out = rows.mapInArrow(_find(items), f"{schema}, __hits {_HIT_TYPE}").withColumn("__hits", F.concat("__earlier", "__hits")).drop("__earlier")
-    return out
+        schema = T.StructType([*out.schema.fields, T.StructField("more", T.DataType.fromDDL(_HIT_TYPE))])
+        out = out.mapInArrow(_find(items, text), schema).withColumn("hits", F.concat("hits", "more")).drop("more")
+    kept = [i for i, n in enumerate(docs.columns) if n.lower() != hits.lower()]
+    return out.select(*[f"c{i}" for i in kept], "hits").toDF(*[docs.columns[i] for i in kept], hits)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item."""
-    return find_leaks(docs, benchmark).filter(F.size("__hits") == 0).drop("__hits")
+def clean(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
+    """docs, all columns as they are and whatever their names, without the rows whose text holds a benchmark item. Null
+    and empty texts stay; repeated rows stay or go together; other edges are as in find_leaks()."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    _, (text,) = tx.positional(docs, column)
+    return find_leaks(docs.toDF(*names), benchmark, text, "hits").filter(F.size("hits") == 0).select(*names).toDF(*docs.columns)
 
 
-def leak_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, contaminated, n_hits, item_ids (distinct, ascending) and hits."""
-    found = find_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark).withColumnRenamed("__hits", "hits")
+def leak_report(docs: DataFrame, benchmark: DataFrame, column: str = "text") -> DataFrame:
+    """docs(doc_id, column, ...) -> doc_id, contaminated, n_hits, item_ids (distinct, ascending) and hits. Edges are as in
+    find_leaks(); other columns are not read."""
+    found = find_leaks(tx.slim(docs, column), benchmark)
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_hits"), ids.alias("item_ids"), "hits")
