@@ -1,8 +1,8 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
 Turns get their position in the conversation, and prefix sums of their tokens choose spans of whole turns that fit a
-window's budget. Every window after the first repeats the conversation's system turn and a limited history before its
-own turns. Only assistant texts that are new in a window are under its loss mask, so each is learned once.
+window's budget. Every window after the first repeats the conversation's system turn, if that is short enough to leave
+room, and a limited history before its own turns. Only assistant texts that are new in a window are under its loss mask, so each is learned once.
 
 Turns are gathered in stretches of STRETCH at most, so a very long conversation is spread over tasks and rows. A
 stretch gets the last turns before it and the conversation's system turn from a table of these alone, and makes its
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.llm.text import positional
+
 #: Marks of a turn; the control strings within them are escaped where texts or roles have them.
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 #: Tokens of a window, tokens and turns of history within it, and turns of a stretch. A token is four bytes of text.
@@ -34,9 +36,10 @@ def unescape(text: Column) -> Column:
 def _stretches(conversations: DataFrame) -> DataFrame:
     """(conv_id, key, part, sub, run): STRETCH turns at most in order, each with its formatted piece. Texts are exchanged
     once, by conversation and stretch of turn numbers; more turns than that with few numbers make more subs."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("null")).alias("key"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    held, (conv, turn, role, text) = positional(conversations, "conv_id", "turn", "role", "text")
+    rows = held.select(
+        F.col(conv).cast("long").alias("conv_id"), F.coalesce(F.col(conv).cast("long").cast("string"), F.lit("null")).alias("key"), F.col(turn).cast("long").alias("turn"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 60))))
     own = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     held = rows.withColumn("own", own).withColumn("sub", F.floor((F.col("own") - 1) / STRETCH)).withColumn("text", escape(F.col("text")))
@@ -109,8 +112,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int
 
     Windows of a conversation are in order of (part, sub, win). formatted holds the system turn, history and own turns;
     the first `repeated` turns are no window's own here. mask is an array of (start, end) in code points of formatted:
-    the own assistant texts. A turn that is longer than a window has one to itself; no turn is cut. The system turn is
-    a conversation's first, if its role is system. History reaches back into the stretch before, no further.
+    the own assistant texts. A turn that is longer than a window has one to itself; no turn is cut, so that only such a
+    window goes beyond the budget. The system turn is a conversation's first, if its role is system; one that takes more
+    than half of what history leaves of the budget is in the first window only. History reaches back into the stretch
+    before, no further. A very long conversation is spread over stretches, and columns may have any names beside these.
     Rows are ordered by turn, then role and text; repeated rows are turns of their own. Null text or role: empty; null
     turn: first; null conv_id: one conversation. Other columns are not read; no rows, no windows.
     """
@@ -118,6 +123,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int
     rows = stretches.join(_surroundings(stretches, history_turns), ["key", "part"])
     rows = rows.withColumn("around", F.filter("around", lambda s: s["sub"] == F.col("sub"))[0]).select("conv_id", "part", "sub", "run", "around.before", "around.system", "around.first")
     none = F.slice("run", 1, 0)
+    rows = rows.withColumn("system", F.when(F.col("system")["tokens"] <= (budget - history_tokens) // 2, F.col("system")))
     room = F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system")["tokens"], F.lit(0)), F.lit(1))
     rows = rows.withColumn("before", F.coalesce("before", none)).withColumn("spans", _spans(F.col("run"), room))
 

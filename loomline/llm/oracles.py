@@ -69,7 +69,7 @@ CHAT_WINDOWS = f"""
 WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_TRAP}'), (-1, 1, 'assistant', '{_TRAP}')),
 a AS (SELECT *, {_KEY} AS k, turn // {chat.STRETCH} AS part, row_number() OVER (PARTITION BY {_KEY}, turn // {chat.STRETCH} ORDER BY turn, role, text) AS own, '{chat.OPEN}' || {_ESCAPED.format(c="role")} || '{chat.MIDDLE}' || {_ESCAPED.format(c="text")} || '{chat.CLOSE}' AS piece FROM c),
 t AS (SELECT *, (own - 1) // {chat.STRETCH} AS sub, (octet_length(encode(piece)) + 3) // 4 AS tokens, length(piece) AS chars, row_number() OVER (PARTITION BY k ORDER BY part, own) AS pos, dense_rank() OVER (PARTITION BY k ORDER BY part, (own - 1) // {chat.STRETCH}) AS st FROM a),
-h AS (SELECT k, tokens AS taken, chars AS lead FROM t WHERE pos = 1 AND role = 'system'),
+h AS (SELECT k, tokens AS taken, chars AS lead FROM t WHERE pos = 1 AND role = 'system' AND tokens <= {(chat.BUDGET - chat.HISTORY_TOKENS) // 2}),
 m AS (SELECT t.*, greatest({chat.BUDGET - chat.HISTORY_TOKENS} - coalesce(taken, 0), 1) AS room FROM t LEFT JOIN h USING (k)),
 w AS (SELECT k, st, pos, tokens AS held, pos AS first FROM m QUALIFY row_number() OVER (PARTITION BY k, st ORDER BY pos) = 1
   UNION ALL SELECT m.k, m.st, m.pos, CASE WHEN w.held + m.tokens > room THEN m.tokens ELSE w.held + m.tokens END, CASE WHEN w.held + m.tokens > room THEN m.pos ELSE w.first END FROM w JOIN m ON m.k = w.k AND m.st = w.st AND m.pos = w.pos + 1),
