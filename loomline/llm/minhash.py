@@ -7,11 +7,14 @@ confirmed on the full shingle sets.
 No group is gathered, and no pairs of a group's copies are made. Every bucket first compares its members with its
 smallest one, and connected components follow. Only a bucket whose members are then still in different components goes
 on: the members outside its largest component (strays) are compared with all others, in blocks of bounded size that
-yield only links. So no candidate pair stays unsettled: it was compared, or its texts are linked through others.
+yield only links. Texts whose sets are too different in size to be similar never share a block. So no candidate pair
+stays unsettled: it was compared, or can't be similar, or its texts are linked through others.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,28 +137,37 @@ def _pivot_pairs(live: DataFrame) -> DataFrame:
     return live.join(low, "b").filter("rep <> u").select("u", F.col("rep").alias("v")).distinct()
 
 
-def _strays(live: DataFrame, groups: DataFrame) -> DataFrame:
-    """(anchor, rep, stray) of buckets whose members are in more than one component; the anchor is the component with
-    most of a bucket's members. Buckets of two were settled by the comparison with their smallest member."""
-    held = live.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("b", "rep", F.coalesce("comp", "rep").alias("comp"))
+def _strays(live: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """(anchor, rep, stray, size) of buckets whose members are in more than one component; the anchor is the component
+    with most of a bucket's members. Buckets of two were settled by the comparison with their smallest member. Sets of
+    similar texts have the same or neighbouring sizes, which are classes of so many shingles."""
+    held = live.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("b", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
     mixed = held.groupBy("b", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(
         F.max_by("comp", F.struct("k", -F.col("comp"))).alias("anchor"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps"))
     mixed = mixed.filter("m > 2 and comps > 1").select("b", "anchor")
-    return held.join(mixed, "b").select("anchor", "rep", (F.col("comp") != F.col("anchor")).alias("stray")).distinct()
+    step = math.log(100 / threshold) if threshold < 100 else 1.0
+    size = F.floor(F.log("n") / step + 1e-9) if threshold < 100 else F.col("n")
+    return held.join(mixed, "b").select("anchor", "rep", (F.col("comp") != F.col("anchor")).alias("stray"), size.alias("size")).distinct()
 
 
 def _block_rows(strays: DataFrame) -> DataFrame:
-    """Every stray of an anchor meets all members and all other strays of it, in blocks of bounded size: rows
-    (anchor, i, j, doc_id, asks), where texts that ask are compared with those that don't."""
-    sizes = strays.groupBy("anchor").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).alias("ns"), F.ceil(F.sum((~F.col("stray")).cast("int")) / BLOCK).alias("nm"))
-    rows = strays.join(sizes, "anchor").withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("ns")).otherwise(F.greatest("nm", F.lit(1)))))
-    asks = rows.filter("stray").select("anchor", F.col("at").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nm") + F.col("ns") - 1)).alias("j"), F.col("rep").alias("doc_id"), F.lit(True).alias("asks"))
-    met = rows.select("anchor", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("i"), F.when(F.col("stray"), F.col("nm") + F.col("at")).otherwise(F.col("at")).alias("j"), F.col("rep").alias("doc_id"), F.lit(False).alias("asks"))
+    """Every stray of an anchor meets all members and all other strays of it whose sizes are near its own, in blocks of
+    bounded size: rows (anchor, size, other, i, j, doc_id, asks), where texts that ask, of one size, are compared with
+    those that don't, of the other."""
+    sizes = strays.groupBy("anchor", "size").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).alias("ns"), F.ceil(F.sum((~F.col("stray")).cast("int")) / BLOCK).alias("nm"))
+    rows = strays.join(sizes, ["anchor", "size"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("ns")).otherwise(F.greatest("nm", F.lit(1)))))
+    near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("other")
+    met_by = sizes.select("anchor", F.col("size").alias("other"), F.col("ns").alias("other_ns"), F.col("nm").alias("other_nm"))
+    paired = rows.select("anchor", "rep", "stray", "size", "ns", "nm", "at", near).join(met_by, ["anchor", "other"])
+    blocks = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    asks = paired.filter("stray").select("anchor", "size", "other", F.col("at").alias("i"), blocks(F.col("other_nm") + F.col("other_ns")).alias("j"), F.col("rep").alias("doc_id"), F.lit(True).alias("asks"))
+    place = F.when(F.col("stray"), F.col("nm") + F.col("at")).otherwise(F.col("at"))
+    met = paired.select("anchor", F.col("other").alias("size"), F.col("size").alias("other"), blocks(F.col("other_ns")).alias("i"), place.alias("j"), F.col("rep").alias("doc_id"), F.lit(False).alias("asks"))
     return asks.unionByName(met)
 
 
 def _verify_blocks(size: int, threshold: int):
-    """Rows of a block (anchor, i, j) come together, and are bounded in number."""
+    """Rows of a block (anchor, size, other, i, j) come together, and are bounded in number."""
 
     def links(asks, met):
         if not asks or not met:
@@ -174,7 +186,7 @@ def _verify_blocks(size: int, threshold: int):
         key, asks, met = None, [], []
         for batch, raw, at in tx.blocks(batches, "text"):
             sets, sat = tx.distinct(*tx.shingles(*tx.word_hashes(raw, at), size))
-            names = [batch.column(k).to_pylist() for k in range(5)]
+            names = [batch.column(k).to_pylist() for k in range(7)]
             out = []
             for i, (*now, doc_id, asking) in enumerate(zip(*names, strict=True)):
                 if now != key:
@@ -192,8 +204,9 @@ def _pairs(found: list) -> pa.RecordBatch:
 
 
 def _confirmed_blocks(rows: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    held = rows.join(texts, "doc_id").select("anchor", "i", "j", "doc_id", "asks", "text")
-    return held.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_verify_blocks(size, threshold), "u long, v long")
+    block = ["anchor", "size", "other", "i", "j"]
+    held = rows.join(texts, "doc_id").select(*block, "doc_id", "asks", "text")
+    return held.repartition(*block).sortWithinPartitions(*block).mapInArrow(_verify_blocks(size, threshold), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, column: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = 5, threshold: int = 75) -> DataFrame:
@@ -202,11 +215,12 @@ def near_duplicates(docs: DataFrame, column: str = "text", bands: int = BANDS, r
     Texts are linked if 100 * |A and B| >= threshold * |A or B| on their sets of word shingles; texts with equal sets
     are always linked. A text without words has an empty set and is linked with nothing. Null text: empty. A null
     doc_id takes the component of its equals, and is kept only if nothing else stands for it. Repeated rows each
-    give a row. Other columns are not read.
+    give a row, and no rows none. A very long text is worked on as a whole. Other columns are not read, whatever their
+    names.
     """
     ship(docs.sparkSession)
-    held = durable(docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text")).mapInArrow(
-        _sketches("text", bands, rows, size), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
+    slim = tx.slim(docs, column)
+    held = durable(slim.mapInArrow(_sketches("text", bands, rows, size), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
     classes = durable(held.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.filter("rep is not null").select("s1", "s2", F.col("n_shingles").alias("n"), "rep")
     keyed = held.join(reps, (held.doc_id == reps.rep) & (held.s1 == reps.s1) & (held.s2 == reps.s2)).select("rep", "n", "bands").dropDuplicates(["rep", "n"])
@@ -214,11 +228,11 @@ def near_duplicates(docs: DataFrame, column: str = "text", bands: int = BANDS, r
     shared = entries.groupBy("b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("b")
     live = durable(entries.join(shared, "b"), "live")
     wanted = live.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(docs.select(F.col("doc_id").cast("long"), F.col(column).cast("string").alias("text")).join(wanted, "doc_id").dropDuplicates(), "texts")
+    texts = durable(slim.join(wanted, "doc_id").dropDuplicates(), "texts")
 
     links = durable(_confirmed(_pivot_pairs(live), texts, size, threshold), "links")
     groups = durable(components(links), "groups")
-    rest = durable(_strays(live, groups), "strays")
+    rest = durable(_strays(live, groups, threshold), "strays")
     if rest.head(1):
         more = durable(_confirmed_blocks(_block_rows(rest), texts, size, threshold), "links")
         old, groups = groups, durable(components(links.unionByName(more)), "groups")
