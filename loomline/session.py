@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +44,61 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="loomline-")
+        atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
     return shared_dir.own
 
 
+#: Paths of durable tables that are still there, in the order in which they were made.
+_MADE: dict[str, None] = {}
+
+
+def _opened(df: DataFrame, path: str) -> DataFrame:
+    """df, which reads a durable table at the path."""
+    if not _MADE:
+        atexit.register(_sweep)
+    _MADE[path] = None
+    df.durable_path = path
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _MADE.pop(path, None)
+
+
+def _sweep() -> None:
+    """At the application's end: what no one deleted. Without a session only local folders can still be reached."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_MADE):
+        try:
+            if spark:
+                _delete(spark, path)
+            elif "://" not in path:
+                shutil.rmtree(path, ignore_errors=True)
+        except Exception:  # noqa: BLE001 - the session is going down
+            return
+
+
+@contextmanager
+def scope(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Durable tables that are made within are deleted at the end, but those that are added to the list it gives. What
+    is read from operators must be written or collected within."""
+    before, keep = set(_MADE), list(kept)
+    try:
+        yield keep
+    finally:
+        own = {df.durable_path for df in keep}
+        for path in [p for p in _MADE if p not in before and p not in own]:
+            _delete(spark, path)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.durable_path = path
-    return out
+    return _opened(spark.read.schema(df.schema).parquet(path), path)
 
 
 def durable_buckets(df: DataFrame, key: str, name: str = "step") -> DataFrame:
@@ -64,16 +112,13 @@ def durable_buckets(df: DataFrame, key: str, name: str = "step") -> DataFrame:
     out = spark.table(known)
     out.schema  # opened while the catalog has it
     spark.sql(f"DROP TABLE {known}")
-    out.durable_path = path
-    return out
+    return _opened(out, path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete durable tables that nothing will read any more."""
     for df in tables:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(df.durable_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.durable_path)
 
 
 def release(spark: SparkSession) -> None:
