@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import bpe, decontaminate, minhash, secrets, toxicity
 from loomline.llm.text import positional
-from loomline.session import durable, table
+from loomline.session import discard, durable, scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read again. What a stage wrote goes when the next
+    one is written; the last stage's own tables stay until its rows are read, at the latest to the application's end."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        with scope(spark) as kept:
+            docs = durable(stage(spark, before, sf_dir), name)
+            kept.append(docs)
+        if hasattr(before, "durable_path"):
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
