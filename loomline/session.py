@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -101,6 +102,22 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return _opened(spark.read.schema(df.schema).parquet(path), path)
 
 
+def durable_parts(df: DataFrame, kind: str, values: list[str], name: str = "step") -> list[DataFrame]:
+    """As durable(), for rows of several kinds that are worked out together: a table for each value of the column kind,
+    that can be discarded by itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(kind).parquet(path)
+    schema = T.StructType([f for f in df.schema if f.name != kind])
+    out = []
+    for value in values:
+        own = f"{path}/{kind}={value}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(own)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)  # no rows of a kind: no folder
+        out.append(_opened(spark.read.schema(schema).parquet(own), own))
+    return out
+
+
 def durable_buckets(df: DataFrame, key: str, name: str = "step") -> DataFrame:
     """As durable(), in as many buckets of key as a shuffle has partitions: what is grouped or joined by key later need
     not be exchanged again. The catalog knows the table only while it is written and opened."""
