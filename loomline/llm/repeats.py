@@ -2,9 +2,11 @@
 
 A suffix array over every byte would be many times the text, so the arrays hold anchors: in each string of LENGTH bytes
 the GRAM-byte string with the least hash is the anchor, and strings with equal bytes have equal anchors. Neighbouring
-strings with one anchor form a run; an entry is a run, and its suffix is ordered by the hash of its anchor and then of
-all bytes of its run. Documents come in batches in order of doc_id. A batch's array is merge-scanned with all levels of
-the index in one sorted pass:
+strings with one anchor form a run. An entry is a run, and its suffix is the one that begins at its anchor: arrays are
+in order of the suffixes' first GRAM bytes, as they are, and then of a hash of all of the run's bytes. An array is cut
+into buckets by anchor, which tasks work on by themselves.
+
+Documents come in batches in order of doc_id. A batch's array is merge-scanned with all levels of the index:
 
 * an entry equal to an earlier one is a repeat as a whole;
 * an entry that shares only its anchor with another may repeat in part, and both are marked. Marked runs, a small part
@@ -12,7 +14,9 @@ the index in one sorted pass:
 * what is new becomes a level, and levels of equal size merge, as digits carry in a binary counter.
 
 Levels keep only the first of equal entries. Equal entries within a block of texts meet before they are exchanged, so
-copies and common passages weigh little. A pass holds one row of an order at a time, whatever a key's rows.
+copies and common passages weigh little. Of an anchor that many different runs of a block share, all are marked at once,
+and one goes on as a witness that marks whatever else has the anchor; a bucket that grows beyond bounds does the same
+with its most frequent anchors. So no anchor's entries are gathered.
 """
 
 from __future__ import annotations
@@ -25,16 +29,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import text as tx
-from loomline.session import discard, durable, release, ship
+from loomline.session import discard, durable, durable_parts, release, ship
 
 LENGTH, GRAM = 100, 24
 #: Bytes of text that are scanned together; longer texts are scanned in overlapping pieces.
 BLOCK = 2 << 20
-BATCHES = 2
+BATCHES = 8
 #: Marked runs of an anchor that are compared together; those of an anchor with more are compared string by string.
 FEW = 2048
+#: Different runs of an anchor in a block, or in a bucket that is too large, from which on all are marked.
+HOT = 32
+#: Entries of a bucket that are merged at once, and that it may hold.
+CHUNK, MOST = 1 << 20, 4 << 20
+#: Bytes of texts for each bucket, as the optimiser expects them, and buckets at most.
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 20
 _AT = np.uint64((1 << 24) - 1)
-_NEW, _REPEAT, _MARKED, _OLD = 0, 1, 2, 3
+_NEW, _REPEAT, _MARKED = 0, 1, 2
+#: Where a row of entries comes from; known repeats and marked runs pass through.
+_FRESH, _STAYING, _KNOWN, _HOT = 0, 1, 2, 3
 
 
 def _minima(key: np.ndarray, width: int) -> np.ndarray:
@@ -47,11 +59,12 @@ def _minima(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first start, last start, anchor hash, run hash) of the runs of all strings of so many bytes."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """(text, first start, last start, key) of the runs of all strings of so many bytes. A key is the anchor's bytes and
+    eight of a hash of the run's bytes and the anchor's place in it, as a row of bytes."""
     n = len(raw)
     if n < length:
-        return none
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros((0, gram + 8), np.uint8)
     c = tx.prefix(raw)
     start = np.arange(n - gram + 1)
     hashed = tx.spans_hash(c, start, start + gram)
@@ -69,7 +82,10 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.nd
     # Two texts of exactly `length` bytes meet without a gap only where a text ends; anchors in both can't be the same.
     place = anchor[first]
     run = tx.mix(tx.spans_hash(c, first, last + length) + (place - first).astype(np.uint64) * tx.PLACES[0] + (last - first).astype(np.uint64) * tx.PLACES[1])
-    return np.searchsorted(at, first, "right") - 1, first, last, hashed[place], run
+    key = np.empty((len(first), gram + 8), np.uint8)
+    key[:, :gram] = np.lib.stride_tricks.sliding_window_view(raw, gram)[place]
+    key[:, gram:] = run.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return np.searchsorted(at, first, "right") - 1, first, last, key
 
 
 def _pieces(batches, length: int, column: str = "text"):
@@ -85,12 +101,15 @@ def _pieces(batches, length: int, column: str = "text"):
                 yield ids[i : i + 1], np.array([s - at[i]], np.int64), part, np.array([0, len(part)], np.int64)
 
 
-def _firsts(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _firsts(keys: tuple[np.ndarray, ...], ids: np.ndarray, start: np.ndarray, same_bytes=None) -> np.ndarray:
     """Which entries are the first of their key, by id and start."""
     order = np.lexsort((start, ids, *keys))
     same = np.ones(max(len(order) - 1, 0), bool)
     for k in keys:
         same &= k[order[1:]] == k[order[:-1]]
+    if same_bytes and same.any():
+        at = np.flatnonzero(same)
+        same[at] = same_bytes(order[at], order[at + 1])
     out = np.ones(len(order), bool)
     out[order[1:][same]] = False
     return out
@@ -106,135 +125,238 @@ def _joined(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return ids[at], first[at], last[np.append(at[1:], len(ids)) - 1]
 
 
-#: An entry as it is exchanged: place holds first, last and state in one number that orders as first does.
-_ENTRY = "anchor long, run long, id long, place long"
+def _place(first: np.ndarray, last: np.ndarray, state: np.ndarray | int) -> np.ndarray:
+    """First, last and state in one number that orders as first does."""
+    return first.astype(np.int64) << 32 | (last - first).astype(np.int64) << 2 | state
 
 
-def _entry_batch(anchor, run, ids, first, last, state) -> pa.RecordBatch:
-    place = first.astype(np.int64) << 32 | (last - first).astype(np.int64) << 2 | state.astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array(place)], ["anchor", "run", "id", "place"])
+def _range(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = place >> 32
+    return first, first + ((place & 0xFFFFFFFF) >> 2)
 
 
-def _entry_arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    x = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("anchor", "run", "id", "place")}
-    place = x.pop("place")
-    first = place >> 32
-    return x | {"first": first, "last": first + ((place & 0xFFFFFFFF) >> 2), "state": place & 3}
+def _order(key: np.ndarray) -> np.ndarray:
+    """Of rows of bytes, stable."""
+    return np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").reshape(-1), kind="stable")
+
+
+def _new(rows: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.ones(len(rows), bool)
+    out[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return out
+
+
+def _sizes(new: np.ndarray) -> np.ndarray:
+    """For each row the size of its group, where new tells which rows begin one."""
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(new)))
+    return np.repeat(n, n)
+
 
+def _anchors(key: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each key's anchor."""
+    out = np.zeros(len(key), np.uint64)
+    for k in range(gram):
+        out = out * np.uint64(tx.BASE) + key[:, k]
+    return tx.mix(out + np.uint64(1))
 
-def _first(place="place"):
-    return F.shiftright(place, 32).cast("int")
 
+#: Entries and ranges as they are exchanged and held: n of them, packed from so many bytes.
+_ROWS = "bucket int, source int, n int, size int, data binary"
+_PARTS = "kind string, bucket int, n int, size int, data binary"
 
-def _last(place="place"):
-    return (F.shiftright(place, 32) + F.shiftright(F.col(place).bitwiseAND(0xFFFFFFFF), 2)).cast("int")
 
+def _packed(*arrays: np.ndarray) -> tuple[int, int, bytes]:
+    """(n, bytes, packed) of arrays of n rows; bytes of a place in the rows stand together."""
+    data = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in arrays)
+    return len(arrays[0]), len(data), pa.compress(data, "zstd", asbytes=True)
 
-def _in_state(state: int):
-    return F.col("place").bitwiseAND(3) == state
 
+def _unpacked(n: int, size: int, data: bytes, *widths: int) -> list[np.ndarray]:
+    """The arrays: of numbers for a width of 0, else of rows of so many bytes."""
+    raw, at, out = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8), 0, []
+    for w in widths:
+        rows = np.ascontiguousarray(raw[at : at + n * (w or 8)].reshape(-1, n).T)
+        out.append(rows if w else rows.view(np.int64).reshape(-1))
+        at += n * (w or 8)
+    return out
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [x.split() for x in schema.split(", ")]
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(columns, names, strict=True)], [n for n, _ in names])
+
+
+def _entries(length: int, gram: int, buckets: int):
+    """The array of each block of texts, by buckets."""
 
-def _entries(length: int, gram: int):
     def run_task(batches):
         for ids, offset, raw, at in _pieces(batches, length):
-            text, first, last, anchor, run = runs(raw, at, length, gram)
+            text, first, last, key = runs(raw, at, length, gram)
             own = ids[text]
-            start = first - at[text] + offset[text]
-            stop = last - at[text] + offset[text]
-            held = _firsts((run, anchor), own, start)
-            again = _joined(own[~held], start[~held], stop[~held])
-            spread = tx.mix(again[0].astype(np.uint64) * tx.PLACES[3] + again[1].astype(np.uint64))  # repeats go anywhere
-            cat = np.concatenate
-            yield _entry_batch(cat([anchor[held], spread]), cat([run[held], spread]), cat([own[held], again[0]]), cat([start[held], again[1]]), cat([stop[held], again[2]]), np.repeat([_NEW, _REPEAT], [held.sum(), len(spread)]))
+            place = _place(first - at[text] + offset[text], last - at[text] + offset[text], _NEW)
+            order = np.lexsort((place, own))
+            order = order[_order(key[order])]
+            key, own, place = key[order], own[order], place[order]
+            held = _new(key)
+            rows = []
+            if not held.all():
+                again = np.lexsort((place[~held], own[~held]))
+                known = _joined(own[~held][again], *_range(place[~held][again]))
+                rows.append((int(ids[0]) % buckets, _KNOWN, *_packed(known[0], _place(known[1], known[2], _REPEAT))))
+            key, own, place = key[held], own[held], place[held]
+            first_of = _new(key[:, :gram])
+            hot = _sizes(first_of) >= HOT
+            anchor = _anchors(key, gram)
+            if hot.any():
+                rows.append((int(ids[0]) % buckets, _HOT, *_packed(own[hot], place[hot], anchor[hot].view(np.int64))))
+                place = np.where(hot, place | _MARKED, place)
+                stay = ~hot | first_of
+                key, own, place, anchor = key[stay], own[stay], place[stay], anchor[stay]
+            bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.flatnonzero(np.append(bucket[order][1:] != bucket[order][:-1], True)) + 1 if len(order) else []
+            begin = 0
+            for end in ends:
+                some = order[begin:end]
+                rows.append((int(bucket[some[0]]), _FRESH, *_packed(key[some], own[some], place[some])))
+                begin = end
+            yield _batch(rows, _ROWS)
 
     return run_task
 
 
-def _merge_scan(batches):
-    """Entries in order of (anchor, run, id, first), old and new; states as found. `state` comes in as _NEW, as _REPEAT
-    for repeats that are already known, or as _OLD for entries of a level that doesn't merge. One entry is held back: the
-    last first one, until the next shows whether its anchor is shared."""
-    names = ("anchor", "run", "id", "first", "last", "state")
-    held = None
-    shared = False
+class _Bucket:
+    """A bucket's entries as rows of it come in: of equal ones the first by id and place stays."""
+
+    def __init__(self, number: int, gram: int):
+        self.number, self.gram = number, gram
+        self.key, self.id, self.place, self.fresh = np.zeros((0, gram + 8), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.waiting: list[tuple] = []
+        self.size = 0
+        self.repeats: list[tuple] = []
+        self.marked: list[tuple] = []
+
+    def add(self, source: int, n: int, size: int, data: bytes) -> None:
+        self.waiting.append((*_unpacked(n, size, data, self.gram + 8, 0, 0), np.full(n, source == _FRESH)))
+        self.size += n
+        if self.size >= CHUNK:
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.key, self.id, self.place, self.fresh), *self.waiting]
+        self.waiting, self.size = [], 0
+        key, own, place, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, own))
+        order = order[_order(key[order])]
+        key, own, place, fresh = key[order], own[order], place[order], fresh[order]
+        held = _new(key)
+        if not held.all():
+            self.repeats.append((own[~held], place[~held]))
+        self.key, self.id, self.place, self.fresh = key[held], own[held], place[held], fresh[held]
+        if len(self.key) > MOST:
+            first_of = _new(self.key[:, : self.gram])
+            hot = _sizes(first_of) >= HOT
+            self._mark(hot)
+            self._keep(~hot | first_of)
+
+    def _mark(self, some: np.ndarray) -> None:
+        some = some & (self.place & 3 != _MARKED)
+        if some.any():
+            self.marked.append((self.id[some], self.place[some], _anchors(self.key[some], self.gram).view(np.int64)))
+            self.place = np.where(some, self.place | _MARKED, self.place)
+
+    def _keep(self, some: np.ndarray) -> None:
+        self.key, self.id, self.place, self.fresh = self.key[some], self.id[some], self.place[some], self.fresh[some]
+
+    def done(self):
+        """Rows of what was found and of the new level."""
+        if self.waiting:
+            self.merge()
+        self._mark(_sizes(_new(self.key[:, : self.gram])) > 1)
+        for kind, parts in (("repeat", self.repeats), ("marked", self.marked)):
+            if parts:
+                yield (kind, self.number, *_packed(*(np.concatenate(x) for x in zip(*parts, strict=True))))
+        self._keep(self.fresh)
+        if len(self.key):
+            yield ("level", self.number, *_packed(self.key, self.id, self.place))
+
+
+def _merge_scan(gram: int):
+    """Rows of entries in order of bucket and source -> repeats, marked runs and the new level of each bucket."""
+
+    def run_task(batches):
+        bucket = None
+        for batch in batches:
+            out = []
+            for number, source, n, size, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if source in (_KNOWN, _HOT):
+                    out.append(("repeat" if source == _KNOWN else "marked", number, n, size, data))
+                    continue
+                if bucket is None or bucket.number != number:
+                    out += bucket.done() if bucket else ()
+                    bucket = _Bucket(number, gram)
+                bucket.add(source, n, size, data)
+            yield _batch(out, _PARTS)
+        if bucket:
+            yield _batch(list(bucket.done()), _PARTS)
+        tx.trim()
+
+    return run_task
+
+
+def _open_ranges(batches):
+    """Packed repeats, or marked runs with a hash of their anchor, as rows."""
     for batch in batches:
-        if not len(batch):
-            continue
-        x = _entry_arrays(batch)
-        if held is not None:
-            x = {n: np.concatenate([held[n], x[n]]) for n in names}
-        n = len(x["anchor"])
-        known = x["state"] == _REPEAT
-        lead = x["anchor"][1:] == x["anchor"][:-1]
-        again = np.zeros(n, bool)
-        again[1:] = lead & (x["run"][1:] == x["run"][:-1]) & ~known[1:] & ~known[:-1]
-        first = np.flatnonzero(~again & ~known)
-        a = x["anchor"][first]
-        near = np.zeros(len(first), bool)
-        near[1:] |= a[1:] == a[:-1]
-        near[:-1] |= a[1:] == a[:-1]
-        if shared and len(first) and held is not None:
-            near[0] = True
-        state = np.where(again | known, _REPEAT, _NEW)
-        state[first[near]] = _MARKED
-        out = np.ones(n, bool)
-        if len(first):
-            k = first[-1]
-            out[k] = False
-            held = {m: x[m][k : k + 1] for m in names}
-            shared = bool(near[-1])
-        else:
-            held = None
-        old = x["state"] == _OLD
-        out &= ~(old & (state != _MARKED))
-        yield _states(x, state, old, out)
-    if held is not None:
-        state = np.array([_MARKED if shared else _NEW])
-        old = held["state"] == _OLD
-        yield _states(held, state, old, ~(old & (state != _MARKED)))
-
-
-def _states(x, state, old, out) -> pa.RecordBatch:
-    batch = _entry_batch(x["anchor"][out], x["run"][out], x["id"][out], x["first"][out], x["last"][out], state[out])
-    return batch.append_column("stays", pa.array(old[out]))
-
-
-def _as(level: DataFrame, state: int) -> DataFrame:
-    return level.withColumn("place", F.col("place") - F.col("place").bitwiseAND(3) + state)
+        for n, size, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own, place, *anchor = _unpacked(n, size, data, *[0] * (size // (8 * n)))
+            first, last = (x.astype(np.int32) for x in _range(place))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own, first, last, *anchor)], ["id", "first", "last", "anchor"][: 3 + len(anchor)])
 
 
 class Index:
     """The family of levels. add() takes a batch of documents whose ids are above all earlier ones."""
 
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, buckets: int = 64):
+        self.length, self.gram, self.buckets = length, gram, buckets
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, entries), the largest first
-        self.repeats: list[DataFrame] = []
-        self.marked: list[DataFrame] = []
-        self.tables: list[DataFrame] = []  # all that was written
+        self.merges = 0
+        self._repeats: list[DataFrame] = []
+        self._marked: list[DataFrame] = []
 
-    def add(self, docs: DataFrame, keep: bool = True) -> None:
-        """docs(id, text). Without keep the batch is scanned but no level is written: it is the last."""
+    def add(self, docs: DataFrame) -> None:
+        """docs(id, text)."""
         release(docs.sparkSession)
         size, merging = 1, []
-        while keep and len(merging) < len(self.levels) and self.levels[-1 - len(merging)][0] == size:
+        while len(merging) < len(self.levels) and self.levels[-1 - len(merging)][0] == size:
             merging.append(self.levels[-1 - len(merging)][1])
             size *= 2
-        staying = [level for _, level in self.levels[: len(self.levels) - len(merging)]]
-        rows = docs.select("id", "text").mapInArrow(_entries(self.length, self.gram), _ENTRY)
-        for level in merging:
-            rows = rows.unionByName(_as(level, _NEW))
-        for level in staying:
-            rows = rows.unionByName(_as(level, _OLD))
-        order = rows.repartition("anchor").sortWithinPartitions("anchor", "run", "id", "place")
-        found = order.mapInArrow(_merge_scan, _ENTRY + ", stays boolean")
-        found = durable(found if keep else found.filter(~_in_state(_NEW)), "level")
-        self.tables.append(found)
-        self.repeats.append(found.filter(_in_state(_REPEAT)).select("id", _first().alias("first"), _last().alias("last")))
-        self.marked.append(found.filter(_in_state(_MARKED)).select("id", _first().alias("first"), _last().alias("last"), "anchor"))
-        if keep:
-            level = found.filter(~_in_state(_REPEAT) & ~F.col("stays")).select("anchor", "run", "id", "place")
-            self.levels = [*self.levels[: len(self.levels) - len(merging)], (size, level)]
+        staying = self.levels[: len(self.levels) - len(merging)]
+        rows = docs.select("id", "text").mapInArrow(_entries(self.length, self.gram, self.buckets), _ROWS)
+        for source, level in [*((_FRESH, x) for x in merging), *((_STAYING, x) for _, x in staying)]:
+            rows = rows.unionByName(level.select("bucket", F.lit(source).alias("source"), "n", "size", "data"))
+        order = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("source").desc())
+        found = durable_parts(order.mapInArrow(_merge_scan(self.gram), _PARTS), "kind", ["level", "repeat", "marked"], "level")
+        discard(*merging)
+        self.merges += len(merging)
+        self.levels = [*staying, (size, found[0])]
+        self._repeats.append(found[1])
+        self._marked.append(found[2])
+
+    def repeats(self) -> DataFrame:
+        """(id, first, last): ranges of starts whose strings also start earlier."""
+        return _union(self._repeats).select("n", "size", "data").mapInArrow(_open_ranges, "id long, first int, last int")
+
+    def marked(self) -> DataFrame:
+        """(id, first, last, anchor): runs that share their anchor with others, once each."""
+        return _union(self._marked).select("n", "size", "data").mapInArrow(_open_ranges, "id long, first int, last int, anchor long").distinct()
+
+    def discard(self) -> None:
+        discard(*[level for _, level in self.levels], *self._repeats, *self._marked)
+        self.levels, self._repeats, self._marked = [], [], []
 
 
 def _zipped(batches):
@@ -252,9 +374,26 @@ def _unzipped(row) -> np.ndarray:
     return np.frombuffer(pa.decompress(row["zipped"], row["n_bytes"], "zstd", asbytes=True), np.uint8) if row["n_bytes"] else np.zeros(0, np.uint8)
 
 
-def _first_strings(ids, start, hashed, anchor) -> tuple[np.ndarray, ...]:
-    """Of strings, those that are the first of equal ones, and the others' places as joined ranges."""
-    held = _firsts((hashed, anchor), ids, start)
+#: A string or a run as it is compared: place holds first, last and state in one number that orders as first does.
+_ENTRY = "anchor long, run long, id long, place long"
+
+
+def _entry_batch(anchor, run, ids, first, last, state) -> pa.RecordBatch:
+    place = _place(first, last, state.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids), pa.array(place)], ["anchor", "run", "id", "place"])
+
+
+def _entry_arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    x = {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("anchor", "run", "id", "place")}
+    place = x.pop("place")
+    first, last = _range(place)
+    return x | {"first": first, "last": last, "state": place & 3}
+
+
+def _first_strings(ids, start, hashed, anchor, same=None) -> tuple[np.ndarray, ...]:
+    """Of strings, those that are the first of equal ones, and the others' places as joined ranges. same: tells of pairs
+    of strings with equal hashes whether their bytes are equal."""
+    held = _firsts((hashed, anchor), ids, start, same)
     order = np.lexsort((start[~held], ids[~held]))
     return held, _joined(ids[~held][order], start[~held][order], start[~held][order])
 
@@ -317,7 +456,12 @@ def _repeated_strings(length: int):
         within = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         begin = np.repeat(at[:-1], n) + within
         hashed = tx.spans_hash(tx.prefix(raw), begin, begin + length)
-        return _first_strings(np.repeat(ids, n), np.repeat(first, n) + within, hashed, np.repeat(anchor, n))[1]
+        strings = np.lib.stride_tricks.sliding_window_view(raw, length)
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.concatenate([(strings[begin[a[i : i + 4096]]] == strings[begin[b[i : i + 4096]]]).all(axis=1) for i in range(0, len(a), 4096)])
+
+        return _first_strings(np.repeat(ids, n), np.repeat(first, n) + within, hashed, np.repeat(anchor, n), same)[1]
 
     def ranges(ids, first, last):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["id", "first", "last"])
@@ -386,7 +530,7 @@ def _cut(length: int, whole: bool):
 
 def _numbered(docs: DataFrame, column: str) -> tuple[DataFrame, bool]:
     """(id, text) with an id of their own for different texts of one doc_id and for null doc_ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("string").alias("text"))
+    rows = tx.slim(docs, column)
     counted = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if counted.n == counted.ids:
         return rows.select("doc_id", F.col("doc_id").alias("id"), "text"), True
@@ -409,12 +553,13 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
     texts = rows.select("id", "text") if alone else rows.select("id", "text").dropDuplicates(["id"])
     cuts = texts.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     cuts = [None, *sorted({int(x) for x in cuts or []}), None]
-    index = Index(length, gram)
-    for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    index = Index(length, gram, min(max(size // BUCKET_BYTES, 64), MOST_BUCKETS))
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         part = texts if low is None else texts.filter(F.col("id") > low)
-        index.add(part if high is None else part.filter(F.col("id") <= high), keep=k < len(cuts) - 2)
-    ranges = _union(index.repeats)
-    marked = _union(index.marked).distinct()
+        index.add(part if high is None else part.filter(F.col("id") <= high))
+    ranges = index.repeats()
+    marked = durable(index.marked(), "marked")
     sizes = marked.groupBy("anchor").agg((F.count(F.lit(1)) <= FEW).alias("few"))
     marks = marked.join(sizes, "anchor").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "few")).alias("marks"))
     strings = _zip(texts).join(marks, "id").mapInArrow(_strings(length), _STRING)
@@ -422,7 +567,8 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
     partly = durable(partly, "partly")
     release(docs.sparkSession)
     ranges = durable(ranges.unionByName(partly).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
-    discard(partly, *index.tables)
+    discard(partly, marked)
+    index.discard()
     done = _zip(texts).join(ranges, "id", "left").mapInArrow(_cut(length, whole), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if not alone:
         done = rows.select("doc_id", "id").join(durable(done, "cut"), "id")
