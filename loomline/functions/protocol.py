@@ -99,7 +99,8 @@ def message_error(message: Column, versions: Column) -> Column:
     """Null for a message that can be taken, else the first thing that is wrong with it."""
     m = opened(message)
     broken = m["id"].isNull() | m["message_type"].isNull() | m["source"].isNull()
-    return F.when(broken, F.concat(F.lit("Invalid message: "), F.coalesce(message, F.lit("")))).otherwise(F.coalesce(kind_error(m["message_type"]), version_error(m["version"], versions)))
+    return F.when(broken, F.concat(F.lit("Invalid message: "), F.coalesce(message, F.lit("")))).otherwise(F.coalesce(kind_error(m["message_type"]),
+        version_error(m["version"], versions)))
 
 
 def validate_version(v: tuple[int, int, int], versions: list[tuple[int, int, int]]) -> None:

@@ -47,11 +47,13 @@ def _folded(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid, r
         n = len(kept.fields)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys), *[pa.array([r[1][i] for r in rows], pa.float64()) for i in range(3)]], [kept[0].name, *_STATE])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], keys),
+                *[pa.array([r[1][i] for r in rows], pa.float64()) for i in range(3)]], [kept[0].name, *_STATE])
 
         for batch in batches:
             keys, out = batch.schema.field(0).type, []
-            for k, clear, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for k, clear, x in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(),
+                batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if k != now:
                     if last and now is not run:
                         out.append((now, state))
@@ -64,7 +66,8 @@ def _folded(rows: DataFrame, key: str, order: list[str], delta: str, pid: Pid, r
             if last:
                 yield made(out)
             else:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array([s[i] for s in out], pa.float64()) for i in range(3)]], [*batch.schema.names[:n], *_STATE])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array([s[i] for s in out], pa.float64()) for i in range(3)]],
+                    [*batch.schema.names[:n], *_STATE])
         if last and now is not run:
             yield made([(now, state)])
 
@@ -122,12 +125,14 @@ def warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: f
     return held.groupBy(key).agg(F.coalesce(F.min(good), F.max("i")).cast("long").alias("spikes_used"), F.lit(True).alias("converged"))
 
 
-def guarded_warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: float, failed: Column, elapsed_ms: Column, timeout_ms: int = 5000, needed: int = 10, most: int = 100) -> DataFrame:
+def guarded_warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: float, failed: Column, elapsed_ms: Column,
+    timeout_ms: int = 5000, needed: int = 10, most: int = 100) -> DataFrame:
     """(key, spikes_used, converged, error) of a warm-up that may fail, over each key's first `most` spikes. A spike that
     fails before the variance has settled ends it; one that never settles ends in a timeout if its last spike comes
     after more than timeout_ms since the first. spikes_used counts those that were processed."""
     w = Window.partitionBy(key).orderBy(*order)
-    held = rows.select(key, F.row_number().over(w).alias("i"), F.var_pop(value).over(w.rowsBetween(1 - needed, 0)).alias("v"), F.coalesce(failed, F.lit(False)).alias("f"), elapsed_ms.alias("ms"))
+    held = rows.select(key, F.row_number().over(w).alias("i"), F.var_pop(value).over(w.rowsBetween(1 - needed, 0)).alias("v"),
+        F.coalesce(failed, F.lit(False)).alias("f"), elapsed_ms.alias("ms"))
     held = held.filter(F.col("i") <= most)
     settled, broke = F.min(F.when((F.col("i") >= needed) & (F.col("v") < threshold), F.col("i"))), F.min(F.when(F.col("f"), F.col("i")))
     sums = held.groupBy(key).agg(settled.alias("s"), broke.alias("b"), F.max("i").alias("n"), (F.max("ms") - F.min("ms")).cast("long").alias("took"))
@@ -135,7 +140,8 @@ def guarded_warmup(rows: DataFrame, key: str, order: list[str], value: str, thre
     late = ~bad & F.col("s").isNull() & (F.col("took") > timeout_ms)
     before, after = errors.WARMUP_TIMEOUT.split("{}")
     error = F.when(bad, F.lit(errors.WARMUP_FAILED)).when(late, F.concat(F.lit(before), F.col("took").cast("string"), F.lit(after)))
-    return sums.select(key, F.when(bad, F.col("b") - 1).otherwise(F.coalesce("s", "n")).cast("long").alias("spikes_used"), (~bad & ~late).alias("converged"), error.alias("error"))
+    return sums.select(key, F.when(bad, F.col("b") - 1).otherwise(F.coalesce("s", "n")).cast("long").alias("spikes_used"),
+        (~bad & ~late).alias("converged"), error.alias("error"))
 
 
 def active_count(rows: DataFrame, key: str, order: list[str], change: str, part: Column | None = None) -> DataFrame:

@@ -31,7 +31,8 @@ def counter_log(rows: DataFrame, key: str, order: list[str], part: Column | None
     sums = held.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sums.select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
-    return held.withColumn("_own", own).join(before, [key, "_part"]).withColumn("running", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+    return held.withColumn("_own", own).join(before, [key, "_part"]).withColumn("running",
+        (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
 def gauge_last(rows: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
@@ -83,7 +84,8 @@ def at_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[str, f
     some = inside[0]
     for x in inside[1:]:
         some = some | x
-    under = near.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_b").alias("_b"), *[F.sum((F.col(value) < low[i]).cast("long")).alias(f"_under{i}") for i in range(len(names))])
+    under = near.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_b").alias("_b"),
+        *[F.sum((F.col(value) < low[i]).cast("long")).alias(f"_under{i}") for i in range(len(names))])
     counted = near.filter(some).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")).join(under, keys)
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = [(F.col(f"_under{i}") + F.sum(F.when(inside[i], F.col("_c")).otherwise(0)).over(w)).alias(f"_upto{i}") for i in range(len(names))]
@@ -175,17 +177,21 @@ def raised(windows: DataFrame, keys: list[str], severity: str | None = None, rul
     """(keys, alert, severity, value): a row for each rule that a window breaks; rules on columns it lacks are left out."""
     own = [r for r in rules if r[1] in windows.columns and severity in (None, r[5])]
     broken = lambda c, sign, x: F.col(c) < x if sign == "<" else F.col(c) > x
-    found = F.array(*[F.when(broken(c, sign, x), F.struct(F.lit(name).alias("alert"), F.lit(s).alias("severity"), F.col(c).cast("double").alias("value"))) for name, c, _, sign, x, s in own])
+    found = F.array(*[F.when(broken(c, sign, x),
+        F.struct(F.lit(name).alias("alert"), F.lit(s).alias("severity"), F.col(c).cast("double").alias("value"))) for name, c, _, sign, x, s in own])
     return windows.select(*keys, F.explode(F.array_compact(found)).alias("a")).select(*keys, "a.*")
 
 
-def windowed_alerts(rows: DataFrame, ts: str, success: Column, latency: str, length: str = "5 minutes", availability: float = 0.99, p95: float = 1000.0, errors: float = 0.05) -> DataFrame:
+def windowed_alerts(rows: DataFrame, ts: str, success: Column, latency: str, length: str = "5 minutes", availability: float = 0.99,
+    p95: float = 1000.0, errors: float = 0.05) -> DataFrame:
     """Tumbling windows with their availability, p95 and error rate, and the alerts that they raise."""
     out = service_windows(rows, ts, success, latency, length)
-    return out.select("window_start", "n", "availability", "p95", (F.col("availability") < availability).alias("low_availability"), (F.col("p95") > p95).alias("slow"), (F.col("error_rate") > errors).alias("failing"))
+    return out.select("window_start", "n", "availability", "p95", (F.col("availability") < availability).alias("low_availability"),
+        (F.col("p95") > p95).alias("slow"), (F.col("error_rate") > errors).alias("failing"))
 
 
-def rollbacks(rows: DataFrame, keys: list[str], ts: str, success: Column, latency: str, order: list[str], target: float = 0.99, errors: float = 0.05, p95: float = 1000.0, length: str = "2 minutes", streak: int = 3) -> DataFrame:
+def rollbacks(rows: DataFrame, keys: list[str], ts: str, success: Column, latency: str, order: list[str], target: float = 0.99, errors: float = 0.05,
+    p95: float = 1000.0, length: str = "2 minutes", streak: int = 3) -> DataFrame:
     """(keys, error_rate, slow_windows, longest, budget_used, and the four triggers): an error rate above `errors`, any
     window of `length` with a p95 above its limit, more than `streak` failures one after another, and an error budget
     (1 - target) that is used up."""
@@ -214,7 +220,8 @@ def longest_streak(rows: DataFrame, keys: list[str], order: list[str], failed: C
     island = held.withColumn("_island", F.sum((~F.col("_failed")).cast("long")).over(w))
     runs = island.groupBy(*own, "_island").agg(F.sum(F.col("_failed").cast("long")).alias("_run"))
     ends = runs.groupBy(*own).agg(
-        F.max("_run").alias("_most"), F.max("_island").alias("_last"), F.max_by("_run", "_island").alias("_tail"), F.max(F.when(F.col("_island") == 0, F.col("_run"))).alias("_head"))
+        F.max("_run").alias("_most"), F.max("_island").alias("_last"), F.max_by("_run", "_island").alias("_tail"),
+            F.max(F.when(F.col("_island") == 0, F.col("_run"))).alias("_head"))
     if part is None:
         return ends.groupBy(*keys).agg(F.max("_most").alias("longest"))
     # A run goes on from a part's tail through parts that fail as a whole to the head of the next.
@@ -222,7 +229,8 @@ def longest_streak(rows: DataFrame, keys: list[str], order: list[str], failed: C
     whole = F.col("_last") == 0
     chain = ends.withColumn("_chain", F.sum((~whole).cast("long")).over(across))
     joined = chain.groupBy(*keys, "_chain").agg(
-        F.sum(F.when(whole, F.col("_tail")).otherwise(0)).alias("_whole"), F.max(F.when(~whole, F.col("_tail"))).alias("_tail"), F.max(F.when(~whole, F.col("_head"))).alias("_head"), F.max("_most").alias("_most"))
+        F.sum(F.when(whole, F.col("_tail")).otherwise(0)).alias("_whole"), F.max(F.when(~whole, F.col("_tail"))).alias("_tail"),
+            F.max(F.when(~whole, F.col("_head"))).alias("_head"), F.max("_most").alias("_most"))
     after = F.lead("_head").over(Window.partitionBy(*keys).orderBy("_chain"))
     joined = joined.withColumn("_joined", F.coalesce("_tail", F.lit(0)) + F.col("_whole") + F.coalesce(after, F.lit(0)))
     return joined.groupBy(*keys).agg(F.max(F.greatest("_most", "_joined")).alias("longest"))
@@ -243,7 +251,8 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bounds: list[float])
 def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFrame:
     """The quantile by linear interpolation within its bucket, from 0 in the lowest; the highest finite bound beyond."""
     w = Window.partitionBy(*keys).orderBy("le")
-    held = buckets.select(*keys, "le", "n", F.coalesce(F.lag("n").over(w), F.lit(0)).alias("below"), F.coalesce(F.lag("le").over(w), F.lit(0.0)).alias("low"), F.max("n").over(Window.partitionBy(*keys)).alias("total"))
+    held = buckets.select(*keys, "le", "n", F.coalesce(F.lag("n").over(w), F.lit(0)).alias("below"),
+        F.coalesce(F.lag("le").over(w), F.lit(0.0)).alias("low"), F.max("n").over(Window.partitionBy(*keys)).alias("total"))
     rank = F.lit(q) * F.col("total")
     hit = held.filter((F.col("n") >= rank) & (F.col("below") < rank))
     inner = F.col("low") + (F.col("le") - F.col("low")) * (rank - F.col("below")) / (F.col("n") - F.col("below"))

@@ -37,7 +37,8 @@ def normalize_error(rows: DataFrame, key: str, idx: list[str], weight: str, targ
     bad = F.when(F.col("status") == "Overflow", scaled > MOST).when(F.col("status") == "Underflow", (scaled > 0) & (scaled < EPSILON))
     first = held.groupBy(key).agg(F.first("status").alias("status"), F.min(F.when(bad, F.struct(*idx, scaled.alias("v"))))["v"].alias("v"))
     said = lambda text: F.concat(F.lit(text.split("{}")[0]), F.col("v").cast("string"), F.lit(text.split("{}")[1]))
-    error = F.when(F.col("status") == "ZeroVolume", errors.ZERO_VOLUME).when(F.col("status") == "Overflow", said(errors.OVERFLOW)).when(F.col("status") == "Underflow", said(errors.UNDERFLOW))
+    error = F.when(F.col("status") == "ZeroVolume", errors.ZERO_VOLUME).when(F.col("status") == "Overflow",
+        said(errors.OVERFLOW)).when(F.col("status") == "Underflow", said(errors.UNDERFLOW))
     return first.select(key, error.alias("error"))
 
 

@@ -64,7 +64,8 @@ def betti(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     one = edge_count(held).join(v).join(t).join(sums)  # four tables of one row each
     c = F.col("v") - F.col("linked") + F.coalesce("roots", F.lit(0))
     ref = F.when(F.col("v") > 0, F.col("n_edges") - F.col("v") + F.col("t") + 1).otherwise(F.lit(0))
-    return one.select(F.col("v").alias("n_nodes"), "n_edges", F.col("t").alias("n_triangles"), c.alias("n_components"), ref.cast("long").alias("betti_ref"), (F.col("n_edges") - F.col("v") + c).alias("cyclomatic"))
+    return one.select(F.col("v").alias("n_nodes"), "n_edges", F.col("t").alias("n_triangles"), c.alias("n_components"),
+        ref.cast("long").alias("betti_ref"), (F.col("n_edges") - F.col("v") + c).alias("cyclomatic"))
 
 
 def spikes(spark, n: int) -> DataFrame:

@@ -49,7 +49,8 @@ def discovered_files(spark, sf_dir):
     """The sink's files as they are found, once each, and the rows in each folder."""
     path = s.scratch(spark, "discovered")
     files = s.terminal(table(spark, sf_dir, "events").select(F.hour("ts").alias("at"), "value"), path, ["at"])
-    found = spark.createDataFrame([(f,) for f in files], "file string").select(F.regexp_extract("file", "at=([0-9]+)/part-[^/]*parquet$", 1).cast("int").alias("at")).distinct()
+    found = spark.createDataFrame([(f,) for f in files],
+        "file string").select(F.regexp_extract("file", "at=([0-9]+)/part-[^/]*parquet$", 1).cast("int").alias("at")).distinct()
     return found.join(s.receive(spark, path).groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at")
 
 
@@ -79,16 +80,20 @@ def staged_job_1m(spark, sf_dir):
 
 
 _BY_TYPE = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
-QUERIES = {f.__name__: f for f in (udf_identity, udf_scale, receptor_typed, terminal_roundtrip, partitioned_roundtrip, discovered_files, first_registration, ipc_roundtrip, sensor_batch, staged_job_1m)}
+QUERIES = {f.__name__: f for f in (udf_identity, udf_scale, receptor_typed, terminal_roundtrip, partitioned_roundtrip, discovered_files,
+    first_registration, ipc_roundtrip, sensor_batch, staged_job_1m)}
 ORACLES = {
     "udf_identity": "SELECT event_id, user_id, value FROM events",
     "udf_scale": "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS l_quantity FROM lineitem",
     "receptor_typed": "SELECT o_orderkey, o_totalprice FROM orders",
     "terminal_roundtrip": _BY_TYPE,
-    "partitioned_roundtrip": "SELECT n_regionkey AS region_id, CAST(hour(ts) AS INT) AS timestamp_hour, round(sum(value), 4) AS sum_value FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",
+    "partitioned_roundtrip": "SELECT n_regionkey AS region_id, CAST(hour(ts) AS INT) AS timestamp_hour, round(sum(value), 4) AS sum_value FROM events "
+        "e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2",
     "discovered_files": "SELECT CAST(hour(ts) AS INT) AS at, count(*) AS n FROM events GROUP BY 1",
     "first_registration": "SELECT event_id, value * 3 AS value FROM events",
     "ipc_roundtrip": _BY_TYPE,
-    "staged_job_1m": "SELECT 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS sensor_tag, count(*) AS n, round(sum(range * 0.12345::DOUBLE), 2) AS total FROM range(1000000) GROUP BY 1",
-    "sensor_batch": "SELECT range AS id, round(range * 0.12345::DOUBLE, 6) AS metric_value, 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS sensor_tag FROM range(50000)",
+    "staged_job_1m": "SELECT 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS sensor_tag, count(*) AS n, round(sum(range * 0.12345::DOUBLE), 2) AS "
+        "total FROM range(1000000) GROUP BY 1",
+    "sensor_batch": "SELECT range AS id, round(range * 0.12345::DOUBLE, 6) AS metric_value, 'sensor_' || lpad((range % 50)::VARCHAR, 4, '0') AS "
+        "sensor_tag FROM range(50000)",
 }

@@ -29,6 +29,7 @@ def region_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOCATED = "events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"
 QUERIES = {"flagship_region_hour_sum": flagship, "region_sum": region_sum}
 ORACLES = {
-    "flagship_region_hour_sum": f"SELECT n_regionkey AS region_id, date_trunc('hour', ts) AS timestamp_hour, round(sum(value), 6) AS sum_value, count(*) AS n_events FROM {_LOCATED} GROUP BY 1, 2",
+    "flagship_region_hour_sum": f"SELECT n_regionkey AS region_id, date_trunc('hour', ts) AS timestamp_hour, round(sum(value), 6) AS sum_value, "
+        f"count(*) AS n_events FROM {_LOCATED} GROUP BY 1, 2",
     "region_sum": f"SELECT n_regionkey AS region_id, round(sum(value), 4) AS sum_value, count(*) AS n_events FROM {_LOCATED} GROUP BY 1",
 }

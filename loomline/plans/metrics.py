@@ -25,7 +25,8 @@ def counter_final(spark, sf_dir):
 
 
 def counter_running(spark, sf_dir):
-    return m.counter_log(events(spark, sf_dir).select("event_type", *_ORDER), "event_type", _ORDER, F.date_trunc("hour", "ts")).select("event_id", "event_type", "running")
+    return m.counter_log(events(spark, sf_dir).select("event_type", *_ORDER), "event_type", _ORDER, F.date_trunc("hour", "ts")).select("event_id",
+        "event_type", "running")
 
 
 def gauge_last(spark, sf_dir):
@@ -70,7 +71,8 @@ def bench_stats(spark, sf_dir):
 
 def _packets(spark, sf_dir):
     return table(spark, sf_dir, "events").select(
-        (F.col("event_id") % 8).alias("cpu"), F.length("props").cast("long").alias("bytes"), (F.col("event_type") == "error").alias("dropped"), F.floor("value").alias("latency_ns"))
+        (F.col("event_id") % 8).alias("cpu"), F.length("props").cast("long").alias("bytes"), (F.col("event_type") == "error").alias("dropped"),
+            F.floor("value").alias("latency_ns"))
 
 
 def percpu_by_cpu(spark, sf_dir):
@@ -100,7 +102,8 @@ def alert_windows_5m(spark, sf_dir):
 
 
 #: The alert rules with thresholds that the events' latencies and error rates reach.
-_RULES = tuple((name, column, window, sign, {1000.0: 150.0, 500.0: 110.0, 0.05: 0.2, 0.01: 0.1}.get(x, x), severity) for name, column, window, sign, x, severity in m.ALERTS)
+_RULES = tuple((name, column, window, sign, {1000.0: 150.0, 500.0: 110.0, 0.05: 0.2, 0.01: 0.1}.get(x, x), severity) for name, column, window, sign,
+    x, severity in m.ALERTS)
 
 
 def _naive(df):
@@ -158,7 +161,8 @@ def metric_names(spark, sf_dir):
     control = Control(spark)
     control.tenants.set("t", Quota())
     path = scratch(spark, "metrics")
-    job = control.submit([("receptor", lambda d: d), ("terminal", lambda d: d.filter("r_regionkey < 3"))], submit_graph("t").with_config(output_path=path, required_nodes=2, max_execution_ms=None))
+    job = control.submit([("receptor", lambda d: d), ("terminal", lambda d: d.filter("r_regionkey < 3"))],
+        submit_graph("t").with_config(output_path=path, required_nodes=2, max_execution_ms=None))
     control.run(job, table(spark, sf_dir, "region"))
     control.node_failed(control.nodes.own, job)
     try:
@@ -202,7 +206,9 @@ def stage_time_total(spark, sf_dir):
 _KEY = "'events_k=' || json_extract_string(props, '$.k') || '_type=' || event_type"
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY {v}) AS r, count(*) OVER (PARTITION BY {g}) AS n FROM {t}"
 _PACKETS = "SELECT event_id % 8 AS cpu, length(props) AS bytes, event_type = 'error' AS dropped, CAST(floor(value) AS BIGINT) AS latency_ns FROM events"
-_PER_CPU = "SELECT cpu, count(*) AS packets, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS drops, CAST(sum(bytes) AS BIGINT) AS total_bytes, CAST(sum(latency_ns) AS BIGINT) AS latency, count(*) FILTER (WHERE latency_ns <> 0) AS latency_samples FROM ({t}) GROUP BY cpu"
+_PER_CPU = (
+    "SELECT cpu, count(*) AS packets, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS drops, CAST(sum(bytes) AS BIGINT) AS total_bytes, "
+        "CAST(sum(latency_ns) AS BIGINT) AS latency, count(*) FILTER (WHERE latency_ns <> 0) AS latency_samples FROM ({t}) GROUP BY cpu")
 
 
 def _alerts(bucket: str, availability: float, p95: float, errors: float) -> str:
@@ -220,45 +226,78 @@ def _raised(windows: str, keys: str, rules) -> str:
 def _service(bucket: str) -> str:
     return (
         f"WITH w AS (SELECT {bucket} AS window_start, event_type <> 'error' AS ok, value FROM events), r AS ({_RANKED.format(g='window_start', v='value', t='w')}), "
-        "s AS (SELECT window_start, round(avg(ok::DOUBLE), 9) AS availability, round(1 - avg(ok::DOUBLE), 9) AS error_rate, round(max(value) FILTER (WHERE r = least(floor(0.95 * n), n - 1) + 1), 9) AS p95 FROM r GROUP BY 1) ")
+        "s AS (SELECT window_start, round(avg(ok::DOUBLE), 9) AS availability, round(1 - avg(ok::DOUBLE), 9) AS error_rate, round(max(value) FILTER "
+            "(WHERE r = least(floor(0.95 * n), n - 1) + 1), 9) AS p95 FROM r GROUP BY 1) ")
 
 
 _ON = ("availability", "p95", "error_rate")
-_ACTIVE = "d AS (SELECT ts, event_id, user_id % 5 AS tenant, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS x FROM events), c AS (SELECT *, sum(x) OVER w AS s FROM d WINDOW w AS (PARTITION BY tenant ORDER BY ts, event_id)), a AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY tenant ORDER BY ts, event_id)) AS active FROM c)"
+_ACTIVE = (
+    "d AS (SELECT ts, event_id, user_id % 5 AS tenant, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS x FROM events), c AS "
+        "(SELECT *, sum(x) OVER w AS s FROM d WINDOW w AS (PARTITION BY tenant ORDER BY ts, event_id)), a AS (SELECT *, s - least(0, min(s) OVER "
+        "(PARTITION BY tenant ORDER BY ts, event_id)) AS active FROM c)")
 QUERIES = {f.__name__: f for f in (
     alerts_raised, alert_warnings, healthy_nodes_2m, quota_usage_10m, rollback_triggers, bench_throughput, metric_names,
-    counter_final, counter_running, gauge_last, prometheus_lines, sli_by_user, slo_met, sli_of_nothing, p95_last1000, error_budget, bench_stats, percpu_by_cpu, percpu_snapshot,
+    counter_final, counter_running, gauge_last, prometheus_lines, sli_by_user, slo_met, sli_of_nothing, p95_last1000, error_budget, bench_stats,
+        percpu_by_cpu, percpu_snapshot,
     percpu_since_reset, alert_windows, alert_windows_5m, rate_1m, failure_streaks, histogram_buckets, histogram_quantile_1d, stage_time_total)}
 ORACLES = {
     "alerts_raised": _raised(_service("time_bucket(INTERVAL '5 minutes', ts)"), "window_start", [r for r in m.ALERTS if r[1] in _ON]),
     "alert_warnings": _raised(_service("date_trunc('hour', ts)"), "window_start", [r for r in _RULES if r[1] in _ON and r[5] == "warning"]),
-    "healthy_nodes_2m": "WITH l AS (SELECT time_bucket(INTERVAL '2 minutes', ts) AS window_start, user_id, arg_max(event_type <> 'error', (ts, event_id)) AS ok FROM events GROUP BY 1, 2), s AS (SELECT window_start, count(*) FILTER (WHERE ok) AS healthy_nodes FROM l GROUP BY 1) SELECT *, CASE WHEN healthy_nodes < 3 THEN 'cluster_less_than_3_nodes' END AS alert FROM s",
-    "quota_usage_10m": f"WITH {_ACTIVE}, s AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, tenant, max(active) / 10.0::DOUBLE AS quota_usage FROM a GROUP BY 1, 2) SELECT window_start, tenant, round(quota_usage, 9) AS quota_usage, CASE WHEN quota_usage > 0.8 THEN 'quota_usage_above_80_percent' END AS alert FROM s",
-    "rollback_triggers": f"WITH e AS (SELECT *, time_bucket(INTERVAL '2 minutes', ts) AS b, event_type = 'error' AS f FROM events), t AS (SELECT user_id, 1 - avg((NOT f)::DOUBLE) AS error_rate FROM e GROUP BY 1), r AS ({_RANKED.format(g='user_id, b', v='value', t='e')}), "
-    "w AS (SELECT user_id, b, max(value) FILTER (WHERE r = least(floor(0.95 * n), n - 1) + 1) AS p95 FROM r GROUP BY 1, 2), x AS (SELECT user_id, count(*) FILTER (WHERE p95 > 150) AS slow_windows FROM w GROUP BY 1), "
-    "i AS (SELECT user_id, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e), y AS (SELECT user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) FILTER (WHERE f) AS n FROM i GROUP BY 1, 2) GROUP BY 1) "
-    "SELECT user_id, round(error_rate, 9) AS error_rate, slow_windows, longest, round(error_rate / 0.25::DOUBLE, 9) AS budget_used, error_rate > 0.2 AS failing, slow_windows > 0 AS slow, longest > 1 AS unhealthy, error_rate / 0.25::DOUBLE >= 1 AS exhausted FROM t JOIN x USING (user_id) JOIN y USING (user_id)",
-    "bench_throughput": "SELECT event_type, round(count(*) / (avg(value) / 1000), 6) AS rows_per_s, round(sum(length(props)) / 1048576.0::DOUBLE / (avg(value) / 1000), 9) AS mb_per_s FROM events GROUP BY 1",
-    "metric_names": "SELECT name, kind, CASE WHEN name LIKE '%stage_rows' THEN 8 END::BIGINT AS rows FROM (VALUES " + ", ".join(f"('{PREFIX}{n}', '{k}')" for n, k in METRICS.items()) + ") t(name, kind)",
+    "healthy_nodes_2m": "WITH l AS (SELECT time_bucket(INTERVAL '2 minutes', ts) AS window_start, user_id, arg_max(event_type <> 'error', (ts, "
+        "event_id)) AS ok FROM events GROUP BY 1, 2), s AS (SELECT window_start, count(*) FILTER (WHERE ok) AS healthy_nodes FROM l GROUP BY 1) "
+        "SELECT *, CASE WHEN healthy_nodes < 3 THEN 'cluster_less_than_3_nodes' END AS alert FROM s",
+    "quota_usage_10m": f"WITH {_ACTIVE}, s AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, tenant, max(active) / 10.0::DOUBLE AS "
+        f"quota_usage FROM a GROUP BY 1, 2) SELECT window_start, tenant, round(quota_usage, 9) AS quota_usage, CASE WHEN quota_usage > 0.8 THEN "
+        f"'quota_usage_above_80_percent' END AS alert FROM s",
+    "rollback_triggers": f"WITH e AS (SELECT *, time_bucket(INTERVAL '2 minutes', ts) AS b, event_type = 'error' AS f FROM events), t AS (SELECT "
+        f"user_id, 1 - avg((NOT f)::DOUBLE) AS error_rate FROM e GROUP BY 1), r AS ({_RANKED.format(g='user_id, b', v='value', t='e')}), "
+    "w AS (SELECT user_id, b, max(value) FILTER (WHERE r = least(floor(0.95 * n), n - 1) + 1) AS p95 FROM r GROUP BY 1, 2), x AS (SELECT user_id, "
+        "count(*) FILTER (WHERE p95 > 150) AS slow_windows FROM w GROUP BY 1), "
+    "i AS (SELECT user_id, f, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e), y AS (SELECT "
+        "user_id, max(n) AS longest FROM (SELECT user_id, g, count(*) FILTER (WHERE f) AS n FROM i GROUP BY 1, 2) GROUP BY 1) "
+    "SELECT user_id, round(error_rate, 9) AS error_rate, slow_windows, longest, round(error_rate / 0.25::DOUBLE, 9) AS budget_used, error_rate > 0.2 "
+        "AS failing, slow_windows > 0 AS slow, longest > 1 AS unhealthy, error_rate / 0.25::DOUBLE >= 1 AS exhausted FROM t JOIN x USING (user_id) "
+        "JOIN y USING (user_id)",
+    "bench_throughput": "SELECT event_type, round(count(*) / (avg(value) / 1000), 6) AS rows_per_s, round(sum(length(props)) / 1048576.0::DOUBLE / "
+        "(avg(value) / 1000), 9) AS mb_per_s FROM events GROUP BY 1",
+    "metric_names": "SELECT name, kind, CASE WHEN name LIKE '%stage_rows' THEN 8 END::BIGINT "
+        "AS rows FROM (VALUES " + ", ".join(f"('{PREFIX}{n}', '{k}')" for n, k in METRICS.items()) + ") t(name, kind)",
     "counter_final": f"SELECT {_KEY} AS key, count(*) AS total FROM events GROUP BY 1",
     "counter_running": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS running FROM events",
     "gauge_last": "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",
-    "prometheus_lines": f"SELECT 0 AS part, {_KEY} || ' ' || count(*) AS line FROM events GROUP BY {_KEY} UNION ALL SELECT 1, 'last_event_type=' || event_type || ' ' || arg_max(event_id, (ts, event_id)) FROM events GROUP BY event_type",
+    "prometheus_lines": f"SELECT 0 AS part, {_KEY} || ' ' || count(*) AS line FROM events GROUP BY {_KEY} UNION ALL SELECT 1, 'last_event_type=' || "
+        f"event_type || ' ' || arg_max(event_id, (ts, event_id)) FROM events GROUP BY event_type",
     "sli_by_user": "SELECT user_id, round(coalesce(avg((event_type <> 'error')::DOUBLE), 1.0), 9) AS sli FROM events GROUP BY 1",
     "slo_met": "SELECT user_id, coalesce(avg((event_type <> 'error')::DOUBLE), 1.0) >= 0.75 AS met FROM events GROUP BY 1",
     "sli_of_nothing": "SELECT 1.0::DOUBLE AS sli, 0.0::DOUBLE AS p95",
-    "p95_last1000": f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS q FROM events) WHERE q <= 1000), r AS ({_RANKED.format(g='event_type', v='value', t='t')}) SELECT event_type, max(value) AS p95 FROM r WHERE r = least(floor(0.95 * n), n - 1) + 1 GROUP BY 1",
-    "error_budget": "SELECT name, target::DOUBLE AS target, round((1 - target::DOUBLE) * 100, 6) AS budget FROM (VALUES ('availability', 0.999), ('latency', 0.95), ('error_rate', 0.01)) t(name, target)",
-    "bench_stats": f"WITH r AS ({_RANKED.format(g='event_type', v='value', t='events')}), s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, sqrt(var_pop(value)) AS sigma, min(value) AS low, max(value) AS high, max(value) FILTER (WHERE r = least(floor(0.5 * n), n - 1) + 1) AS p50, max(value) FILTER (WHERE r = least(floor(0.95 * n), n - 1) + 1) AS p95, max(value) FILTER (WHERE r = least(floor(0.99 * n), n - 1) + 1) AS p99 FROM r GROUP BY 1) "
-    "SELECT event_type, n, round(mean, 6) AS mean, round(sigma, 6) AS sigma, round(CASE WHEN mean > 0 THEN sigma / mean * 100 ELSE 0 END, 6) AS cv_percent, round(low, 6) AS low, round(high, 6) AS high, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM s",
+    "p95_last1000": f"WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS q FROM "
+        f"events) WHERE q <= 1000), r AS ({_RANKED.format(g='event_type', v='value', t='t')}) SELECT event_type, max(value) AS p95 FROM r WHERE r = "
+        f"least(floor(0.95 * n), n - 1) + 1 GROUP BY 1",
+    "error_budget": "SELECT name, target::DOUBLE AS target, round((1 - target::DOUBLE) * 100, 6) AS budget FROM (VALUES ('availability', 0.999), "
+        "('latency', 0.95), ('error_rate', 0.01)) t(name, target)",
+    "bench_stats": f"WITH r AS ({_RANKED.format(g='event_type', v='value', t='events')}), s AS (SELECT event_type, count(*) AS n, avg(value) AS mean, "
+        f"sqrt(var_pop(value)) AS sigma, min(value) AS low, max(value) AS high, max(value) FILTER (WHERE r = least(floor(0.5 * n), n - 1) + 1) AS "
+        f"p50, max(value) FILTER (WHERE r = least(floor(0.95 * n), n - 1) + 1) AS p95, max(value) FILTER (WHERE r = least(floor(0.99 * n), n - 1) + "
+        f"1) AS p99 FROM r GROUP BY 1) "
+    "SELECT event_type, n, round(mean, 6) AS mean, round(sigma, 6) AS sigma, round(CASE WHEN mean > 0 THEN sigma / mean * 100 ELSE 0 END, 6) AS "
+        "cv_percent, round(low, 6) AS low, round(high, 6) AS high, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM s",
     "percpu_by_cpu": _PER_CPU.format(t=_PACKETS),
-    "percpu_snapshot": f"SELECT count(*) AS cpu_count, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(drops) AS BIGINT) AS drops, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(latency) AS BIGINT) AS latency, CAST(sum(latency_samples) AS BIGINT) AS latency_samples FROM ({_PER_CPU.format(t=_PACKETS)})",
+    "percpu_snapshot": f"SELECT count(*) AS cpu_count, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(drops) AS BIGINT) AS drops, "
+        f"CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(latency) AS BIGINT) AS latency, CAST(sum(latency_samples) AS BIGINT) AS "
+        f"latency_samples FROM ({_PER_CPU.format(t=_PACKETS)})",
     "percpu_since_reset": _PER_CPU.format(t=_PACKETS + " WHERE event_id % 8 >= 4"),
     "alert_windows": _alerts("date_trunc('day', ts)", 0.85, 150.0, 0.2),
     "alert_windows_5m": _alerts("time_bucket(INTERVAL '5 minutes', ts)", 0.99, 1000.0, 0.05),
     "rate_1m": "SELECT event_type, date_trunc('minute', ts) AS window_start, round(count(*) / 60.0::DOUBLE, 9) AS rate FROM events GROUP BY 1, 2",
-    "failure_streaks": "WITH i AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events), s AS (SELECT user_id, g, count(*) FILTER (WHERE f) AS n FROM i GROUP BY 1, 2) SELECT user_id, max(n) AS longest, max(n) > 3 AS rollback FROM s GROUP BY 1",
-    "histogram_buckets": "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (25.0), (50.0), (75.0), (100.0), (150.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2",
-    "histogram_quantile_1d": "WITH b AS (SELECT date_trunc('day', ts) AS window_start, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (25.0), (50.0), (75.0), (100.0), (150.0), (250.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2), c AS (SELECT *, coalesce(lag(n) OVER w, 0) AS m, coalesce(lag(le) OVER w, 0) AS low, 0.95::DOUBLE * max(n) OVER (PARTITION BY window_start) AS r FROM b WINDOW w AS (PARTITION BY window_start ORDER BY le)) SELECT window_start, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (r - m) / (n - m) END, 6) AS quantile FROM c WHERE n >= r AND m < r",
+    "failure_streaks": "WITH i AS (SELECT user_id, event_type = 'error' AS f, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION "
+        "BY user_id ORDER BY ts, event_id) AS g FROM events), s AS (SELECT user_id, g, count(*) FILTER (WHERE f) AS n FROM i GROUP BY 1, 2) SELECT "
+        "user_id, max(n) AS longest, max(n) > 3 AS rollback FROM s GROUP BY 1",
+    "histogram_buckets": "SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (VALUES (10.0::DOUBLE), (25.0), (50.0), "
+        "(75.0), (100.0), (150.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2",
+    "histogram_quantile_1d": "WITH b AS (SELECT date_trunc('day', ts) AS window_start, le, count(*) FILTER (WHERE value <= le) AS n FROM events, "
+        "(VALUES (10.0::DOUBLE), (25.0), (50.0), (75.0), (100.0), (150.0), (250.0), ('inf'::DOUBLE)) b(le) GROUP BY 1, 2), c AS (SELECT *, "
+        "coalesce(lag(n) OVER w, 0) AS m, coalesce(lag(le) OVER w, 0) AS low, 0.95::DOUBLE * max(n) OVER (PARTITION BY window_start) AS r FROM b "
+        "WINDOW w AS (PARTITION BY window_start ORDER BY le)) SELECT window_start, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (r - m) "
+        "/ (n - m) END, 6) AS quantile FROM c WHERE n >= r AND m < r",
     "stage_time_total": "SELECT user_id, count(*) AS total_ms FROM events GROUP BY 1",
 }

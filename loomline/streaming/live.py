@@ -68,7 +68,8 @@ def feedback(stream: DataFrame, key: str, order: str, delta: str, pid: Pid = Pid
     ship(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, integral double, error double, epsilon double, n long", "integral double, error double, epsilon double", "update", GroupStateTimeout.NoTimeout)
+        step, f"{key} {kind}, integral double, error double, epsilon double, n long", "integral double, error double, epsilon double", "update",
+            GroupStateTimeout.NoTimeout)
 
 
 def merge_into(path: str, key: str, heartbeat: str):

@@ -15,13 +15,18 @@ from loomline.operators import tensor as t
 
 
 @pytest.mark.parametrize(("error", "text"), [
-    (e.GraphNotFound("graph-123"), "Graph not found: graph-123"), (e.ExecutionFailed("timeout"), "Execution failed: timeout"), (e.FunctionError("out of fuel"), "Wasm runtime error: out of fuel"),
-    (e.DataPlaneError("connection lost"), "Data plane error: connection lost"), (e.SerializationError("invalid json"), "Serialization error: invalid json"), (e.StorageError("disk"), "IO error: disk"),
+    (e.GraphNotFound("graph-123"), "Graph not found: graph-123"), (e.ExecutionFailed("timeout"), "Execution failed: timeout"),
+        (e.FunctionError("out of fuel"), "Wasm runtime error: out of fuel"),
+    (e.DataPlaneError("connection lost"), "Data plane error: connection lost"),
+        (e.SerializationError("invalid json"), "Serialization error: invalid json"), (e.StorageError("disk"), "IO error: disk"),
     (e.ParquetError("write failed"), "Parquet error: write failed"), (e.ArrowError("schema mismatch"), "Arrow error: schema mismatch"),
-    (e.InvalidState("graph already running"), "Graph not in valid state for operation: graph already running"), (e.QuotaExceeded("memory limit"), "Resource quota exceeded: memory limit"),
+    (e.InvalidState("graph already running"), "Graph not in valid state for operation: graph already running"),
+        (e.QuotaExceeded("memory limit"), "Resource quota exceeded: memory limit"),
     (e.AuthenticationRequired(), "Authentication required"), (e.AuthorizationFailed("invalid token"), "Authorization failed: invalid token"),
-    (e.IdempotencyKeyExists("key-123"), "Idempotency key already exists: key-123"), (e.ProtocolVersionMismatch("1.0.0", "0.9.0"), "Protocol version mismatch: expected 1.0.0, got 0.9.0"),
-    (e.RequestFailed("x"), "Request failed: x"), (e.ServerError("x"), "Server error: x"), (e.ClientGraphNotFound("x"), "Graph not found: x"), (e.ClientAuthenticationRequired(), "Authentication required"),
+    (e.IdempotencyKeyExists("key-123"), "Idempotency key already exists: key-123"),
+        (e.ProtocolVersionMismatch("1.0.0", "0.9.0"), "Protocol version mismatch: expected 1.0.0, got 0.9.0"),
+    (e.RequestFailed("x"), "Request failed: x"), (e.ServerError("x"), "Server error: x"), (e.ClientGraphNotFound("x"), "Graph not found: x"),
+        (e.ClientAuthenticationRequired(), "Authentication required"),
     (e.VersionMismatch("1.0.0, 2.0.0", "3.0.0"), "Protocol version mismatch: expected one of 1.0.0, 2.0.0, got 3.0.0"), (e.InvalidMessage("x"), "Invalid message: x"),
     (e.MessageSerialization("x"), "Serialization error: x"), (e.UnsupportedMessageType("x"), "Unsupported message type: x"),
 ])
@@ -118,7 +123,8 @@ def test_pending_jobs_can_be_aborted_and_late_ones_fail(spark, tmp_path):
 def test_records_are_json_and_back():
     config = lc.submit_graph("t").with_idempotency_key("k").with_config(credentials=lc.Credentials(token="x"))
     assert lc.JobConfig.from_json(config.to_json()) == config
-    assert (lc.JobConfig().memory_mb, lc.JobConfig().max_fuel, lc.JobConfig().enable_simd, lc.JobConfig().output_path, lc.JobConfig().required_nodes) == (512, 1_000_000, True, None, 1)
+    assert (lc.JobConfig().memory_mb, lc.JobConfig().max_fuel, lc.JobConfig().enable_simd, lc.JobConfig().output_path,
+        lc.JobConfig().required_nodes) == (512, 1_000_000, True, None, 1)
     for text in ("{", "[]", json.dumps({"nothing": 1})):
         with pytest.raises(e.SerializationError):
             lc.JobConfig.from_json(text)
@@ -224,7 +230,8 @@ def test_parts_change_no_result(spark, seed):
 
 def test_seven_alerts(spark):
     assert len(m.ALERTS) == 7 and sum(r[5] == "critical" for r in m.ALERTS) == 4
-    df = spark.createDataFrame([(1, 0.98, 600.0, 0.02, 2, 0.9), (2, 1.0, 10.0, 0.0, 9, 0.1), (3, 0.5, 2000.0, 0.5, 3, 0.8)], "w int, availability double, p95 double, error_rate double, healthy_nodes int, quota_usage double")
+    df = spark.createDataFrame([(1, 0.98, 600.0, 0.02, 2, 0.9), (2, 1.0, 10.0, 0.0, 9, 0.1), (3, 0.5, 2000.0, 0.5, 3, 0.8)],
+        "w int, availability double, p95 double, error_rate double, healthy_nodes int, quota_usage double")
     got = {}
     for r in m.raised(df, ["w"]).collect():
         got.setdefault(r.w, set()).add(r.alert)

@@ -172,7 +172,8 @@ def test_cluster(spark):
 
 def test_protocol(spark):
     v = lambda a, b, d: F.struct(F.lit(a).alias("major"), F.lit(b).alias("minor"), F.lit(d).alias("patch"))
-    r = spark.range(1).select(p.compatible(v(1, 0, 0), v(1, 1, 0)), p.compatible(v(1, 0, 0), v(2, 0, 0)), p.newer(v(1, 1, 0), v(1, 0, 0)), p.newer(v(2, 0, 0), v(1, 9, 9)), p.newer(v(1, 0, 0), v(1, 0, 0))).first()
+    r = spark.range(1).select(p.compatible(v(1, 0, 0), v(1, 1, 0)), p.compatible(v(1, 0, 0), v(2, 0, 0)), p.newer(v(1, 1, 0), v(1, 0, 0)),
+        p.newer(v(2, 0, 0), v(1, 9, 9)), p.newer(v(1, 0, 0), v(1, 0, 0))).first()
     assert tuple(r) == (True, False, True, True, False)
 
 

@@ -31,7 +31,8 @@ def drained(df, mode, name):
 def test_tumbling_equals_batch(spark, files):
     stream = live.event_stream(spark, *files)
     got = drained(live.tumbling(stream, "ts", ["event_type"], "value", "1 hour"), "complete", "tumbling").collect()
-    batch = table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour")["start"].alias("w"), "event_type").agg(F.count("*").alias("n"))
+    batch = table(spark, DATA, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour")["start"].alias("w"),
+        "event_type").agg(F.count("*").alias("n"))
     assert {(r.window_start, r.event_type, r.n) for r in got} == {(r.w, r.event_type, r.n) for r in batch.collect()}
 
 
@@ -56,7 +57,8 @@ def test_feedback_state_equals_batch_fold(spark, tmp_path):
     schema = "user_id long, ts timestamp_ntz, event_id long, delta double"
     for k in range(3):
         part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3]
-        spark.createDataFrame([(r.user_id, r.ts, r.event_id, r.delta) for r in part], schema).withColumn("seq", F.lit(k) * 10**9 + F.monotonically_increasing_id()).coalesce(1).write.parquet(str(tmp_path / f"p/{k}"))
+        spark.createDataFrame([(r.user_id, r.ts, r.event_id, r.delta) for r in part], schema).withColumn("seq",
+            F.lit(k) * 10**9 + F.monotonically_increasing_id()).coalesce(1).write.parquet(str(tmp_path / f"p/{k}"))
     order = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "p"))
     ordered = {}
     for k in range(3):
