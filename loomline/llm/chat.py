@@ -38,14 +38,16 @@ def _stretches(conversations: DataFrame) -> DataFrame:
     once, by conversation and stretch of turn numbers; more turns than that with few numbers make more subs."""
     held, (conv, turn, role, text) = positional(conversations, "conv_id", "turn", "role", "text")
     rows = held.select(
-        F.col(conv).cast("long").alias("conv_id"), F.coalesce(F.col(conv).cast("long").cast("string"), F.lit("null")).alias("key"), F.col(turn).cast("long").alias("turn"),
+        F.col(conv).cast("long").alias("conv_id"), F.coalesce(F.col(conv).cast("long").cast("string"), F.lit("null")).alias("key"),
+            F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 60))))
     own = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     held = rows.withColumn("own", own).withColumn("sub", F.floor((F.col("own") - 1) / STRETCH)).withColumn("text", escape(F.col("text")))
     piece = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), F.col("text"), F.lit(CLOSE))
     turn = F.struct(
-        "own", (F.col("role") == "assistant").alias("learned"), (F.col("role") == "system").alias("head"), piece.alias("piece"), F.char_length("text").cast("long").alias("chars"),
+        "own", (F.col("role") == "assistant").alias("learned"), (F.col("role") == "system").alias("head"), piece.alias("piece"),
+            F.char_length("text").cast("long").alias("chars"),
         F.ceil(F.octet_length(piece) / 4).alias("tokens"))
     return held.groupBy("conv_id", "key", "part", "sub").agg(F.sort_array(F.collect_list(turn)).alias("run"))
 
@@ -58,7 +60,8 @@ def _surroundings(stretches: DataFrame, history_turns: int) -> DataFrame:
     head = F.when(F.col("run")[0]["head"], F.col("run")[0])
     slim = stretches.select("key", "part", "sub", tail.alias("tail"), head.alias("head"))
     first = F.row_number().over(order) == 1
-    seen = slim.select("key", "part", "sub", F.lag("tail").over(order).alias("before"), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("system"), first.alias("first"))
+    seen = slim.select("key", "part", "sub", F.lag("tail").over(order).alias("before"),
+        F.first("head").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("system"), first.alias("first"))
     return seen.groupBy("key", "part").agg(F.collect_list(F.struct("sub", "before", "system", "first")).alias("around"))
 
 
@@ -69,7 +72,8 @@ def _spans(run: Column, room: Column) -> Column:
         full = (acc["sum"] > 0) & (acc["sum"] + t["tokens"] > room)
         done = F.struct(acc["at"].alias("at"), (acc["i"] - acc["at"]).alias("n"))
         return F.struct(
-            F.when(full, t["tokens"]).otherwise(acc["sum"] + t["tokens"]).alias("sum"), F.when(full, acc["i"]).otherwise(acc["at"]).alias("at"), (acc["i"] + 1).alias("i"),
+            F.when(full, t["tokens"]).otherwise(acc["sum"] + t["tokens"]).alias("sum"), F.when(full, acc["i"]).otherwise(acc["at"]).alias("at"),
+                (acc["i"] + 1).alias("i"),
             F.when(full, F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
@@ -78,7 +82,8 @@ def _spans(run: Column, room: Column) -> Column:
 
 def _repeat(t: Column) -> Column:
     """A turn as it is repeated: not learned."""
-    return F.struct(t["own"].alias("own"), F.lit(False).alias("learned"), t["head"].alias("head"), t["piece"].alias("piece"), t["chars"].alias("chars"), t["tokens"].alias("tokens"))
+    return F.struct(t["own"].alias("own"), F.lit(False).alias("learned"), t["head"].alias("head"), t["piece"].alias("piece"),
+        t["chars"].alias("chars"), t["tokens"].alias("tokens"))
 
 
 def _recent(turns: Column, most: int) -> Column:
@@ -121,7 +126,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int
     """
     stretches = _stretches(conversations)
     rows = stretches.join(_surroundings(stretches, history_turns), ["key", "part"])
-    rows = rows.withColumn("around", F.filter("around", lambda s: s["sub"] == F.col("sub"))[0]).select("conv_id", "part", "sub", "run", "around.before", "around.system", "around.first")
+    rows = rows.withColumn("around", F.filter("around", lambda s: s["sub"] == F.col("sub"))[0]).select("conv_id", "part", "sub", "run",
+        "around.before", "around.system", "around.first")
     none = F.slice("run", 1, 0)
     rows = rows.withColumn("system", F.when(F.col("system")["tokens"] <= (budget - history_tokens) // 2, F.col("system")))
     room = F.greatest(F.lit(budget - history_tokens) - F.coalesce(F.col("system")["tokens"], F.lit(0)), F.lit(1))
@@ -137,7 +143,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int
 
     def finished(w: Column) -> Column:
         turns = F.concat(w["lead"], w["own"])
-        return F.struct(w["win"].alias("win"), F.array_join(F.transform(turns, lambda t: t["piece"]), "").alias("formatted"), _mask(turns).alias("mask"), F.size(w["lead"]).alias("repeated"))
+        return F.struct(w["win"].alias("win"), F.array_join(F.transform(turns, lambda t: t["piece"]), "").alias("formatted"),
+            _mask(turns).alias("mask"), F.size(w["lead"]).alias("repeated"))
 
     made = rows.select("conv_id", "part", "sub", F.explode(F.transform(F.transform("spans", gathered), finished)).alias("w"))
     return made.select("conv_id", "part", "sub", "w.*")
@@ -151,9 +158,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts = lambda p: F.split(p, r" \[/INST\] ", 2)
     turn = lambda p: F.concat(unescape(F.substring(parts(p)[0], len(OPEN) + 1, 1 << 30)), F.lit("\n"), unescape(parts(p)[1]), F.lit("\n"))
     learned = lambda m: unescape(F.col("formatted").substr((m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))
-    read = formatted.select("conv_id", F.struct("part", "sub", "win").alias("at"), F.size(own).cast("long").alias("n"), F.array_join(F.transform(own, turn), "").alias("turns"),
+    read = formatted.select("conv_id", F.struct("part", "sub", "win").alias("at"), F.size(own).cast("long").alias("n"),
+        F.array_join(F.transform(own, turn), "").alias("turns"),
                             F.array_join(F.transform("mask", learned), "").alias("loss"), F.char_length("formatted").cast("long").alias("chars"))
-    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("at", "turns", "loss"))).alias("run"), F.sum("chars").alias("formatted_chars"))
+    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sort_array(F.collect_list(F.struct("at", "turns", "loss"))).alias("run"),
+        F.sum("chars").alias("formatted_chars"))
     joined = lambda c: F.array_join(F.transform("run", lambda r: r[c]), "")
     out = whole.withColumns({"turns": joined("turns"), "loss": joined("loss")})
-    return out.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return out.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -141,7 +141,8 @@ def _strays(live: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     """(anchor, rep, stray, size) of buckets whose members are in more than one component; the anchor is the component
     with most of a bucket's members. Buckets of two were settled by the comparison with their smallest member. Sets of
     similar texts have the same or neighbouring sizes, which are classes of so many shingles."""
-    held = live.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("b", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    held = live.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("b", "rep", "n",
+        F.coalesce("comp", "rep").alias("comp"))
     mixed = held.groupBy("b", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(
         F.max_by("comp", F.struct("k", -F.col("comp"))).alias("anchor"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("comps"))
     mixed = mixed.filter("m > 2 and comps > 1").select("b", "anchor")
@@ -154,15 +155,18 @@ def _block_rows(strays: DataFrame) -> DataFrame:
     """Every stray of an anchor meets all members and all other strays of it whose sizes are near its own, in blocks of
     bounded size: rows (anchor, size, other, i, j, doc_id, asks), where texts that ask, of one size, are compared with
     those that don't, of the other."""
-    sizes = strays.groupBy("anchor", "size").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).alias("ns"), F.ceil(F.sum((~F.col("stray")).cast("int")) / BLOCK).alias("nm"))
+    sizes = strays.groupBy("anchor", "size").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).alias("ns"),
+        F.ceil(F.sum((~F.col("stray")).cast("int")) / BLOCK).alias("nm"))
     rows = strays.join(sizes, ["anchor", "size"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("ns")).otherwise(F.greatest("nm", F.lit(1)))))
     near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("other")
     met_by = sizes.select("anchor", F.col("size").alias("other"), F.col("ns").alias("other_ns"), F.col("nm").alias("other_nm"))
     paired = rows.select("anchor", "rep", "stray", "size", "ns", "nm", "at", near).join(met_by, ["anchor", "other"])
     blocks = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
-    asks = paired.filter("stray").select("anchor", "size", "other", F.col("at").alias("i"), blocks(F.col("other_nm") + F.col("other_ns")).alias("j"), F.col("rep").alias("doc_id"), F.lit(True).alias("asks"))
+    asks = paired.filter("stray").select("anchor", "size", "other", F.col("at").alias("i"), blocks(F.col("other_nm") + F.col("other_ns")).alias("j"),
+        F.col("rep").alias("doc_id"), F.lit(True).alias("asks"))
     place = F.when(F.col("stray"), F.col("nm") + F.col("at")).otherwise(F.col("at"))
-    met = paired.select("anchor", F.col("other").alias("size"), F.col("size").alias("other"), blocks(F.col("other_ns")).alias("i"), place.alias("j"), F.col("rep").alias("doc_id"), F.lit(False).alias("asks"))
+    met = paired.select("anchor", F.col("other").alias("size"), F.col("size").alias("other"), blocks(F.col("other_ns")).alias("i"), place.alias("j"),
+        F.col("rep").alias("doc_id"), F.lit(False).alias("asks"))
     return asks.unionByName(met)
 
 

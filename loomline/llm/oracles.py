@@ -48,7 +48,8 @@ l AS (SELECT doc_id, x, i FROM d, unnest(string_split(text, chr(10))) WITH ORDIN
 e AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
 u AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM l QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1) GROUP BY 1),
 m AS (SELECT d.doc_id, host, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x : length(x))), 0)::BIGINT AS word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(e.n, 0) AS n_lines
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(e.n,
+    0) AS n_lines
   FROM d LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN e USING (doc_id)),
 j AS (SELECT *, {_each("{rule} AS {r}")} FROM m),
 o AS (SELECT host, count(*)::DOUBLE AS n, {_each("count(*) FILTER (WHERE {r}) AS f_{r}")} FROM j WHERE host IS NOT NULL GROUP BY 1),
@@ -66,19 +67,28 @@ _ESCAPED = r"regexp_replace({c}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
 _KEY = "coalesce(conv_id, -9000000000000000000)"
 
 CHAT_WINDOWS = f"""
-WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{_TRAP}'), (-1, 1, 'assistant', '{_TRAP}')),
-a AS (SELECT *, {_KEY} AS k, turn // {chat.STRETCH} AS part, row_number() OVER (PARTITION BY {_KEY}, turn // {chat.STRETCH} ORDER BY turn, role, text) AS own, '{chat.OPEN}' || {_ESCAPED.format(c="role")} || '{chat.MIDDLE}' || {_ESCAPED.format(c="text")} || '{chat.CLOSE}' AS piece FROM c),
-t AS (SELECT *, (own - 1) // {chat.STRETCH} AS sub, (octet_length(encode(piece)) + 3) // 4 AS tokens, length(piece) AS chars, row_number() OVER (PARTITION BY k ORDER BY part, own) AS pos, dense_rank() OVER (PARTITION BY k ORDER BY part, (own - 1) // {chat.STRETCH}) AS st FROM a),
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user',
+    '{_TRAP}'), (-1, 1, 'assistant', '{_TRAP}')),
+a AS (SELECT *, {_KEY} AS k, turn // {chat.STRETCH} AS part, row_number() OVER (PARTITION BY {_KEY}, turn // {chat.STRETCH} ORDER BY turn, role,
+    text) AS own, '{chat.OPEN}' || {_ESCAPED.format(c="role")} || '{chat.MIDDLE}' || {_ESCAPED.format(c="text")} || '{chat.CLOSE}' AS piece FROM c),
+t AS (SELECT *, (own - 1) // {chat.STRETCH} AS sub, (octet_length(encode(piece)) + 3) // 4 AS tokens, length(piece) AS chars,
+    row_number() OVER (PARTITION BY k ORDER BY part, own) AS pos, dense_rank() OVER (PARTITION BY k ORDER BY part, (own - 1) // {chat.STRETCH}) AS st FROM a),
 h AS (SELECT k, tokens AS taken, chars AS lead FROM t WHERE pos = 1 AND role = 'system' AND tokens <= {(chat.BUDGET - chat.HISTORY_TOKENS) // 2}),
 m AS (SELECT t.*, greatest({chat.BUDGET - chat.HISTORY_TOKENS} - coalesce(taken, 0), 1) AS room FROM t LEFT JOIN h USING (k)),
 w AS (SELECT k, st, pos, tokens AS held, pos AS first FROM m QUALIFY row_number() OVER (PARTITION BY k, st ORDER BY pos) = 1
-  UNION ALL SELECT m.k, m.st, m.pos, CASE WHEN w.held + m.tokens > room THEN m.tokens ELSE w.held + m.tokens END, CASE WHEN w.held + m.tokens > room THEN m.pos ELSE w.first END FROM w JOIN m ON m.k = w.k AND m.st = w.st AND m.pos = w.pos + 1),
+  UNION ALL SELECT m.k, m.st, m.pos, CASE WHEN w.held + m.tokens > room THEN m.tokens ELSE w.held + m.tokens END, CASE
+    WHEN w.held + m.tokens > room THEN m.pos ELSE w.first END FROM w JOIN m ON m.k = w.k AND m.st = w.st AND m.pos = w.pos + 1),
 f AS (SELECT DISTINCT k, st, first FROM w WHERE first > 1),
-b AS (SELECT f.k, f.first, t.chars, t.pos = 1 AND t.role = 'system' OR t.role = 'system' AND t.st < f.st - 1 AS stop, t.role = 'system' AS head, sum(t.tokens) OVER (PARTITION BY f.k, f.first ORDER BY t.pos DESC) AS held, bool_or(t.role = 'system') OVER (PARTITION BY f.k, f.first ORDER BY t.pos DESC) AS past FROM f JOIN t ON t.k = f.k AND t.pos BETWEEN f.first - {chat.HISTORY_TURNS} AND f.first - 1 AND t.st >= f.st - 1),
+b AS (SELECT f.k, f.first, t.chars, t.pos = 1 AND t.role = 'system' OR t.role = 'system' AND t.st < f.st - 1 AS stop, t.role = 'system' AS head,
+    sum(t.tokens) OVER (PARTITION BY f.k, f.first ORDER BY t.pos DESC) AS held, bool_or(t.role = 'system') OVER (PARTITION BY f.k,
+    f.first ORDER BY t.pos DESC) AS past FROM f JOIN t ON t.k = f.k AND t.pos BETWEEN f.first - {chat.HISTORY_TURNS} AND f.first - 1 AND t.st >= f.st - 1),
 x AS (SELECT k, sum(chars) FILTER (WHERE held <= {chat.HISTORY_TOKENS} AND NOT past) AS chars FROM b GROUP BY 1),
 y AS (SELECT f.k, sum(h.lead) AS chars FROM f JOIN h USING (k) GROUP BY 1),
-z AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t GROUP BY 1)
-SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(z.chars + coalesce(x.chars, 0) + coalesce(y.chars, 0) AS BIGINT) AS formatted_chars FROM z LEFT JOIN x USING (k) LEFT JOIN y USING (k)"""
+z AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10),
+    '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars
+    FROM t GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(z.chars + coalesce(x.chars, 0) + coalesce(y.chars,
+    0) AS BIGINT) AS formatted_chars FROM z LEFT JOIN x USING (k) LEFT JOIN y USING (k)"""
 
 ORACLES = {
     "op1_minhash_near_duplicates": NEAR_DUPLICATES, "op3_chat_windows": CHAT_WINDOWS, "op6_host_quality": HOST_QUALITY, "op7_suffix_repeats": REPEATS,

@@ -54,6 +54,7 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_duplicates, op2_byte_bpe, op3_chat_windows, op4_histogram_sort_shards, op5_randomness_secrets, op6_host_quality, op7_suffix_repeats, op8_feistel_pseudonyms, op9_ftrl_toxicity, op10_qgram_decontamination,
+        op1_minhash_near_duplicates, op2_byte_bpe, op3_chat_windows, op4_histogram_sort_shards, op5_randomness_secrets, op6_host_quality,
+            op7_suffix_repeats, op8_feistel_pseudonyms, op9_ftrl_toxicity, op10_qgram_decontamination,
     )
 }

@@ -362,7 +362,9 @@ class Index:
 def _zipped(batches):
     for batch in batches:
         data = batch.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pa.compress((t or "").encode(), "zstd", asbytes=True) for t in data], pa.binary()), pa.array([len((t or "").encode()) for t in data], pa.int64())], ["id", "zipped", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0),
+            pa.array([pa.compress((t or "").encode(), "zstd", asbytes=True) for t in data], pa.binary()),
+            pa.array([len((t or "").encode()) for t in data], pa.int64())], ["id", "zipped", "n_bytes"])
 
 
 def _zip(docs: DataFrame) -> DataFrame:
@@ -414,7 +416,8 @@ def _strings(length: int):
         held, again = _first_strings(ids, start, hashed, anchor)
         spread = tx.mix(again[0].astype(np.uint64) * tx.PLACES[3] + again[1].astype(np.uint64))
         cat = np.concatenate
-        entry = _entry_batch(cat([anchor[held], spread]), cat([hashed[held], spread]), cat([ids[held], again[0]]), cat([start[held], again[1]]), cat([start[held], again[2]]), np.repeat([_NEW, _REPEAT], [held.sum(), len(spread)]))
+        entry = _entry_batch(cat([anchor[held], spread]), cat([hashed[held], spread]), cat([ids[held], again[0]]), cat([start[held], again[1]]),
+            cat([start[held], again[2]]), np.repeat([_NEW, _REPEAT], [held.sum(), len(spread)]))
         return _string_batch(entry, cat([hashed[held], spread]), [None] * entry.num_rows)
 
     def run_task(batches):
@@ -430,7 +433,8 @@ def _strings(length: int):
                     first, last, anchor = (np.array(x, np.int64) for x in zip(*many, strict=True))
                     n = last - first + 1
                     start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-                    parts.append((np.full(len(start), row["id"], np.int64), start, tx.spans_hash(tx.prefix(raw), start, start + length), np.repeat(anchor.view(np.uint64), n)))
+                    parts.append((np.full(len(start), row["id"], np.int64), start, tx.spans_hash(tx.prefix(raw), start, start + length),
+                        np.repeat(anchor.view(np.uint64), n)))
                     size += len(start)
                 if size >= 1 << 19:
                     yield block(parts)
@@ -523,7 +527,8 @@ def _cut(length: int, whole: bool):
                 digests.append(hashlib.sha256(left).hexdigest())
                 texts.append(left if whole else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(digests, pa.string()), pa.array(texts, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, removed, spans)], pa.array(digests, pa.string()),
+                    pa.array(texts, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run_task
 
@@ -563,7 +568,8 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
     sizes = marked.groupBy("anchor").agg((F.count(F.lit(1)) <= FEW).alias("few"))
     marks = marked.join(sizes, "anchor").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "few")).alias("marks"))
     strings = _zip(texts).join(marks, "id").mapInArrow(_strings(length), _STRING)
-    partly = strings.repartition("deal").sortWithinPartitions("deal", "anchor", "run", "id", "place").mapInArrow(_repeated_strings(length), "id long, first int, last int")
+    partly = strings.repartition("deal").sortWithinPartitions("deal", "anchor", "run", "id", "place").mapInArrow(_repeated_strings(length),
+        "id long, first int, last int")
     partly = durable(partly, "partly")
     release(docs.sparkSession)
     ranges = durable(ranges.unionByName(partly).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")

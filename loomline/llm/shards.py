@@ -134,7 +134,8 @@ def assign(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, colum
     discard(sizes)
     starts = counted.select("shard", "group", (F.sum("n").over(Window.partitionBy("shard").orderBy("group")) - F.col("n")).alias("start"))
     within = F.row_number().over(Window.partitionBy("shard", "group").orderBy("id", "key")) - 1
-    placed = rows.withColumns({"shard": shard, "group": group}).withColumn("within", within).join(F.broadcast(starts), ["shard", "group"])  # shards * MOST_GROUPS rows at most
+    placed = rows.withColumns({"shard": shard, "group": group}).withColumn("within", within).join(F.broadcast(starts),
+        ["shard", "group"])  # shards * MOST_GROUPS rows at most
     kept = [i for i, n in enumerate(docs.columns) if n.lower() not in new]
     out = placed.select(
         *[f"c{i}" for i in kept], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("within")).cast("long").alias("slot"),

@@ -1,7 +1,8 @@
 import pytest
 
 TEXTS = [
-    None, "", "   \n\t ", "word", "one two three four", "ONE two three four five six seven", "one two three four five six seven", "one two three four five six seven eight",
+    None, "", "   \n\t ", "word", "one two three four", "ONE two three four five six seven", "one two three four five six seven",
+        "one two three four five six seven eight",
     "one two three four five six seven", "é ü 中文 🙂 <s>[INST] x [/INST]</s> \\", "a\nb\na\n\nb\n", "x " * 3000,
 ]
 

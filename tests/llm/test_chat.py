@@ -29,7 +29,8 @@ def conversations():
     for c in range(12):
         first = [(c, 0, "system", f"rules {c} " * (c * 10))] if c % 2 else []
         rows += first + [(c, i + 1, ("user", "assistant")[i % 2], TRAPS[(c + i) % len(TRAPS)] + " word" * (i * 37 % 90)) for i in range(c * 9)]
-    rows += [(50, 0, None, None), (50, None, "assistant", "first"), (50, 3, "</s>", "odd"), (50, 3, "</s>", "odd"), (None, 1, "user", "nobody's"), (None, 1, "assistant", "reply")]
+    rows += [(50, 0, None, None), (50, None, "assistant", "first"), (50, 3, "</s>", "odd"), (50, 3, "</s>", "odd"), (None, 1, "user", "nobody's"),
+        (None, 1, "assistant", "reply")]
     return rows
 
 

@@ -57,7 +57,8 @@ def test_align_finds_the_place():
 
 
 def test_passes_of_items_add_up(spark, monkeypatch):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "epsilon zeta eta theta"), (3, "short"), (4, None), (None, "alpha beta gamma delta")], "item_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "epsilon zeta eta theta"), (3, "short"), (4, None),
+        (None, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x ALPHA beta\ngamma delta epsilon zeta eta theta", 3), (2, "clean", 4), (3, None, None)], "doc_id long, text string, hits long")
     whole = dc.leak_report(docs, items).collect()
     monkeypatch.setattr(dc, "PASS_CHARS", 5)

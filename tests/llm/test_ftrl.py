@@ -83,7 +83,8 @@ def test_repeated_rows_keep_the_sample_bounded_and_change_nothing(spark):
 
 
 def test_clashing_columns_long_and_null_texts(spark):
-    rows = [(i, "blorg " * 3 if i % 10 == 0 else "fine day", 1, "n") for i in range(400)] + [(None, None, None, None), (1000, "fine " * 300_000, 2, "n"), (1000, "fine " * 300_000, 2, "n")]
+    rows = [(i, "blorg " * 3 if i % 10 == 0 else "fine day", 1, "n") for i in range(400)] + [(None, None, None, None),
+        (1000, "fine " * 300_000, 2, "n"), (1000, "fine " * 300_000, 2, "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __score int, `a.b` string").toDF("doc_id", "text", "__score", "a.b")
     both = df.selectExpr("*", "__score as score", "__score as c1").toDF("doc_id", "text", "__score", "a.b", "Text", "score")
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")

@@ -18,7 +18,8 @@ def folder(spark, tmp_path_factory):
     rows += [(500, rows[0][1], "en", "s", 1), (0, *rows[0][1:]), (0, *rows[0][1:])]  # a copy, and repeated rows
     rows += [(600, long, None, None, None), (601, long + " end", None, None, None)]
     rows += [(None, rows[1][1], None, None, None), (None, text(50), None, None, None), (None, None, None, None, None), (None, None, None, None, None)]
-    rows += [(700, "", None, None, None), (701, None, None, None, None), (702, f"{text(20)} {item} x", "en", "s", 1), (703, f"{text(30)} password=abcdef12345", "en", "s", 1)]
+    rows += [(700, "", None, None, None), (701, None, None, None, None), (702, f"{text(20)} {item} x", "en", "s", 1),
+        (703, f"{text(30)} password=abcdef12345", "en", "s", 1)]
     labels = [(i, 1, int(i % 12 == 0)) for i in range(120)]
     rows = [(i, t + " blorg blorg" if t and i is not None and i < 120 and i % 12 == 0 and i else t, *x) for i, t, *x in rows]
     path = str(tmp_path_factory.mktemp("edges"))
@@ -30,7 +31,8 @@ def folder(spark, tmp_path_factory):
 
 def test_every_stage_keeps_clashing_columns_and_defines_its_edges(spark, folder):
     path, rows = folder
-    docs = spark.createDataFrame([(*r, 1, 2, "n", "T", 3) for r in rows], ", ".join(f"`c{i}` {t}" for i, t in enumerate("long string string string long int int string string int".split()))).toDF(*COLUMNS)
+    docs = spark.createDataFrame([(*r, 1, 2, "n", "T", 3) for r in rows],
+        ", ".join(f"`c{i}` {t}" for i, t in enumerate("long string string string long int int string string int".split()))).toDF(*COLUMNS)
     stage = dict(cp.STAGES)
     tail = lambda out: {tuple(r)[5:] for r in out.collect()}
 

@@ -58,7 +58,8 @@ def test_a_key_is_wanted_and_decides(spark):
     spark.conf.unset(pr.KEY_SETTING)
 
 
-@pytest.mark.parametrize("text", ["a" * 1_000_000, "a@" * 500_000, "a." * 500_000, "1 " * 500_000, "a" * 999_990 + " 1", "1-" * 500_000, "DE89 " * 200_000, "x@" + "a." * 499_999, "1" * 1_000_000])
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a@" * 500_000, "a." * 500_000, "1 " * 500_000, "a" * 999_990 + " 1", "1-" * 500_000,
+    "DE89 " * 200_000, "x@" + "a." * 499_999, "1" * 1_000_000])
 def test_time_grows_with_the_text(text):
     took = []
     for t in (text[: len(text) // 8], text[: len(text) // 4]):
@@ -105,7 +106,8 @@ def test_spans_equal_an_independent_finder():
     rnd = random.Random(11)
     pick = lambda signs, n: "".join(rnd.choices(signs, k=n))
     make = [
-        lambda: pick("0123456789", 16), lambda: "-".join(pick("0123456789", 4) for _ in range(4)), lambda: f"{pick('abcXYZ019._', rnd.randrange(1, 9))}@{pick('abc', 4)}.{pick('abc1', 2)}",
+        lambda: pick("0123456789", 16), lambda: "-".join(pick("0123456789", 4) for _ in range(4)),
+            lambda: f"{pick('abcXYZ019._', rnd.randrange(1, 9))}@{pick('abc', 4)}.{pick('abc1', 2)}",
         lambda: ".".join(str(rnd.randrange(300)) for _ in range(4)), lambda: f"{rnd.randrange(1850, 2150)}-{rnd.randrange(1, 14):02d}-{rnd.randrange(1, 33):02d}",
         lambda: f"{rnd.choice(['000', '666', '912', '123', '555'])}-{rnd.choice(['00', '12'])}-{rnd.choice(['0000', '1234'])}", lambda: pick("abc", 5)]
     for _ in range(300):

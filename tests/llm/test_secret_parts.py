@@ -43,7 +43,8 @@ def test_parts_of_a_token():
 
 def test_a_token_alone_in_its_stratum_is_decided_by_its_own_p_value():
     at = lambda p: int(p * secrets.BINS)
-    counted = [("alone", at(0.3), 1), ("word", 0, 1), ("weak", at(0.05), 1), ("few", at(0.3), 2), ("few", at(0.7), 1), ("few", 0, 5), ("words", 0, 990), ("words", at(0.3), 10)]
+    counted = [("alone", at(0.3), 1), ("word", 0, 1), ("weak", at(0.05), 1), ("few", at(0.3), 2), ("few", at(0.7), 1), ("few", 0, 5),
+        ("words", 0, 990), ("words", at(0.3), 10)]
     cut = secrets.cuts(counted)
     assert cut["alone"] <= at(0.3) and cut["few"] <= at(0.3)
     assert not {"word", "weak", "words"} & set(cut)

@@ -22,7 +22,8 @@ def reported(tokens):
 
 def identifier(rnd):
     words = rnd.choices(WORDS, k=rnd.randrange(4, 8))
-    return rnd.choice([lambda: "".join(map(str.capitalize, words)), lambda: "_".join(words) + str(rnd.randrange(10)), lambda: "-".join(words), lambda: "/".join(w.capitalize() for w in words)])()
+    return rnd.choice([lambda: "".join(map(str.capitalize, words)), lambda: "_".join(words) + str(rnd.randrange(10)), lambda: "-".join(words),
+        lambda: "/".join(w.capitalize() for w in words)])()
 
 
 @pytest.mark.parametrize("together", [1, 3])
@@ -38,7 +39,8 @@ def test_false_discoveries_stay_within_the_rate():
     for _ in range(300):
         words = [identifier(rnd) for _ in range(rnd.randrange(1, 30))]
         keys = ["".join(rnd.choices(BASE62, k=rnd.choice([24, 32, 40]))) for _ in range(rnd.randrange(3))]
-        found = [(t in keys, f"{r[0]}:{secrets.length_class(len(t))}", min(int(r[1] * secrets.BINS), secrets.BINS - 1)) for t in words + keys if (r := secrets.battery(t))]
+        found = [(t in keys, f"{r[0]}:{secrets.length_class(len(t))}",
+            min(int(r[1] * secrets.BINS), secrets.BINS - 1)) for t in words + keys if (r := secrets.battery(t))]
         cut = secrets.cuts((s, b, 1) for _, s, b in found)
         hits = [key for key, s, b in found if b >= cut.get(s, secrets.BINS)]
         true, false = true + sum(hits), false + len(hits) - sum(hits)
@@ -47,7 +49,8 @@ def test_false_discoveries_stay_within_the_rate():
 
 def test_batteries_equal_single_ones():
     rnd = random.Random(6)
-    tokens = ["".join(rnd.choices(signs, k=rnd.randrange(20, 400))) for signs in (BASE62, "01", "abcdef019", BASE62 + "+/", "é" + BASE62, BASE62 + "_-") for _ in range(20)] + ["", "=" * 30, "1" * 30]
+    tokens = ["".join(rnd.choices(signs, k=rnd.randrange(20, 400))) for signs in (BASE62, "01", "abcdef019", BASE62 + "+/", "é" + BASE62,
+        BASE62 + "_-") for _ in range(20)] + ["", "=" * 30, "1" * 30]
     assert secrets.batteries(tokens) == [secrets.battery(t) for t in tokens] and secrets.batteries([]) == []
 
 
@@ -57,7 +60,8 @@ def test_long_texts_and_clashing_columns(spark):
     began = time.monotonic()
     base, more = secrets.scan([text])[0]
     assert len(base) == 20_000 and [(u, v) for u, v, _, _ in more] == [(len(text) - len(key), len(text))] and time.monotonic() - began < 10
-    df = spark.createDataFrame([(1, f"a {key} b", "v", 2, 3, 4), (1, f"a {key} b", "v", 2, 3, 4), (None, None, None, None, None, None)], "doc_id long, text string, `a.b` string, __spans int, c1 int, more int")
+    df = spark.createDataFrame([(1, f"a {key} b", "v", 2, 3, 4), (1, f"a {key} b", "v", 2, 3, 4), (None, None, None, None, None, None)],
+        "doc_id long, text string, `a.b` string, __spans int, c1 int, more int")
     out = [tuple(r) for r in secrets.mask_secrets(df).collect()]
     assert secrets.mask_secrets(df).columns == df.columns
     assert sorted(out, key=str) == sorted([(1, "a [SECRET] b", "v", 2, 3, 4)] * 2 + [(None, "", None, None, None, None)], key=str)

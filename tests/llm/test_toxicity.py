@@ -23,7 +23,8 @@ def corpus(seed=1):
 
 def test_held_out_accuracy(spark):
     docs, labels = corpus()
-    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    out = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _ in docs)
     held = [(out[i].predicted, y) for i, _, y in labels if out[i].held_out]
     assert sum(a == y for a, y in held) >= 0.97 * len(held)
