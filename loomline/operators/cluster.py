@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.metrics import counter_log
+
 
 def alive(status: str = "status") -> Column:
     return F.col(status) == "Connected"
@@ -62,10 +64,12 @@ def allocate(nodes: DataFrame, n: int, key: str = "id", state: str = "state") ->
     return nodes.filter(F.col(state) == "Ready").orderBy(key).limit(n)
 
 
-def admit(submissions: DataFrame, tenant: str, order: list[str], most: Column | int) -> DataFrame:
-    """Submissions in order until a tenant has as many active as it may; a tenant without quota (null) is admitted."""
-    rank = F.row_number().over(Window.partitionBy(tenant).orderBy(*order))
-    return submissions.withColumn("admitted", F.coalesce(rank <= (F.lit(most) if isinstance(most, int) else most), F.lit(True)))
+def admit(submissions: DataFrame, tenant: str, order: list[str], most: Column | int, part: Column | None = None) -> DataFrame:
+    """Submissions in order until a tenant has as many active as it may; a tenant without quota (null) is admitted. part:
+    something that never falls in that order, like the month, by which a tenant with very many submissions is spread."""
+    ranked = counter_log(submissions, tenant, order, part)
+    limit = F.lit(most) if isinstance(most, int) else most
+    return ranked.withColumn("admitted", F.coalesce(F.col("running") <= limit, F.lit(True))).drop("running")
 
 
 def idempotent(submissions: DataFrame, key: str, graph: str, order: list[str]) -> DataFrame:
@@ -75,10 +79,16 @@ def idempotent(submissions: DataFrame, key: str, graph: str, order: list[str]) -
 
 
 def over_rate(rows: DataFrame, tenant: str, ts: str, cap: int, seconds: int = 60) -> DataFrame:
-    """Submissions with the number of their tenant's in the seconds up to them, and whether that is over the cap."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(tenant).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("n_recent", F.count(F.lit(1)).over(w)).withColumn("limited", F.col("n_recent") > cap)
+    """Submissions with the number of their tenant's in the seconds up to them, and whether that is over the cap. Time is
+    cut into parts of so many seconds; rows are counted with those of their own part and the one before, so that a
+    tenant with very many is spread."""
+    span = seconds * 1_000_000
+    held = rows.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    own = F.floor(F.col("_at") / span)
+    seen = held.withColumn("_later", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("_part", own + F.col("_later").cast("int"))
+    w = Window.partitionBy(tenant, "_part").orderBy("_at").rangeBetween(-span, 0)
+    out = seen.withColumn("n_recent", F.count(F.lit(1)).over(w)).filter(~F.col("_later")).drop("_at", "_later", "_part")
+    return out.withColumn("limited", F.col("n_recent") > cap)
 
 
 def combine(*inputs: DataFrame) -> DataFrame:

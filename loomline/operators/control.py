@@ -106,14 +106,20 @@ def series_variance(value: str) -> Column:
     return F.when(F.count(value) < 2, F.lit(0.0)).otherwise(F.var_pop(value))
 
 
-def oscillation(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+def oscillation(rows: DataFrame, key: str, order: list[str], value: str, part: Column | None = None) -> DataFrame:
     """(key, n, extrema, oscillates): strict turns between neighbours, for more than 0.3 of the inner values; fewer
-    than 4 values never oscillate."""
-    w = Window.partitionBy(key).orderBy(*order)
-    held = rows.select(key, F.col(value).alias("c"), F.lag(value, 1).over(w).alias("p"), F.lag(value, 2).over(w).alias("pp"))
+    than 4 values never oscillate. part: something that never falls in that order, by which a key with very many rows is
+    spread."""
+    held = rows.select(key, *order, F.col(value).alias("pp"), (F.lit(0) if part is None else part).alias("_slice"))
+    if part is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        held = held.withColumn("p", F.lead("pp", 1).over(w)).withColumn("c", F.lead("pp", 2).over(w))
+    else:
+        held = next_by_parts(next_by_parts(held, [key], order, "pp", F.col("_slice"), "p"), [key], order, "p", F.col("_slice"), "c")
     turn = ((F.col("c") > F.col("p")) & (F.col("pp") > F.col("p"))) | ((F.col("c") < F.col("p")) & (F.col("pp") < F.col("p")))
     sums = held.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(turn, F.lit(False)).cast("long")).alias("extrema"))
-    return sums.withColumn("oscillates", F.when(F.col("n") < 4, False).otherwise(F.col("extrema") / F.greatest(F.col("n") - 2, F.lit(1)) > 0.3))
+    share = F.col("extrema") / F.greatest(F.col("n") - 2, F.lit(1))
+    return sums.withColumn("oscillates", F.when(F.col("n") < 4, False).otherwise(share > 0.3))
 
 
 def warmup(rows: DataFrame, key: str, order: list[str], value: str, threshold: float, needed: int = 10) -> DataFrame:

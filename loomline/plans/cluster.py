@@ -72,7 +72,7 @@ def quota_admission(spark, sf_dir):
     quotas = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("o_custkey"),
         (F.col("c_custkey") % 4 + 1).cast("int").alias("most"))
     rows = table(spark, sf_dir, "orders").join(quotas, "o_custkey", "left")
-    return c.admit(rows, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("most")).select("o_orderkey", "o_custkey", "admitted")
+    return c.admit(rows, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("most"), F.date_trunc("month", "o_orderdate")).select("o_orderkey", "o_custkey", "admitted")
 
 
 def unknown_tenants(spark, sf_dir):

@@ -23,7 +23,7 @@ def eps_variance(spark, sf_dir):
 
 
 def eps_oscillation(spark, sf_dir):
-    return c.oscillation(_values(spark, sf_dir), "user_id", _ORDER, "value")
+    return c.oscillation(_values(spark, sf_dir), "user_id", _ORDER, "value", F.date_trunc("day", "ts"))
 
 
 def warmup_first_convergence(spark, sf_dir):

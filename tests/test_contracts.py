@@ -259,3 +259,20 @@ def test_gossip_sink_survives_batches_that_run_again(spark, tmp_path):
     assert state() == want
     sink(batch([(1, 9, 1, "z")]), 2)
     assert state() == want | {1: "z"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_parts_of_neighbours_ranks_and_rates(spark, seed):
+    from loomline.operators import cluster as cl
+
+    rnd = random.Random(seed)
+    rows = [(k, i, rnd.randrange(0, 400) / 1.0, rnd.choice([1.0, 2.0, 3.0])) for k in range(3) for i in range(40)]
+    rows = [(k, i, t, x) for (k, i, _, x), t in zip(rows, [t for k in range(3) for t in sorted(r[2] for r in rows if r[0] == k)], strict=True)]
+    df = spark.createDataFrame(rows, "key long, seq long, at double, x double").withColumn("ts", F.timestamp_seconds("at"))
+    plain = {r.key: tuple(r) for r in c.oscillation(df, "key", ["seq"], "x").collect()}
+    assert {r.key: tuple(r) for r in c.oscillation(df, "key", ["seq"], "x", F.floor(F.col("seq") / 7)).collect()} == plain
+    got = {(r.key, r.seq): r.admitted for r in cl.admit(df, "key", ["seq"], 5, F.floor(F.col("seq") / 3)).collect()}
+    assert got == {(k, i): i < 5 for k, i, _, _ in rows}
+    rates = {(r.key, r.seq): (r.n_recent, r.limited) for r in cl.over_rate(df, "key", "ts", 3).collect()}
+    want = {(k, i): sum(k == q and t - 60 <= u <= t for q, _, u, _ in rows) for k, i, t, _ in rows}
+    assert rates == {at: (n, n > 3) for at, n in want.items()}
