@@ -281,7 +281,7 @@ def _block_rows(block: int, numbers: Numbers, texts: list[tuple], buckets: int):
     flat, ends = _ragged(raw, at, often[order])
     sizes = np.diff(ends, prepend=0).astype(np.int32)
     own, first = np.unique(bucket[order], return_index=True)
-    for b, i, j in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+    for b, i, j in zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(order)][: len(own)], strict=True):
         yield (block, b, j - i, *_packed(sizes[i:j], flat[ends[i] - sizes[i] : ends[j - 1]]), None, None, None)
     doc_ids, counts, digests = zip(*[(d, len(pick), digest) for d, pick, digest in texts], strict=True)
     yield (block, None, len(bucket), *_packed(bucket, rank[picks]), doc_ids, counts, digests)

@@ -85,3 +85,45 @@ def test_long_texts_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, id int, `a.b` string").toDF("doc_id", "text", "Text", "a.b")
     out = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
     assert (out[1].n_removed, out[1].n_spans) == (5000, 1) and (out[2].n_removed, out[2].n_spans) == (299_000, 1)
+
+
+@pytest.mark.parametrize("limits", [{}, {"MOST": 4, "CHUNK": 2, "HOT": 2}, {"MOST": 30, "CHUNK": 7, "HOT": 5}, {"MOST": 1, "CHUNK": 1, "HOT": 2}])
+def test_buckets_that_grow_too_large_lose_nothing(monkeypatch, limits):
+    """The merge-scan in this process, batch by batch, with its marked runs compared string by string."""
+    for name, value in limits.items():
+        monkeypatch.setattr(repeats, name, value)
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = text(95)
+    docs = corpus(17) + [(100 + d, text(rnd.randrange(60)) + passage + text(rnd.randrange(60))) for d in range(60)]
+    docs += [(300 + d, docs[-d - 1][1]) for d in range(10)]
+    levels, repeated, marked, witnesses = [], [], [], 0
+    batches = [docs[k : k + 40] for k in range(0, len(docs), 40)]
+    for k, part in enumerate(batches):
+        source = [pa.RecordBatch.from_pydict({"id": [d for d, _ in part], "text": [t for _, t in part]})]
+        rows = [r for b in repeats._entries(100, repeats.GRAM, 2)(iter(source)) for r in b.to_pylist()]
+        rows += [r | {"source": repeats._STAYING if k % 2 else repeats._FRESH} for level in levels for r in level]
+        rows.sort(key=lambda r: (r["bucket"], -r["source"]))
+        batch = repeats._batch([tuple(r[n] for n in ("bucket", "source", "n", "size", "data")) for r in rows], repeats._ROWS)
+        out = [r for b in repeats._merge_scan(repeats.GRAM)(iter([batch])) for r in b.to_pylist()]
+        new = [{x: r[x] for x in ("bucket", "n", "size", "data")} for r in out if r["kind"] == "level"]
+        levels = [*levels, new] if k % 2 else [new]
+        for kind, found in (("repeat", repeated), ("marked", marked)):
+            for r in (r for r in out if r["kind"] == kind):
+                own, place, *_ = repeats._unpacked(r["n"], r["size"], r["data"], *[0] * (r["size"] // (8 * r["n"])))
+                found += zip(own.tolist(), *(x.tolist() for x in repeats._range(place)), strict=True)
+    raw = {d: t.encode() for d, t in docs}
+    gone = {(d, s) for d, f, z in repeated for s in range(f, z + 1)}
+    seen = set()
+    for d, s in sorted({(d, s) for d, f, z in marked for s in range(f, z + 1)}):
+        w = raw[d][s : s + 100]
+        if w in seen:
+            gone.add((d, s))
+        seen.add(w)
+    first, want = set(), set()
+    for d, t in sorted(raw.items()):
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in first:
+                want.add((d, s))
+            first.add(t[s : s + 100])
+    assert gone == want and len(want) > 500
