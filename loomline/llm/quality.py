@@ -23,6 +23,9 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 MOST_SYMBOLS, MOST_LINES = 10, 30
 #: The rules, and the rate of failing documents up to which a host may go.
 LIMITS = {"few_words": 0.75, "repeated_words": 0.5, "symbols": 0.5, "repeated_lines": 0.5}
+#: Rates of so many hosts, some 20 MB, go to all executors; those of more are exchanged by host, where adaptive execution
+#: splits a host that has very many documents.
+FEW_HOSTS = 200_000
 #: Standard deviations of the posterior that a host's rate must be above a limit: 95 % of one side.
 CERTAIN = 1.645
 _SYMBOLS = np.zeros(256, bool)
@@ -153,8 +156,9 @@ def judge(docs: DataFrame, host: str = "source", column: str = "text") -> DataFr
     found = rows.mapInArrow(_measure_task, "doc_id long, host string, " + ", ".join(f"{n} long" for n in _MEASURED))
     names = list(LIMITS)
     judged = durable(found.withColumns(rules()), "judged")
-    rates = host_rates(judged.filter("host is not null"), names)
-    out = judged.join(rates.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left")
+    rates = durable(host_rates(judged.filter("host is not null"), names).withColumnRenamed("host", "h"), "rates")
+    small = rates.count() <= FEW_HOSTS
+    out = judged.join(F.broadcast(rates) if small else rates, F.col("host") == F.col("h"), "left")
     base_failed = F.col("few_words") | F.col("repeated_words")
     rejected = F.concat_ws(",", *[F.when(F.col(f"{r}_least") > limit, F.lit(r)) for r, limit in LIMITS.items()])
     kept = ~base_failed & (rejected == "")

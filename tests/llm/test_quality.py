@@ -25,14 +25,16 @@ def brute(text):
 
 def test_measures_match_brute_force():
     rnd = random.Random(1)
-    texts = ["", "\n", "a", "a\n", "\na\na", "a\n\n\na\n", "a b c a b c", " x\n x\nx"] + ["".join(rnd.choice("ab é\n #<") for _ in range(rnd.randrange(60))) for _ in range(400)]
+    texts = ["", "\n", "a", "a\n", "\na\na", "a\n\n\na\n", "a b c a b c",
+        " x\n x\nx"] + ["".join(rnd.choice("ab é\n #<") for _ in range(rnd.randrange(60))) for _ in range(400)]
     got = quality.measure(*tx.bytes_of(pa.array(texts)))
     assert list(zip(*(got[n].tolist() for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), strict=True)) == [brute(t) for t in texts]
 
 
 def test_hosts_that_fail_lose_all(spark):
     good = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, good if i % 20 == 0 else "bad", "spam") for i in range(200)] + [(1000 + i, good, f"h{i % 5}") for i in range(200)] + [(2000, good, None), (2001, good, "new")]
+    rows = [(i, good if i % 20 == 0 else "bad", "spam") for i in range(200)] + [(1000 + i, good, f"h{i % 5}") for i in range(200)] + [(2000, good,
+        None), (2001, good, "new")]
     out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not out[0].base_failed and not out[0].kept
     assert all(out[1000 + i].kept for i in range(200)) and out[2000].kept and out[2001].kept
@@ -83,3 +85,11 @@ def test_long_texts_and_clashing_columns(spark):
     text = "one two three\n" * 100_000
     df = spark.createDataFrame([(1, text, "h", 1, "n"), (1, text, "h", 1, "n")], "doc_id long, text string, source string, n_lines int, `a.b` string")
     assert [(r.n_words, r.n_dup_lines, r.n_repeat_words, r.kept) for r in quality.judge(df).collect()] == [(300_000, 99_999, 300_000, False)] * 2
+
+
+def test_many_hosts_are_joined_as_few_are(spark, monkeypatch):
+    rows = [(i, "bad" if i % 3 else " ".join(f"w{k}" for k in range(60)), f"h{i % 7}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, quality.judge(df).collect()))
+    monkeypatch.setattr(quality, "FEW_HOSTS", 0)
+    assert sorted(map(tuple, quality.judge(df).collect())) == want
