@@ -276,3 +276,24 @@ def test_parts_of_neighbours_ranks_and_rates(spark, seed):
     rates = {(r.key, r.seq): (r.n_recent, r.limited) for r in cl.over_rate(df, "key", "ts", 3).collect()}
     want = {(k, i): sum(k == q and t - 60 <= u <= t for q, _, u, _ in rows) for k, i, t, _ in rows}
     assert rates == {at: (n, n > 3) for at, n in want.items()}
+
+
+def test_failed_jobs_are_planned_anew(spark):
+    control = lc.Control(spark)
+    tries = []
+
+    def flaky(df):
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return df
+
+    job = control.submit([("flaky", flaky)], lc.JobConfig(max_retries=2))
+    assert control.run(job, spark.range(4)).count() == 4 and control.status(job) == "completed" and len(tries) == 3
+    names = [r.name for r in control.metrics().collect()]
+    assert names.count("loomline_retries") == names.count("loomline_stage_errors") == 2
+    tries.clear()
+    job = control.submit([("flaky", flaky)], lc.JobConfig(max_retries=1))
+    with pytest.raises(OSError, match="not yet"):
+        control.run(job, spark.range(4))
+    assert control.status(job) == "failed: not yet" and len(tries) == 2
