@@ -37,6 +37,8 @@ BLOCK = 2 << 20
 BATCHES = 8
 #: Marked runs of an anchor that are compared together; those of an anchor with more are compared string by string.
 FEW = 2048
+#: So many anchors with more runs, a few MB, go to all executors; more of them are joined by an exchange.
+FEW_ANCHORS = 200_000
 #: Different runs of an anchor in a block, or in a bucket that is too large, from which on all are marked.
 HOT = 32
 #: Entries of a bucket that are merged at once, and that it may hold.
@@ -565,8 +567,9 @@ def remove_repeats(docs: DataFrame, column: str = "text", length: int = LENGTH,
         index.add(part if high is None else part.filter(F.col("id") <= high))
     ranges = index.repeats()
     marked = durable(index.marked(), "marked")
-    sizes = marked.groupBy("anchor").agg((F.count(F.lit(1)) <= FEW).alias("few"))
-    marks = marked.join(sizes, "anchor").groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "few")).alias("marks"))
+    many = durable(marked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("anchor", F.lit(False).alias("few")), "many")
+    many = F.broadcast(many) if many.count() <= FEW_ANCHORS else many
+    marks = marked.join(many, "anchor", "left").withColumn("few", F.col("few").isNull()).groupBy("id").agg(F.collect_list(F.struct("first", "last", "anchor", "few")).alias("marks"))
     strings = _zip(texts).join(marks, "id").mapInArrow(_strings(length), _STRING)
     partly = strings.repartition("deal").sortWithinPartitions("deal", "anchor", "run", "id", "place").mapInArrow(_repeated_strings(length),
         "id long, first int, last int")
