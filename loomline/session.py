@@ -68,7 +68,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _sweep() -> None:
     """At the application's end: what no one deleted. Without a session only local folders can still be reached."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() if _MADE else None
     for path in list(_MADE):
         try:
             if spark:
