@@ -123,8 +123,8 @@ def durable_buckets(df: DataFrame, key: str, name: str = "step") -> DataFrame:
     """As durable(), in as many buckets of key as a shuffle has partitions: what is grouped or joined by key later need
     not be exchanged again. The catalog knows the table only while it is written and opened."""
     spark = df.sparkSession
-    known = f"{name}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/loomline/{known}"
+    path = f"{shared_dir(spark)}/loomline/{name}_{uuid.uuid4().hex}"
+    known = f"spark_catalog.default.{path.rpartition('/')[2]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(known)
     out = spark.table(known)
