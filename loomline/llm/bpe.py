@@ -72,7 +72,7 @@ class Codec:
         self.bytes, self.bytes_at = _laid(self.tokens)
         self.decimals, self.decimals_at = _laid([b"%d," % i for i in range(len(self.tokens))])
         self.pieces = cutter(pattern)
-        self.singles = np.array([self.ranks[bytes([i])] for i in range(256)])
+        self.singles = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = {
             self.ranks[t[:i]] << 32 | self.ranks[t[i:]]: r
             for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
@@ -81,9 +81,12 @@ class Codec:
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of neighbouring tokens' merges, or -1."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        out = np.empty(len(a), np.int32)
+        for i in range(0, len(a), AT_ONCE // 8):  # in small steps, as keys are wide
+            key = a[i : i + AT_ONCE // 8].astype(np.int64) << 32 | b[i : i + AT_ONCE // 8]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[i : i + AT_ONCE // 8] = np.where(self.keys[at] == key, self.merged[at], -1)
+        return out
 
     def one(self, piece: bytes) -> list[int]:
         """Merges of a single piece, the lowest and leftmost first; for pieces whose merges fall out of rank order."""
@@ -114,23 +117,23 @@ class Codec:
         ends = np.cumsum([len(p) for p in pieces])
         starts = np.concatenate([[0], ends[:-1]])
         symbol = self.singles[raw]
-        after = np.arange(1, len(raw) + 1)
+        after = np.arange(1, len(raw) + 1, dtype=np.int32)
         after[ends - 1] = -1
-        before = np.arange(-1, len(raw) - 1)
+        before = np.arange(-1, len(raw) - 1, dtype=np.int32)
         before[starts] = -1
         live = np.ones(len(raw), bool)
         # A piece that is a token as a whole is that token, whatever its merges.
         whole = np.array([self.ranks.get(p, -1) for p in pieces])
         own = np.flatnonzero(whole >= 0)
-        inside = np.zeros(len(raw) + 1, np.int64)
+        inside = np.zeros(len(raw) + 1, np.int8)
         inside[starts[own]] += 1
         inside[ends[own]] -= 1
-        inside = np.cumsum(inside[:-1]) > 0
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
         live[inside] = False
         live[starts[own]] = True
         symbol[starts[own]] = whole[own]
-        standing = np.full(len(raw), -1, np.int64)
-        inner = np.flatnonzero((after >= 0) & ~inside)
+        standing = np.full(len(raw), -1, np.int32)
+        inner = np.flatnonzero((after >= 0) & ~inside).astype(np.int32)
         standing[inner] = self.pair_ranks(symbol[inner], symbol[inner + 1])
         odd = self._replay(symbol, standing, after, before, live)
         counts = np.add.reduceat(live.astype(np.int64), starts)
@@ -149,7 +152,7 @@ class Codec:
 
         def enter(where: np.ndarray, ranks: np.ndarray) -> None:
             """Into the index, which leads from ranks to arrays of positions."""
-            held = np.flatnonzero(ranks >= 0)
+            held = np.flatnonzero(ranks >= 0).astype(np.int32)
             held = held[np.argsort(ranks[held], kind="stable")]
             if not len(held):
                 return
@@ -162,7 +165,7 @@ class Codec:
                     index[r] = [where[i:j]]
                     heappush(heap, r)
 
-        enter(np.arange(len(symbol)), standing)
+        enter(np.arange(len(symbol), dtype=np.int32), standing)
         odd: list[int] = []
         while heap:
             r = heappop(heap)
@@ -181,7 +184,7 @@ class Codec:
                     if x not in taken:
                         keep.append(x)
                         taken.add(y)
-                p = np.array(keep)
+                p = np.array(keep, np.int32)
                 q = after[p]
             n = after[q]
             symbol[p] = r
