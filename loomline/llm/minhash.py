@@ -138,7 +138,7 @@ def _pivot_pairs(live: DataFrame) -> DataFrame:
 
 
 def _strays(live: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
-    """(anchor, rep, stray, size) of buckets whose members are in more than one component; the anchor is the component
+    """(anchor, rep, comp, stray, size) of buckets whose members are in more than one component; the anchor is the component
     with most of a bucket's members. Buckets of two were settled by the comparison with their smallest member. Sets of
     similar texts have the same or neighbouring sizes, which are classes of so many shingles."""
     held = live.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("comp")), "rep", "left").select("b", "rep", "n",
@@ -148,57 +148,75 @@ def _strays(live: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     mixed = mixed.filter("m > 2 and comps > 1").select("b", "anchor")
     step = math.log(100 / threshold) if threshold < 100 else 1.0
     size = F.floor(F.log("n") / step + 1e-9) if threshold < 100 else F.col("n")
-    return held.join(mixed, "b").select("anchor", "rep", (F.col("comp") != F.col("anchor")).alias("stray"), size.alias("size")).distinct()
+    return held.join(mixed, "b").select("anchor", "rep", "comp", (F.col("comp") != F.col("anchor")).alias("stray"), size.alias("size")).distinct()
 
 
 def _block_rows(strays: DataFrame) -> DataFrame:
     """Every stray of an anchor meets all members and all other strays of it whose sizes are near its own, in blocks of
-    bounded size: rows (anchor, size, other, i, j, doc_id, asks), where texts that ask, of one size, are compared with
+    bounded size: rows (anchor, size, other, i, j, doc_id, comp, asks), where texts that ask, of one size, are compared with
     those that don't, of the other."""
     sizes = strays.groupBy("anchor", "size").agg(F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).alias("ns"),
         F.ceil(F.sum((~F.col("stray")).cast("int")) / BLOCK).alias("nm"))
     rows = strays.join(sizes, ["anchor", "size"]).withColumn("at", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("ns")).otherwise(F.greatest("nm", F.lit(1)))))
     near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("other")
     met_by = sizes.select("anchor", F.col("size").alias("other"), F.col("ns").alias("other_ns"), F.col("nm").alias("other_nm"))
-    paired = rows.select("anchor", "rep", "stray", "size", "ns", "nm", "at", near).join(met_by, ["anchor", "other"])
+    paired = rows.select("anchor", "rep", "comp", "stray", "size", "ns", "nm", "at", near).join(met_by, ["anchor", "other"])
     blocks = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
     asks = paired.filter("stray").select("anchor", "size", "other", F.col("at").alias("i"), blocks(F.col("other_nm") + F.col("other_ns")).alias("j"),
-        F.col("rep").alias("doc_id"), F.lit(True).alias("asks"))
+        F.col("rep").alias("doc_id"), "comp", F.lit(True).alias("asks"))
     place = F.when(F.col("stray"), F.col("nm") + F.col("at")).otherwise(F.col("at"))
     met = paired.select("anchor", F.col("other").alias("size"), F.col("size").alias("other"), blocks(F.col("other_ns")).alias("i"), place.alias("j"),
-        F.col("rep").alias("doc_id"), F.lit(False).alias("asks"))
+        F.col("rep").alias("doc_id"), "comp", F.lit(False).alias("asks"))
     return asks.unionByName(met)
 
 
+def _links(asks: list[tuple], met: list[tuple], threshold: int):
+    """(doc_id, component, set) of texts that ask and of those they meet -> links that join components. Texts whose
+    components a link of the block has joined are not compared any more, so a group of copies gives few links."""
+    if not asks or not met:
+        return
+    joined: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    roots = np.array([c for _, c, _ in met])
+    for d, c, x in asks:
+        own = root(c)
+        others = np.flatnonzero(roots != own)
+        if not len(others):
+            continue
+        sets = [met[k][2] for k in others.tolist()]
+        n = np.array([len(y) for y in sets])
+        flat = np.concatenate(sets)
+        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        near = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        both = tx.reduce_at(np.add, (x[near] == flat).astype(np.int64), at, 0)
+        for k in others[both * 100 >= threshold * (len(x) + n - both)].tolist():
+            if (theirs := int(roots[k])) != own:
+                yield d, met[k][0]
+                joined[theirs] = own
+                roots[roots == theirs] = own
+
+
 def _verify_blocks(size: int, threshold: int):
     """Rows of a block (anchor, size, other, i, j) come together, and are bounded in number."""
 
-    def links(asks, met):
-        if not asks or not met:
-            return
-        ids = np.array([d for d, _ in met])
-        flat = np.concatenate([x for _, x in met])
-        at = np.concatenate([[0], np.cumsum([len(x) for _, x in met])]).astype(np.int64)
-        n = np.diff(at)
-        for d, x in asks:
-            near = np.minimum(np.searchsorted(x, flat), len(x) - 1)
-            both = tx.reduce_at(np.add, (x[near] == flat).astype(np.int64), at, 0)
-            for other in ids[(both * 100 >= threshold * (len(x) + n - both)) & (ids != d)]:
-                yield d, int(other)
-
     def run(batches):
         key, asks, met = None, [], []
         for batch, raw, at in tx.blocks(batches, "text"):
             sets, sat = tx.distinct(*tx.shingles(*tx.word_hashes(raw, at), size))
-            names = [batch.column(k).to_pylist() for k in range(7)]
+            names = [batch.column(k).to_pylist() for k in range(8)]
             out = []
-            for i, (*now, doc_id, asking) in enumerate(zip(*names, strict=True)):
+            for i, (*now, doc_id, comp, asking) in enumerate(zip(*names, strict=True)):
                 if now != key:
-                    out += links(asks, met)
+                    out += _links(asks, met, threshold)
                     key, asks, met = now, [], []
-                (asks if asking else met).append((doc_id, sets[sat[i] : sat[i + 1]].copy()))
+                (asks if asking else met).append((doc_id, comp, sets[sat[i] : sat[i + 1]].copy()))
             yield _pairs(out)
-        yield _pairs(list(links(asks, met)))
+        yield _pairs(list(_links(asks, met, threshold)))
 
     return run
 
@@ -209,7 +227,7 @@ def _pairs(found: list) -> pa.RecordBatch:
 
 def _confirmed_blocks(rows: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     block = ["anchor", "size", "other", "i", "j"]
-    held = rows.join(texts, "doc_id").select(*block, "doc_id", "asks", "text")
+    held = rows.join(texts, "doc_id").select(*block, "doc_id", "comp", "asks", "text")
     return held.repartition(*block).sortWithinPartitions(*block).mapInArrow(_verify_blocks(size, threshold), "u long, v long")
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_minhash import brute, result
 
@@ -58,3 +59,28 @@ def test_long_texts_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, rep int, bands int, `a.b` string").toDF("doc_id", "text", "rep", "Text", "a.b")
     out = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
     assert out == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True)]
+
+
+def test_a_block_joins_components_with_few_links():
+    rnd = random.Random(6)
+    sets = []
+    for _ in range(8):
+        base = {rnd.randrange(10**6) for _ in range(100)}
+        sets += [base - set(rnd.sample(sorted(base), k=rnd.randrange(18))) for _ in range(20)]
+    rows = [(i, i if rnd.random() < 0.5 else 1000 + i // 20, np.array(sorted(x), np.uint64)) for i, x in enumerate(sets)]
+    for size in (1, 60, len(rows)):
+        asks, met = rows[:size], rows[size // 2 :]
+        links = list(minhash._links(asks, met, 75))
+        component = {c: c for _, c, _ in rows}
+        comp_of = {i: c for i, c, _ in rows}
+
+        def closed(pairs, parent):
+            for a, b in pairs:
+                x, y = parent[comp_of[a]], parent[comp_of[b]]
+                for c in parent:
+                    parent[c] = min(x, y) if parent[c] in (x, y) else parent[c]
+            return parent
+
+        every = [(i, j) for i, _, x in asks for j, _, y in met if i != j and 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y))]
+        assert closed(links, dict(component)) == closed(every, dict(component))
+        assert len(links) < len(component) and set(links) <= set(every)
