@@ -261,6 +261,17 @@ def test_gossip_sink_survives_batches_that_run_again(spark, tmp_path):
     assert state() == want | {1: "z"}
 
 
+def test_spreading_a_keys_weights_changes_nothing(spark):
+    rnd = random.Random(7)
+    rows = [(k, i, 0.0 if k == 1 else rnd.uniform(0, 9)) for k in (1, 2, 3, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "key long, idx int, w double")
+    for target in (100.0, 2.0**40, 2.0**-60):
+        plain, spread = (sorted(map(tuple, t.normalize(df, "key", ["idx"], "w", target, s).select("key", "idx", F.round("normalized", 6), "status").collect()), key=str) for s in (False, True))
+        assert plain == spread
+        least = [sorted(((r.key, round(r.largest, 3)) for r in t.normalize_clamped_max(df, "key", "w", target, s).collect()), key=str) for s in (False, True)]
+        assert least[0] == least[1]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_parts_of_neighbours_ranks_and_rates(spark, seed):
     from loomline.operators import cluster as cl
