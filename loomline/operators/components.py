@@ -6,9 +6,7 @@ number of rounds is logarithmic in the longest path.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.session import discard, durable
@@ -31,12 +29,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The edges as a durable table, and their number and a sum of hashes, which are taken as they are written."""
-    seen = Observation(f"{name}-{uuid.uuid4()}")
-    marks = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-    out = durable(edges.observe(seen, *marks), name)
-    return out, (seen.get["n"], seen.get["sum"])
+def _mark(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return tuple(row)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -44,12 +39,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     vertex that can be reached. Self-loops give their vertex a row; nulls are ignored. No edges: no rows."""
     pairs = edges.select("u", "v").filter("u is not null and v is not null")
     loops = pairs.filter("u = v").select("u")
-    work, before = _written(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    work = durable(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _mark(work)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        old = work
-        work, after = _written(_small_star(_large_star(old).distinct()).distinct(), "stars")
+        old, work = work, durable(_small_star(_large_star(work).distinct()).distinct(), "stars")
+        after = _mark(work)
         discard(old)
         if after == before:
             break
