@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from loomline.llm import text as tx
 from loomline.operators.components import components
-from loomline.session import discard, durable, ship
+from loomline.session import discard, durable, packed, ship
 
 BANDS, ROWS = 32, 4
 #: Texts of a block in which strays are compared, and the salts over which a pivot's members are dealt.
 BLOCK = 256
 PIVOT_SALTS = 16
+#: Rows of a partition of entries (bucket, text), and texts of one, where a table has few.
+ENTRIES, TEXTS = 1 << 16, 1 << 10
 U32 = np.uint32
 
 
@@ -202,7 +204,12 @@ def _links(asks: list[tuple], met: list[tuple], threshold: int):
 
 
 def _verify_blocks(size: int, threshold: int):
-    """Rows of a block (anchor, size, other, i, j) come together, and are bounded in number."""
+    """Rows of a block (anchor, size, other, i, j) come together, and are bounded in number; yields pairs of components
+    that a link joins."""
+
+    def joined(asks: list[tuple], met: list[tuple]) -> list[tuple]:
+        comp = {d: c for d, c, _ in (*asks, *met)}
+        return [(comp[u], comp[v]) for u, v in _links(asks, met, threshold)]
 
     def run(batches):
         key, asks, met = None, [], []
@@ -212,11 +219,11 @@ def _verify_blocks(size: int, threshold: int):
             out = []
             for i, (*now, doc_id, comp, asking) in enumerate(zip(*names, strict=True)):
                 if now != key:
-                    out += _links(asks, met, threshold)
+                    out += joined(asks, met)
                     key, asks, met = now, [], []
                 (asks if asking else met).append((doc_id, comp, sets[sat[i] : sat[i + 1]].copy()))
             yield _pairs(out)
-        yield _pairs(list(_links(asks, met, threshold)))
+        yield _pairs(joined(asks, met))
 
     return run
 
@@ -243,25 +250,32 @@ def near_duplicates(docs: DataFrame, column: str = "text", bands: int = BANDS, r
     ship(docs.sparkSession)
     slim = tx.slim(docs, column)
     held = durable(slim.mapInArrow(_sketches("text", bands, rows, size), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
-    classes = durable(held.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    n = held.count()
+    classes = durable(packed(held.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), n), "classes")
     reps = classes.filter("rep is not null").select("s1", "s2", F.col("n_shingles").alias("n"), "rep")
     keyed = held.join(reps, (held.doc_id == reps.rep) & (held.s1 == reps.s1) & (held.s2 == reps.s2)).select("rep", "n", "bands").dropDuplicates(["rep", "n"])
     entries = keyed.select(F.explode("bands").alias("b"), "rep", "n")
     shared = entries.groupBy("b").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("b")
-    live = durable(entries.join(shared, "b"), "live")
+    live = durable(packed(entries.join(shared, "b"), n * bands, ENTRIES), "live")
     wanted = live.select(F.col("rep").alias("doc_id")).distinct()
-    texts = durable(slim.join(wanted, "doc_id").dropDuplicates(), "texts")
-
-    links = durable(_confirmed(_pivot_pairs(live), texts, size, threshold), "links")
-    groups = durable(components(links), "groups")
-    rest = durable(_strays(live, groups, threshold), "strays")
+    texts = durable(packed(slim.join(wanted, "doc_id").dropDuplicates(), n, TEXTS), "texts")
+
+    entered = live.count()
+    pairs = durable(packed(_pivot_pairs(live), entered, ENTRIES), "pairs")
+    links = durable(packed(_confirmed(pairs, texts, size, threshold), 2 * pairs.count(), TEXTS), "links")
+    discard(pairs)
+    linked = links.count()
+    groups = durable(packed(components(links, rows=linked), 2 * linked), "groups")
+    rest = durable(packed(_strays(live, groups, threshold), entered, ENTRIES), "strays")
+    named = classes.join(groups, classes.rep == groups.id, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     if rest.head(1):
         more = durable(_confirmed_blocks(_block_rows(rest), texts, size, threshold), "links")
-        old, groups = groups, durable(components(links.unionByName(more)), "groups")
-        discard(more, old)
+        linked = more.count()
+        whole = durable(packed(components(more, rows=linked), 2 * linked), "groups").select("id", F.col("component").alias("whole"))
+        named = named.join(whole, named.component_id == whole.id, "left").select("s1", "s2", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
+        discard(more)
     discard(live, texts, links, rest)
 
-    named = classes.join(groups, classes.rep == groups.id, "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = held.drop("bands").join(named, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import discard, durable
+from loomline.session import discard, durable, packed
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,17 +34,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """edges(u, v) of any ordered type -> (id, component) for every vertex of an edge, component being the smallest
-    vertex that can be reached. Self-loops give their vertex a row; nulls are ignored. No edges: no rows."""
+    vertex that can be reached. Self-loops give their vertex a row; nulls are ignored. No edges: no rows. If the number
+    of edges is given as rows, the tables of the rounds, which have no more, are packed by it."""
     pairs = edges.select("u", "v").filter("u is not null and v is not null")
     loops = pairs.filter("u = v").select("u")
-    work = durable(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    work = durable(packed(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows), "edges")
     before = _mark(work)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        old, work = work, durable(_small_star(_large_star(work).distinct()).distinct(), "stars")
+        old, work = work, durable(packed(_small_star(_large_star(work).distinct()).distinct(), None if rows is None else before[0]), "stars")
         after = _mark(work)
         discard(old)
         if after == before:

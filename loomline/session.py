@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import math
 import shutil
 import tempfile
 import uuid
@@ -95,6 +96,13 @@ def scope(spark: SparkSession, *kept: DataFrame) -> Iterator[list[DataFrame]]:
             _delete(spark, path)
 
 
+def packed(df: DataFrame, rows: int | None, each: int = 4096) -> DataFrame:
+    """df, which has at most so many rows (None: unknown, df as it is), in partitions of about each rows, without an
+    exchange and never in more than it has. A durable table of few rows is then few files: each file costs its task
+    folders, renames and, where Hadoop sets a local file's mode, several child processes of the executor."""
+    return df if rows is None else df.coalesce(max(1, math.ceil(rows / each)))
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession

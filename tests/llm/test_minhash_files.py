@@ -1,0 +1,49 @@
+"""Tables of few rows are few files, whatever the number of shuffle partitions."""
+
+import os
+
+import pytest
+from test_minhash import brute, result, variants
+
+from loomline.llm import minhash
+from loomline.operators import components
+from loomline.session import durable, packed
+
+
+@pytest.fixture
+def many_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_near_duplicates_write_few_files(spark, monkeypatch, many_partitions):
+    """Each file starts child processes of the executor where Hadoop sets a local file's mode."""
+    files = {}
+
+    def counted(df, name="step"):
+        out = durable(df, name)
+        at = out.durable_path.removeprefix("file:")
+        files.setdefault(name, []).append((sum(x.endswith(".parquet") for x in os.listdir(at)), out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "durable", counted)
+    monkeypatch.setattr(components, "durable", counted)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = variants()
+    assert result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert {"classes", "live", "texts", "edges", "stars", "groups", "strays"} <= set(files)
+    assert {name: made for name, made in files.items() if name not in ("sketches", "links") and max(n for n, _ in made) > 1} == {}
+    # links of strays join components; they are not solved again together with all links
+    assert files["links"][0][0] == 1 and len(files["links"]) == len(files["edges"]) == 2 and files["edges"][1][1] <= files["links"][1][1]
+
+
+def test_packed_partitions(spark):
+    df = spark.range(100, numPartitions=8)
+    counts = [packed(df, rows, 10).rdd.getNumPartitions() for rows in (None, 0, 1, 10, 11, 70, 1000)]
+    assert counts == [8, 1, 1, 1, 2, 7, 8]
+    assert sorted(r.id for r in packed(df, 20, 10).collect()) == list(range(100))
